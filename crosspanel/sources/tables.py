@@ -181,7 +181,7 @@ def table_status(tables: Mapping[str, DataFrame | None]) -> DataFrame:
     if not known:
         raise ValueError("no table is available")
     parts = [
-        df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table"), "rows")
+        df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table_name"), "rows")
         for name, df in known.items()
     ]
     out = parts[0]
@@ -191,7 +191,7 @@ def table_status(tables: Mapping[str, DataFrame | None]) -> DataFrame:
     for name in tables:
         if name not in known:
             gone = parts[0].limit(1).select(
-                F.lit(name).alias("table"), F.lit(0).cast("bigint").alias("rows"), F.lit("unavailable").alias("status")
+                F.lit(name).alias("table_name"), F.lit(0).cast("bigint").alias("rows"), F.lit("unavailable").alias("status")
             )
             out = out.unionByName(gone)
     return out
