@@ -11,6 +11,7 @@ from crosspanel import settings as S
 from crosspanel.operators import ledger, policy, scaling
 from crosspanel.sources import panel as source
 
+AUM = 1.0e5  # fits the volumes of the derived panel
 METHODS = ("equal_weight", "rank_long_short", "top_bottom", "markowitz")
 
 _SHARED: dict[tuple[str, str, str], DataFrame] = {}
@@ -80,5 +81,5 @@ def held(spark: SparkSession, sf_dir: str) -> DataFrame:
 def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly returns of the four policies."""
     return shared(
-        spark, sf_dir, "returns", lambda: ledger.ledger(held(spark, sf_dir), stats(spark, sf_dir))
+        spark, sf_dir, "returns", lambda: ledger.ledger(held(spark, sf_dir), stats(spark, sf_dir), aum=AUM)
     )

@@ -93,7 +93,7 @@ def final(body: str, *columns: str, ctes: str = "") -> str:
     return f"{with_}SELECT {', '.join(parts)} FROM ({body}) AS result"
 
 
-def ledger_ctes(weights: str, keys: str = "method", source: str = "uni", aum: str = "1e9", gamma: str = "1e1", tag: str = "") -> str:
+def ledger_ctes(weights: str, keys: str = "method", source: str = "uni", aum: str = "1e5", gamma: str = "1e1", tag: str = "") -> str:
     """Price the CTE ``weights``(keys, eom, entity, weight, variance) into monthly rows ``rets``."""
     k = [c.strip() for c in keys.split(",")]
     kl = ", ".join(k)
