@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from crosspanel import settings as S
+from crosspanel.operators import ranks
 
 EXPRESSION_WIDTH = 24  # widest design whose Gram is summed as column expressions
 
@@ -129,9 +130,11 @@ def ridge_fit(moments: DataFrame, penalty: str, standardise: bool = True) -> Dat
         r = b / count[:, None]
         mean = g[:, 0, 1:]
         if standardise:
-            variance = np.einsum("nii->ni", g[:, 1:, 1:]) - mean**2
+            square = np.einsum("nii->ni", g[:, 1:, 1:])
+            variance = square - mean**2
             scale = np.sqrt(np.maximum(variance, 0.0))
-            scale[scale < S.SCALE_FLOOR] = 1.0
+            # A flat feature leaves only rounding noise after the mean is taken out of its moment.
+            scale[(scale < S.SCALE_FLOOR) | (variance <= 1e-13 * square)] = 1.0
             centred = g[:, 1:, 1:] - mean[:, :, None] * mean[:, None, :]
             lhs = centred / scale[:, :, None] / scale[:, None, :]
             rhs = (r[:, 1:] - mean * r[:, :1]) / scale
@@ -149,6 +152,66 @@ def ridge_fit(moments: DataFrame, penalty: str, standardise: bool = True) -> Dat
     return moments.withColumn("coef", solve("xx", "xy", "n", F.col(penalty).cast("double")))
 
 
+def least_squares(moments: DataFrame) -> DataFrame:
+    """Ordinary least squares with intercept: the ridge fit with no penalty."""
+    return ridge_fit(moments.withColumn("__zero", F.lit(0.0)), "__zero", standardise=False).drop("__zero")
+
+
+def contributions(df: DataFrame, coef: DataFrame, x: Sequence[str], on: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """Mean absolute and signed part of each feature in the fitted value, and its share."""
+    joined = df.join(F.broadcast(coef.select(*on, "coef")), list(on))
+    items = F.array(
+        *[
+            F.struct(F.lit(c).alias("feature"), (F.element_at("coef", i + 2) * F.col(c)).alias("part"))
+            for i, c in enumerate(x)
+        ]
+    )
+    sums = joined.select(*by, F.inline(items)).groupBy(*by, "feature").agg(
+        F.avg(F.abs("part")).alias("mean_abs"), F.avg("part").alias("mean_signed")
+    )
+    total = F.sum("mean_abs").over(W.partitionBy(*by))  # one row per feature
+    return sums.withColumn("share", F.when(total > 0, F.col("mean_abs") / total))
+
+
+def design_health(monthly: DataFrame, width: int) -> DataFrame:
+    """Norms, means, near-zero and duplicate columns, rank and condition of each month's design.
+
+    Everything is read off the packed month moments (intercept in first place).  Squared moments hold
+    singular values down to about 1e-7 of the largest, so the rank is counted there.
+    """
+    schema = (
+        "min_norm double, median_norm double, max_norm double, max_abs_mean double, near_zero int,"
+        " duplicates int, effective_rank int, condition double"
+    )
+
+    @F.pandas_udf(schema)
+    def health(xx: pd.Series, n: pd.Series) -> pd.DataFrame:
+        k = width + 1
+        g = _full(np.array(xx.tolist(), dtype=float).reshape(len(xx), -1), k)
+        x = g[:, 1:, 1:]
+        norms = np.sqrt(np.maximum(np.einsum("nii->ni", x), 0.0))
+        means = g[:, 0, 1:] / n.to_numpy(float)[:, None]
+        safe = np.maximum(norms, 1e-16)
+        unit = np.abs(x / safe[:, :, None] / safe[:, None, :])
+        i, j = np.triu_indices(width, 1)
+        values = np.sqrt(np.clip(np.linalg.eigvalsh(x), 0.0, None))
+        top = values.max(axis=1)
+        return pd.DataFrame(
+            {
+                "min_norm": norms.min(axis=1),
+                "median_norm": np.median(norms, axis=1),
+                "max_norm": norms.max(axis=1),
+                "max_abs_mean": np.abs(means).max(axis=1),
+                "near_zero": (norms < 1e-10).sum(axis=1).astype("int32"),
+                "duplicates": (unit[:, i, j] > 1.0 - 1e-12).sum(axis=1).astype("int32"),
+                "effective_rank": (values > np.maximum(top * 1e-7, 1e-12)[:, None]).sum(axis=1).astype("int32"),
+                "condition": top / np.maximum(values.min(axis=1), 1e-16),
+            }
+        )
+
+    return monthly.withColumn("h", health("xx", F.col("n").cast("double"))).select("eom", "n", "h.*")
+
+
 def predict(df: DataFrame, coef: DataFrame, x: Sequence[str], on: Sequence[str], output: str = "mu_hat") -> DataFrame:
     """Linear prediction; the coefficient table has one row per fit (years x penalties) and is broadcast."""
     joined = df.join(F.broadcast(coef.select(*on, "coef")), list(on))
@@ -172,6 +235,54 @@ def mean_squared_error(coef: Column, xx: Column, xy: Column, yy: Column, n: Colu
     return total / n
 
 
+def factor_returns(
+    daily: DataFrame, exposures: Sequence[str], ret: str, penalty: float, day: str = "date"
+) -> DataFrame:
+    """Daily cross-sectional ridge of returns on exposures: one factor return per day and exposure."""
+    fits = ridge_fit(
+        gram(daily, exposures, ret, [day]).withColumn("__pen", F.lit(float(penalty))), "__pen", standardise=False
+    )
+    items = F.array(
+        F.struct(F.lit("intercept").alias("factor"), F.element_at("coef", 1).alias("factor_return")),
+        *[
+            F.struct(F.lit(c).alias("factor"), F.element_at("coef", i + 2).alias("factor_return"))
+            for i, c in enumerate(exposures)
+        ],
+    )
+    return fits.select(day, "n", F.inline(items))
+
+
+def winsorise(
+    df: DataFrame, columns: Sequence[str], low: float, high: float, by: Sequence[str], group_rows: int | None = None
+) -> DataFrame:
+    """Clip each column at its two quantiles of the day."""
+    out = df
+    for c in columns:
+        cuts = ranks.quantiles(df, by, c, {"__lo": low, "__hi": high}, group_rows)
+        out = ranks.attach(out, cuts, by).withColumn(
+            c, F.when(F.col(c).isNotNull(), F.greatest(F.least(F.col(c), "__hi"), "__lo"))
+        ).drop("__lo", "__hi")
+    return out
+
+
+def ewma_moments(df: DataFrame, pair: Sequence[str], day: str, x: str, y: str, span: int) -> DataFrame:
+    """Exponentially weighted covariance of two daily series after each day, weights (1-a)^age.
+
+    The weighted sums are running sums of values divided by their own decay, rescaled at the end: one
+    ordered pass over the days of a factor pair (calendar-sized), not a look-back join.
+    """
+    decay = 1.0 - 2.0 / (span + 1.0)
+    path = W.partitionBy(*pair).orderBy(day)
+    age = F.row_number().over(path).cast("double")
+    rows = df.withColumn("__w", F.pow(F.lit(decay), -age))
+    running = path.rowsBetween(W.unboundedPreceding, 0)
+    total = F.sum("__w").over(running)
+    mx = F.sum(F.col("__w") * F.col(x)).over(running) / total
+    my = F.sum(F.col("__w") * F.col(y)).over(running) / total
+    mxy = F.sum(F.col("__w") * F.col(x) * F.col(y)).over(running) / total
+    return rows.withColumn("covariance", mxy - mx * my).drop("__w")
+
+
 def random_weights(inputs: int, features: int, scale: float, seed: int, bank: int | None = None) -> np.ndarray:
     """Fixed draw of the frequency matrix; a bank of ``bank`` features nests every smaller map."""
     rng = np.random.default_rng(seed)

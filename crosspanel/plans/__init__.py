@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("scans", "ranking", "portfolio")
+AREAS = ("scans", "ranking", "portfolio", "models", "signals")
 
 
 def load():
