@@ -62,9 +62,9 @@ def block_bootstrap(
 ) -> DataFrame:
     """Circular block bootstrap of the mean: percentile interval and share of positive means.
 
-    Each series becomes one array; replications are rows, and block starts come from a hash of (seed,
-    replication, block), so a rerun draws the same blocks.  Only series that are one value per month
-    belong here.
+    Each series becomes one array; replications are rows.  Block starts come from a digest of (seed,
+    replication, block), so a rerun on another executor draws the same blocks.  Only series that are
+    one value per month belong here.
     """
     pair = F.when(F.col(value).isNotNull(), F.struct(F.col(order).alias("o"), F.col(value).alias("v")))
     series = df.groupBy(*by).agg(
@@ -72,16 +72,22 @@ def block_bootstrap(
     ).where(F.size("s") > 0)
     n = F.size("s")
     width = F.least(F.lit(block), n)
-    reps = series.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replications))))
+    blocks = F.ceil(n / width).cast("int")
+
     def start(b: Column) -> Column:
-        return F.pmod(F.xxhash64(F.lit(seed), F.col("rep"), b), n)
+        text = F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), b.cast("string"))
+        return F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint"), n)
 
-    draws = F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: F.element_at(
-            "s", (F.pmod(start(F.floor(i / width).cast("int")) + i % width, n) + 1).cast("int")
+    reps = series.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replications))))
+    starts = F.transform(F.sequence(F.lit(0), blocks - 1), start)
+    drawn = F.transform(
+        starts,
+        lambda at: F.transform(
+            F.sequence(F.lit(0), width - 1),
+            lambda i: F.element_at("s", (F.pmod(at + i, n) + 1).cast("int")),
         ),
     )
+    draws = F.slice(F.flatten(drawn), F.lit(1), n)
     mean = F.aggregate(draws, F.lit(0.0), lambda a, v: a + v) / n
     means = reps.select(*by, mean.alias("m"))
     return means.groupBy(*by).agg(

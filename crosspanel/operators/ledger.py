@@ -97,8 +97,44 @@ def affine_scan(
     return scanned.withColumnsRenamed({"o": order, "x": output, "prior": f"prior_{output}"})
 
 
+def with_state(rows: DataFrame, state: DataFrame, stats: DataFrame) -> DataFrame:
+    """Put carried-in holdings in front of the first month as month 0."""
+    first = stats.where("t = 1").select(
+        F.col("eom").alias("next_eom"), F.col("median_lambda").alias("next_median_lambda")
+    )
+    zero = state.select(
+        *[c for c in state.columns if c != "growth"], F.lit(0).alias("t"), "growth",
+        F.lit(1.0).alias("wealth_growth"),
+    ).join(F.broadcast(first))
+    return rows.unionByName(zero, allowMissingColumns=True)
+
+
+def last_state(holdings: DataFrame, stats: DataFrame, keys: Sequence[str] = HOLDING) -> DataFrame:
+    """Holdings, returns, impact and growth of the last month: what a resumed run starts from."""
+    last = stats.orderBy(F.col("t").desc()).limit(1).select("eom", "growth")
+    return holdings.join(F.broadcast(last), "eom").select(
+        *keys, "entity", "weight", "ret_exc_lead1m", "lambda_adv", "growth"
+    )
+
+
+def value_weighted_state(panel: DataFrame, stats: DataFrame, keys: DataFrame) -> DataFrame:
+    """Start from the first month's cap weights, with no return and no growth, for each key row."""
+    from crosspanel.operators.policy import value_weight
+
+    first = stats.where("t = 1").select("eom")
+    rows = value_weight(panel.join(F.broadcast(first), "eom", "left_semi"))
+    start = rows.select(
+        "entity", "weight", F.lit(0.0).alias("ret_exc_lead1m"), "lambda_adv", F.lit(1.0).alias("growth")
+    )
+    return start.join(F.broadcast(keys))
+
+
 def carry_positions(
-    holdings: DataFrame, stats: DataFrame, keys: Sequence[str] = HOLDING, carry: Sequence[str] = ()
+    holdings: DataFrame,
+    stats: DataFrame,
+    keys: Sequence[str] = HOLDING,
+    carry: Sequence[str] = (),
+    state: DataFrame | None = None,
 ) -> DataFrame:
     """Month-t rows for every name held in t or in t-1.
 
@@ -106,9 +142,10 @@ def carry_positions(
     A name that is not held in the next month emits one more row there, marked ``dropped``, with a null
     weight.  The window is one entity's months, so no join of the holdings with themselves is needed.
     """
-    rows = ranks.attach(holdings, stats, ["eom"], "inner").withColumn(
-        "grown", grow(F.col("weight"), F.col("ret_exc_lead1m"), F.col("growth"))
-    )
+    rows = ranks.attach(holdings, stats, ["eom"], "inner")
+    if state is not None:
+        rows = with_state(rows, state, stats)
+    rows = rows.withColumn("grown", grow(F.col("weight"), F.col("ret_exc_lead1m"), F.col("growth")))
     path = W.partitionBy(*keys, "entity").orderBy("t")
     follows = F.lag("t").over(path) == F.col("t") - 1
     stays = F.coalesce(F.lead("t").over(path) == F.col("t") + 1, F.lit(False))
@@ -132,9 +169,10 @@ def carry_positions(
         *[F.lit(None).cast(holdings.schema[c].dataType).alias(c) for c in carry],
     )
     both = F.when(F.col("leaves"), F.array(now, gone)).otherwise(F.array(now))
-    return rows.select(*keys, "entity", F.inline(both)).withColumn(
+    out = rows.select(*keys, "entity", F.inline(both)).withColumn(
         "trade", F.col("weight") - F.col("inherited")
     )
+    return out.where("t > 0") if state is not None else out
 
 
 def dropped(carried: DataFrame) -> DataFrame:
@@ -205,7 +243,150 @@ def ledger(
     aum: float | str = S.AUM,
     gamma: float | str = S.GAMMA,
     variance: DataFrame | None = None,
+    state: DataFrame | None = None,
 ) -> DataFrame:
     """Price any table of monthly weights into monthly returns."""
     carry = [c for c in ("variance",) if c in holdings.columns and variance is None]
-    return evaluate(carry_positions(holdings, stats, keys, carry), keys, aum, gamma, variance=variance)
+    carried = carry_positions(holdings, stats, keys, carry, state)
+    return evaluate(carried, keys, aum, gamma, variance=variance)
+
+
+def inherited_weights(
+    terms: DataFrame, stats: DataFrame, keys: Sequence[str] = HOLDING, state: DataFrame | None = None
+) -> DataFrame:
+    """Holdings of policies w = a + b * inherited, for every key, candidate and month at once.
+
+    ``terms`` has keys, eom, entity, a, b, ret_exc_lead1m, lambda_adv and more columns to keep.  The
+    position is scanned per (keys, entity): b is multiplied by the growth of last month's position.
+    """
+    rows = ranks.attach(terms, stats.select("eom", "t", "growth"), ["eom"], "inner")
+    if state is not None:
+        start = state.select(
+            *keys, "entity", F.col("weight").alias("a"), F.lit(0.0).alias("b"), "ret_exc_lead1m",
+            "lambda_adv", F.lit(0).alias("t"), "growth",
+        )
+        rows = rows.unionByName(start, allowMissingColumns=True)
+    path = W.partitionBy(*keys, "entity").orderBy("t")
+    lift = F.lag(grow(F.lit(1.0), F.col("ret_exc_lead1m"), F.col("growth"))).over(path)
+    rows = rows.withColumn("__b", F.col("b") * F.coalesce(lift, F.lit(0.0)))
+    keep = [c for c in terms.columns if c not in (*keys, "entity", "a", "b", "t")]
+    out = affine_scan(rows, [*keys, "entity"], "t", "a", "__b", "weight", carry=keep)
+    return out.where("t > 0") if state is not None else out
+
+
+def grid_ledger(
+    terms: DataFrame,
+    stats: DataFrame,
+    keys: Sequence[str],
+    aum: float | str = S.AUM,
+    gamma: float | str = S.GAMMA,
+    state: DataFrame | None = None,
+) -> DataFrame:
+    """Positions and pricing of inherited-weight policies over a grid of scenarios and candidates."""
+    held = inherited_weights(terms, stats, keys, state).drop("t")
+    return ledger(held, stats, keys, aum, gamma, state=state)
+
+
+def reconcile_ledger(carried: DataFrame, returns: DataFrame, keys: Sequence[str], aum: float) -> DataFrame:
+    """Rebuild costs from the stock rows and compare with the monthly table."""
+    rebuilt = carried.groupBy("eom", *keys).agg(
+        F.sum(F.lit(aum / 2.0) * F.col("lambda_adv") * F.col("trade") ** 2).alias("__cost"),
+        F.max(F.abs(F.col("trade") - (F.col("weight") - F.col("inherited")))).alias("__identity"),
+    )
+    gap = F.abs(F.col("__cost") - (F.col("trading_cost") - F.col("exit_cost")))
+    utility = F.abs(
+        F.col("utility_flow") - (F.col("net_return") - F.lit(0.5 * S.GAMMA) * F.col("ex_ante_monthly_variance"))
+    )
+    return returns.join(rebuilt, ["eom", *keys]).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("months"),
+        F.max(gap).alias("max_cost_gap"),
+        F.max("__identity").alias("max_trade_gap"),
+        F.max(utility).alias("max_utility_gap"),
+    ).withColumn(
+        "passed",
+        (F.col("max_cost_gap") <= 1e-12) & (F.col("max_trade_gap") <= 1e-12) & (F.col("max_utility_gap") <= 1e-12),
+    )
+
+
+def ledger_warnings(returns: DataFrame, max_weight: float = 5.0, max_leverage: float = 20.0) -> DataFrame:
+    """One row per warning: a large single weight or a large leverage."""
+    notes = F.array(
+        F.when(F.col("max_abs_weight") > max_weight, F.lit("max abs weight")),
+        F.when(F.col("leverage") > max_leverage, F.lit("leverage")),
+    )
+    rows = returns.select("eom", "method", F.explode(F.array_compact(notes)).alias("kind"))
+    return rows.withColumn(
+        "warning", F.concat_ws(" ", F.concat(F.col("eom").cast("string"), F.lit(":")), "method", "kind")
+    )
+
+
+def mechanisms(
+    carried: DataFrame, deciles: DataFrame, aum: float, group_rows: int | None = None, by=("eom", "method")
+) -> DataFrame:
+    """Stock-level trading mechanism per month and policy.
+
+    ``carried`` needs weight, inherited, trade, lambda_adv, adv_6m and aim_weight (null where a policy has none).
+    """
+    rows = carried.where("not dropped").join(deciles.select("eom", "entity", "decile"), ["eom", "entity"])
+    rows = rows.withColumns(
+        {
+            "abs_weight": F.abs("weight"),
+            "abs_trade": F.abs("trade"),
+            "stock_cost": F.lit(0.5 * aum) * F.col("lambda_adv") * F.col("trade") ** 2,
+            "aim_delta": F.col("aim_weight") - F.col("inherited"),
+        }
+    )
+    rows = ranks.ordinal_rank(rows, by, [-F.col("stock_cost"), F.col("entity")], "__by_cost", group_rows, count="__names")
+    rows = ranks.ordinal_rank(rows, by, [-F.col("abs_trade"), F.col("entity")], "__by_trade", group_rows)
+    top = F.greatest(F.lit(1).cast("bigint"), F.ceil(F.lit(0.1) * F.col("__names")))
+    cost, w, lam = F.col("stock_cost"), F.col("abs_weight"), F.col("lambda_adv")
+    total, gross = F.sum(cost), F.sum(w)
+    out = rows.groupBy(*by).agg(
+        total.alias("within_cost"),
+        gross.alias("gross_weight"),
+        F.when(gross > 0, F.sum(F.col("adv_6m") * w) / gross).alias("weighted_adv"),
+        F.when(gross > 0, F.sum(lam * w) / gross).alias("weighted_lambda"),
+        F.when(gross > 0, F.sum(F.when(F.col("decile") == 1, w).otherwise(0.0)) / gross).alias("low_adv_share"),
+        F.when(gross > 0, F.sum(F.when(F.col("decile") == 10, w).otherwise(0.0)) / gross).alias("high_adv_share"),
+        F.when(total > 0, F.sum(F.when(F.col("__by_cost") <= top, cost)) / total).alias("top_names_cost_share"),
+        F.when(total > 0, F.sum(F.when(F.col("__by_trade") <= top, cost)) / total).alias("top_trades_cost_share"),
+        F.sum("abs_trade").alias("trade_l1"),
+        F.sqrt(F.sum(F.col("trade") ** 2)).alias("trade_l2"),
+        F.sqrt(F.sum(lam * F.col("trade") ** 2)).alias("trade_lambda"),
+        F.sum(F.abs("aim_delta")).alias("aim_l1"),
+        F.sqrt(F.sum(lam * F.col("aim_delta") ** 2)).alias("aim_lambda"),
+        F.sum(F.lit(0.5 * aum) * lam * F.col("aim_delta") ** 2).alias("aim_cost"),
+    )
+    return out.withColumns(
+        {
+            "l1_ratio": F.when(F.col("aim_l1") > 0, F.col("trade_l1") / F.col("aim_l1")),
+            "lambda_ratio": F.when(F.col("aim_lambda") > 0, F.col("trade_lambda") / F.col("aim_lambda")),
+        }
+    )
+
+
+def mechanism_scopes(monthly: DataFrame, paths: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Monthly mechanism rows with paths and cost ratios, and their yearly means, as one table."""
+    cost, gross = F.col("trading_cost"), F.abs("gross_return")
+    month = monthly.join(paths, ["eom", "method"]).withColumns(
+        {
+            "exit_share": F.when(cost > 0, F.col("exit_cost") / cost),
+            "coverage": F.when(cost > 0, F.col("within_cost") / cost),
+            "near_zero_gross": gross < 1e-4,
+            "cost_to_gross": cost / F.greatest(gross, F.lit(1e-4)),
+            "year": F.year("eom"),
+        }
+    )
+    year = month.groupBy("method", "year").agg(
+        *[F.avg(c).alias(c) for c in [*columns, "exit_share"]],
+        (F.lit(12.0) * F.avg("gross_return")).alias("gross_return"),
+        (F.lit(12.0) * F.avg("trading_cost")).alias("trading_cost"),
+    ).withColumns(
+        {
+            "near_zero_gross": F.abs("gross_return") < 0.005,
+            "cost_to_gross": F.col("trading_cost") / F.greatest(F.abs("gross_return"), F.lit(0.005)),
+        }
+    )
+    return month.withColumn("scope", F.lit("month")).unionByName(
+        year.withColumn("scope", F.lit("year")), allowMissingColumns=True
+    )

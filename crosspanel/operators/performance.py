@@ -328,7 +328,7 @@ def reconcile(
     rows = reported.select(*keys, *columns).join(right, list(keys), "full_outer")
     gaps = rows.agg(*[F.max(difference(F.col(c), F.col(f"__r_{c}"))).alias(c) for c in columns])
     items = F.array(
-        *[F.struct(F.lit(c).alias("column"), F.col(c).alias("max_difference")) for c in columns]
+        *[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("max_difference")) for c in columns]
     )
     return gaps.select(F.inline(items)).withColumn("passed", F.col("max_difference") <= tolerance)
 
@@ -341,7 +341,7 @@ def runtime_profile(jobs: DataFrame, by: Sequence[str], seconds: str, started: s
         F.percentile(seconds, F.lit(0.5)).alias("p50"),
         F.percentile(seconds, F.lit(0.95)).alias("p95"),
         F.max(seconds).alias("max_seconds"),
-        (F.unix_micros(F.max(ended)) - F.unix_micros(F.min(started))).alias("span_micros"),
+        (F.unix_micros(F.max(ended).cast("timestamp")) - F.unix_micros(F.min(started).cast("timestamp"))).alias("span_micros"),
     )
 
 

@@ -44,37 +44,39 @@ def clean_volatility(
     output: str,
     floor: float = S.VOLATILITY_FLOOR,
     group_rows: int | None = None,
+    by: Sequence[str] = ("eom",),
 ) -> DataFrame:
     """Volatility at or over the floor stays; any other takes the month median of those."""
     value = F.col(column)
     flagged = df.withColumn("__valid", F.when(X.is_finite(value) & (value >= floor), value))
-    medians = ranks.quantiles(flagged, ["eom"], "__valid", {"__median": 0.5}, group_rows)
+    medians = ranks.quantiles(flagged, by, "__valid", {"__median": 0.5}, group_rows)
     default = F.lit(max(floor, S.VOLATILITY_DEFAULT))
     return (
-        ranks.attach(flagged, medians, ["eom"])
+        ranks.attach(flagged, medians, by)
         .withColumn(output, F.coalesce("__valid", "__median", default))
         .drop("__valid", "__median")
     )
 
 
 def unit_norm(
-    df: DataFrame, columns: Sequence[str], prefix: str = "z_", constant: str | None = None
+    df: DataFrame, columns: Sequence[str], prefix: str = "z_", constant: str | None = None,
+    by: Sequence[str] = ("eom",),
 ) -> DataFrame:
     """Demean each signal inside the month and scale it to unit length; a flat signal becomes 0.
 
     The squared length is summed around the mean in a second pass, so it is exact for a signal whose
     mean is large against its spread.
     """
-    means = df.groupBy("eom").agg(
+    means = df.groupBy(*by).agg(
         *[F.avg(c).alias(f"__m_{c}") for c in columns], F.count(F.lit(1)).alias("__names")
     )
-    centred = ranks.attach(df, means, ["eom"]).withColumns(
+    centred = ranks.attach(df, means, by).withColumns(
         {f"__c_{c}": F.coalesce(F.col(c) - F.col(f"__m_{c}"), F.lit(0.0)) for c in columns}
     )
-    lengths = centred.groupBy("eom").agg(
+    lengths = centred.groupBy(*by).agg(
         *[F.sqrt(F.sum(F.col(f"__c_{c}") ** 2)).alias(f"__l_{c}") for c in columns]
     )
-    out = ranks.attach(centred, lengths, ["eom"])
+    out = ranks.attach(centred, lengths, by)
     scaled = {
         f"{prefix}{c}": F.when(
             F.col(f"__l_{c}") > S.NORM_FLOOR, F.col(f"__c_{c}") / F.col(f"__l_{c}")

@@ -93,25 +93,32 @@ def final(body: str, *columns: str, ctes: str = "") -> str:
     return f"{with_}SELECT {', '.join(parts)} FROM ({body}) AS result"
 
 
-def ledger_ctes(weights: str, keys: str = "method", source: str = "uni", aum: str = "1e5", gamma: str = "1e1", tag: str = "") -> str:
-    """Price the CTE ``weights``(keys, eom, entity, weight, variance) into monthly rows ``rets``."""
-    k = [c.strip() for c in keys.split(",")]
-    kl = ", ".join(k)
-    on = " AND ".join(f"c.{c} = p.{c}" for c in k)
-    ck = ", ".join(f"coalesce(c.{c}, p.{c}) AS {c}" for c in k)
+def growth_ctes(source: str = "uni", tag: str = "") -> str:
+    """Month numbers and the growth that carries holdings forward."""
     return f"""
 months{tag} AS (
-  SELECT eom, row_number() OVER (ORDER BY eom) AS t FROM {source} GROUP BY eom HAVING count(ret_exc_lead1m) > 0),
+  SELECT eom, CAST(row_number() OVER (ORDER BY eom) AS INTEGER) AS t FROM {source} GROUP BY eom HAVING count(ret_exc_lead1m) > 0),
 growth_raw{tag} AS (
   SELECT m.eom, m.t, CASE WHEN sum(CASE WHEN ok THEN lag_mktcap END) > 0 THEN
     greatest(1e0 + sum(CASE WHEN ok THEN lag_mktcap * ret_exc_lead1m END) / sum(CASE WHEN ok THEN lag_mktcap END), 0.1e0) END AS g
   FROM (SELECT *, lag_mktcap > 0 AND ret_exc_lead1m IS NOT NULL AS ok FROM {source}) u JOIN months{tag} m USING (eom) GROUP BY m.eom, m.t),
 growth{tag} AS (
   SELECT eom, t, coalesce(last_value(g IGNORE NULLS) OVER (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1e0) AS growth
-  FROM growth_raw{tag}),
+  FROM growth_raw{tag})"""
+
+
+def pricing_ctes(
+    weights: str, keys: str = "method", source: str = "uni", aum: str = "1e5", gamma: str = "1e1", tag: str = "", gtag: str = ""
+) -> str:
+    """Price the CTE ``weights``(keys, eom, entity, weight, variance) into monthly rows ``rets``."""
+    k = [c.strip() for c in keys.split(",")]
+    kl = ", ".join(k)
+    on = " AND ".join(f"c.{c} = p.{c}" for c in k)
+    ck = ", ".join(f"coalesce(c.{c}, p.{c}) AS {c}" for c in k)
+    return f"""
 priced{tag} AS (
   SELECT w.*, g.t, g.growth, u.ret_exc_lead1m, u.lambda_adv
-  FROM {weights} w JOIN growth{tag} g USING (eom) JOIN {source} u USING (eom, entity)),
+  FROM {weights} w JOIN growth{gtag} g USING (eom) JOIN {source} u USING (eom, entity)),
 carried{tag} AS (
   SELECT {ck}, coalesce(c.entity, p.entity) AS entity, coalesce(c.t, p.t + 1) AS t, c.weight, c.variance,
     c.ret_exc_lead1m, c.lambda_adv, p.lambda_adv AS prior_lambda,
@@ -119,7 +126,7 @@ carried{tag} AS (
     c.weight IS NULL AS dropped
   FROM priced{tag} c FULL OUTER JOIN priced{tag} p ON {on} AND c.entity = p.entity AND c.t = p.t + 1),
 medians{tag} AS (SELECT eom, median(lambda_adv) AS median_lambda FROM {source} GROUP BY eom),
-wealth{tag} AS (SELECT eom, t, lag(growth, 1, 1e0) OVER (ORDER BY t) AS wealth_growth FROM growth{tag}),
+wealth{tag} AS (SELECT eom, t, lag(growth, 1, 1e0) OVER (ORDER BY t) AS wealth_growth FROM growth{gtag}),
 rets_raw{tag} AS (
   SELECT eom, t, {kl},
     sum(CASE WHEN NOT dropped THEN weight * coalesce(ret_exc_lead1m, 0e0) END) AS gross_return,
@@ -130,7 +137,7 @@ rets_raw{tag} AS (
     sum(greatest(-weight, 0e0)) FILTER (WHERE weight IS NOT NULL) AS short_exposure,
     count(*) FILTER (WHERE weight <> 0) AS n_names, count(*) FILTER (WHERE dropped) AS dropped_names,
     sum(abs(weight) * lambda_adv) AS weighted_lambda, max(lambda_adv) AS max_lambda_adv, max(wealth_growth) AS wealth_growth,
-    sum(weight * weight * variance) AS ex_ante_monthly_variance
+    sum(weight * weight * variance) AS ex_ante_monthly_variance, max(abs(weight)) AS max_abs_weight
   FROM carried{tag} JOIN wealth{tag} USING (t) JOIN medians{tag} USING (eom) GROUP BY eom, t, {kl}
   HAVING sum(abs(weight)) IS NOT NULL),
 rets{tag} AS (
@@ -142,6 +149,23 @@ rets{tag} AS (
   FROM rets_raw{tag})"""
 
 
+def ledger_ctes(weights: str, keys: str = "method", source: str = "uni", aum: str = "1e5", gamma: str = "1e1", tag: str = "") -> str:
+    return growth_ctes(source, tag) + "," + pricing_ctes(weights, keys, source, aum, gamma, tag, tag)
+
+
+def scan_ctes(terms: str, keys: str, out: str = "positions") -> str:
+    """Positions x = a + b * lifted previous x of the CTE ``terms``(keys, entity, eom, t, a, b, lift)."""
+    k = [c.strip() for c in keys.split(",")]
+    kl = ", ".join(k)
+    join = " AND ".join(f"n.{c} = p.{c}" for c in [*k, "entity"])
+    return f"""
+{out}_marked AS (SELECT *, coalesce(lag(t) OVER (PARTITION BY {kl}, entity ORDER BY t) = t - 1, false) AS follows FROM {terms}),
+{out} AS (
+  SELECT {kl}, entity, eom, t, variance, a AS weight, lift FROM {out}_marked WHERE NOT follows
+  UNION ALL SELECT {", ".join("n." + c for c in k)}, n.entity, n.eom, n.t, n.variance, n.a + n.b * (p.weight * p.lift), n.lift
+  FROM {out} p JOIN {out}_marked n ON {join} AND n.t = p.t + 1 AND n.follows)"""
+
+
 UNIVERSE = """
 uni_base AS (SELECT * FROM panel WHERE in_mid),
 uni_median AS (SELECT eom, median(CASE WHEN vol_12m > 0 THEN vol_12m END) AS med FROM uni_base GROUP BY eom),
