@@ -83,3 +83,10 @@ def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared(
         spark, sf_dir, "returns", lambda: ledger.ledger(held(spark, sf_dir), stats(spark, sf_dir), aum=AUM)
     )
+
+
+def release() -> None:
+    """Give shared tables back."""
+    for df in _SHARED.values():
+        df.unpersist()
+    _SHARED.clear()
