@@ -128,8 +128,11 @@ def check_lambda(df: DataFrame, k: float = S.LAMBDA_MULTIPLIER, rtol: float = 1e
     )
 
 
-def check_tail(df: DataFrame, column: str = "lambda_adv", limit: float = S.LAMBDA_TAIL_RATIO) -> DataFrame:
-    points = ranks.quantiles(df, [], column, {"median": 0.5, "p99": 0.99})
+def check_tail(
+    df: DataFrame, column: str = "lambda_adv", limit: float = S.LAMBDA_TAIL_RATIO, rows: int | None = None
+) -> DataFrame:
+    """``rows`` is a known bound of the panel's size; without it the quantiles go by value buckets."""
+    points = ranks.quantiles(df, [], column, {"median": 0.5, "p99": 0.99}, rows)
     ratio = F.when(F.col("median") > 0, F.col("p99") / F.col("median"))
     return _row(
         points, "transaction_cost_extremes", F.coalesce(ratio <= limit, F.lit(True)), "warning",
@@ -151,11 +154,13 @@ def check_count_jumps(df: DataFrame, flag: str, fraction: float = S.COUNT_JUMP_F
     )
 
 
-def check_market_cap(df: DataFrame, flag: str, column: str = "lag_mktcap") -> DataFrame:
+def check_market_cap(
+    df: DataFrame, flag: str, column: str = "lag_mktcap", group_rows: int | None = None
+) -> DataFrame:
     rows = df.where(F.coalesce(F.col(flag), F.lit(False)))
     bad = rows.agg(F.count_if(_invalid(column)).alias("n"))
     points = ranks.quantiles(
-        rows.where(X.is_finite(F.col(column))), [], column, {"p01": 0.01, "median": 0.5, "p99": 0.99}
+        rows.where(X.is_finite(F.col(column))), [], column, {"p01": 0.01, "median": 0.5, "p99": 0.99}, group_rows
     ).join(F.broadcast(bad))
     return _row(
         points, "market_cap_distribution", F.col("n") == 0, "warning",
@@ -199,18 +204,22 @@ def check_risk_tables(tables: Mapping[str, DataFrame | None], required: Mapping[
     return report(*rows)
 
 
-def unit_audit(df: DataFrame, factor_returns: DataFrame, k: float = S.LAMBDA_MULTIPLIER) -> DataFrame:
+def unit_audit(
+    df: DataFrame, factor_returns: DataFrame, k: float = S.LAMBDA_MULTIPLIER, group_rows: int | None = None
+) -> DataFrame:
     """Median and tails of returns, volatility, volume and factor returns, with their unit gates."""
     def spread(column: str) -> DataFrame:
         rows = df.withColumn("__v", X.finite(F.col(column)))
-        return ranks.quantiles(rows, [], "__v", {"p01": 0.01, "median": 0.5, "p99": 0.99})
+        return ranks.quantiles(rows, [], "__v", {"p01": 0.01, "median": 0.5, "p99": 0.99}, group_rows)
 
-    size = ranks.quantiles(df.withColumn("__v", F.abs(X.finite(F.col("ret_1m")))), [], "__v", {"p99": 0.99})
+    size = ranks.quantiles(
+        df.withColumn("__v", F.abs(X.finite(F.col("ret_1m")))), [], "__v", {"p99": 0.99}, group_rows
+    )
     error = df.where(F.col("adv_6m") > 0).agg(
         F.max(F.abs(F.col("lambda_adv") / (F.lit(k) / F.col("adv_6m")) - 1)).alias("e")
     )
     tail = ranks.quantiles(
-        factor_returns.withColumn("__v", F.abs(X.finite(F.col("factor_return")))), [], "__v", {"p999": 0.999}
+        factor_returns.withColumn("__v", F.abs(X.finite(F.col("factor_return")))), [], "__v", {"p999": 0.999}, group_rows
     )
     points = {"p01": F.col("p01"), "median": F.col("median"), "p99": F.col("p99")}
     return report(

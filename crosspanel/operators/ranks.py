@@ -7,6 +7,13 @@ offset by the row counts of the buckets below it.  Both ways give the same exact
 
 The cut points come from a hash sample of the group's own sort keys.  A hash sample is a pure function
 of the data, so a recomputed partition sees the same buckets as the partition it replaces.
+
+Groups are months, feature-months or policy-months: their number is bounded by the calendar and the
+feature list, so the table of group sizes and the table of cuts (at most MAX_BUCKETS values a group)
+are small enough to broadcast, and rows are never shuffled on a group key alone.
+
+Group keys must not be null (panel keys never are), so every join is a plain equi-join and the bucket
+windows and their offsets meet on one partitioning.
 """
 
 from __future__ import annotations
@@ -15,9 +22,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-WINDOW_ROWS = 4_000_000  # largest group ordered in one task
+WINDOW_ROWS = 1_000_000  # largest group ordered in one task
 BUCKET_ROWS = 500_000  # wished rows per bucket beyond it
-MAX_BUCKETS = 4_096
+MAX_BUCKETS = 1_024
 
 
 def largest_group(df: DataFrame, by: Sequence[str]) -> int:
@@ -30,17 +37,6 @@ def fits_one_task(group_rows: int | None) -> bool:
     return group_rows is not None and group_rows <= WINDOW_ROWS
 
 
-def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    """Equi-join that keeps null keys together (a null group key is a group of its own)."""
-    renamed = right
-    condition = F.lit(True)
-    for key in keys:
-        renamed = renamed.withColumnRenamed(key, f"__r_{key}")
-        condition = condition & left[key].eqNullSafe(F.col(f"__r_{key}"))
-    joined = left.join(renamed, condition, how)
-    return joined.drop(*[f"__r_{key}" for key in keys])
-
-
 def bucket_by_value(
     df: DataFrame, by: Sequence[str], key: str, rows: str | None = None, bucket_rows: int = BUCKET_ROWS
 ) -> DataFrame:
@@ -54,7 +50,7 @@ def bucket_by_value(
     buckets = F.least(F.lit(MAX_BUCKETS), F.ceil(F.col("__keys") / F.lit(bucket_rows)))
     step = F.greatest(F.lit(1).cast("bigint"), F.floor(F.col("__keys") / (buckets * F.lit(8))))
     source = df.select(*by, key)
-    sized = _null_safe(source, sizes, by)
+    sized = source.join(F.broadcast(sizes), by, "left")
     picked = sized.where(F.pmod(F.xxhash64(key), step) == 0)
     sample = F.array_sort(F.collect_set(key))
     cut = picked.groupBy(*by).agg(sample.alias("__sample"), F.max(buckets).alias("__n"))
@@ -66,7 +62,7 @@ def bucket_by_value(
             " i -> __sample[cast(least(size(__sample) - 1, floor(i * size(__sample) / __n)) as int)])"
         ).alias("__cuts"),
     )
-    out = _null_safe(df, cut, by)
+    out = df.join(F.broadcast(cut), by, "left")
     below = F.filter(F.col("__cuts"), lambda c: c <= F.col(key))
     return out.withColumn("__bucket", F.coalesce(F.size(below), F.lit(0))).drop("__cuts").withColumn(
         "__w", weight
@@ -118,7 +114,7 @@ def cumulative_counts(
     bucketed = bucket_by_value(distinct, by, value, rows="n", bucket_rows=bucket_rows)
     inside = W.partitionBy(*by, "__bucket").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     local = bucketed.withColumn("__local", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    return _null_safe(local, _offsets(bucketed, by), [*by, "__bucket"]).select(
+    return local.join(_offsets(bucketed, by), [*by, "__bucket"], "left").select(
         *by,
         value,
         "n",
@@ -137,20 +133,61 @@ def with_counts(
     """Keep every row and add ``__n``, ``__below``, ``__total`` of its value (null for a null value)."""
     df, by = _grouped(df, by)
     if fits_one_task(group_rows):
+        # One ordered window: rows at or under the value, and its first place among them.
         span = W.partitionBy(*by)
+        order = span.orderBy(F.col(value).asc_nulls_last())
         present = F.col(value).isNotNull()
+        upto = F.count(value).over(order.rangeBetween(W.unboundedPreceding, W.currentRow))
         return (
-            df.withColumn("__total", F.count(value).over(span))
-            .withColumn("__r", F.rank().over(span.orderBy(F.col(value).asc_nulls_last())))
-            .withColumn("__n", F.when(present, F.count(value).over(W.partitionBy(*by, value))))
-            .withColumn("__below", F.when(present, F.col("__r") - 1))
-            .withColumn("__total", F.when(present, F.col("__total")))
-            .drop("__r")
+            df.withColumns({"__r": F.rank().over(order), "__upto": upto, "__total": F.count(value).over(span)})
+            .withColumns(
+                {
+                    "__n": F.when(present, F.col("__upto") - F.col("__r") + 1),
+                    "__below": F.when(present, F.col("__r") - 1),
+                    "__total": F.when(present, F.col("__total")),
+                }
+            )
+            .drop("__r", "__upto")
         )
     counts = cumulative_counts(df, by, value, group_rows, bucket_rows).withColumnsRenamed(
         {"n": "__n", "below": "__below", "total": "__total"}
     )
-    return _null_safe(df, counts, [*by, value])
+    return df.join(counts, [*by, value], "left")
+
+
+def percentile_ranks(
+    df: DataFrame,
+    by: Sequence[str],
+    columns: dict[str, str],
+    group_rows: int | None = None,
+    neutral: float = 0.5,
+    **kw,
+) -> DataFrame:
+    """Percentile ranks of several columns at once: {value column: output column}.
+
+    Groups that fit a task are partitioned once and share one count; only the orderings differ.
+    """
+    if not fits_one_task(group_rows):
+        # Each column's counts come from the input, not from the ranked rows of the column before.
+        out = df
+        for value, output in columns.items():
+            counts = cumulative_counts(df, by, value, group_rows, **kw)
+            share = (F.col("below") + (F.col("n") + 1) / F.lit(2.0)) / F.col("total")
+            table = counts.select(*by, value, share.alias(output))
+            out = out.join(table, [*by, value], "left").withColumn(output, F.coalesce(output, F.lit(neutral)))
+        return out
+    span = W.partitionBy(*by)
+    out = df.withColumns({f"__t_{v}": F.count(v).over(span) for v in columns})
+    for v in columns:
+        order = span.orderBy(F.col(v).asc_nulls_last())
+        upto = F.count(v).over(order.rangeBetween(W.unboundedPreceding, W.currentRow))
+        out = out.withColumns({f"__r_{v}": F.rank().over(order), f"__u_{v}": upto})
+    ranked = {}
+    for v, output in columns.items():
+        middle = (F.col(f"__r_{v}") + F.col(f"__u_{v}")) / F.lit(2.0)
+        share = F.when(F.col(v).isNotNull(), middle / F.col(f"__t_{v}"))
+        ranked[output] = F.coalesce(share, F.lit(neutral))
+    return out.withColumns(ranked).drop(*[f"__{k}_{v}" for v in columns for k in "tru"])
 
 
 def average_rank(
@@ -212,7 +249,7 @@ def ordinal_rank(
     local = bucketed.withColumn(
         "__local", F.row_number().over(W.partitionBy(*by, "__bucket").orderBy("__key"))
     )
-    out = _null_safe(local, _offsets(bucketed, by), [*by, "__bucket"]).withColumn(
+    out = local.join(_offsets(bucketed, by), [*by, "__bucket"], "left").withColumn(
         output, (F.col("__offset") + F.col("__local")).cast("int")
     )
     if count:
@@ -251,7 +288,7 @@ def quantiles(
         columns.append((lo + (hi - lo) * part).alias(name))
     result = found.select(*by, *columns)
     if by:  # groups whose values are all null keep a row of nulls
-        return _null_safe(df.select(*by).distinct(), result, by)
+        return df.select(*by).distinct().join(result, by, "left")
     return result
 
 

@@ -33,6 +33,11 @@ def bound(spark: SparkSession, sf_dir: str) -> int:
     return source.month_rows(spark, sf_dir)
 
 
+def rows(spark: SparkSession, sf_dir: str) -> int:
+    """An upper bound of the panel's rows, for statistics over a whole column."""
+    return bound(spark, sf_dir) * source.MONTHS
+
+
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived panel with universe flags and all feature ranks."""
     return shared(
@@ -85,8 +90,7 @@ def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def release() -> None:
-    """Give shared tables back."""
-    for df in _SHARED.values():
-        df.unpersist()
-    _SHARED.clear()
+def release(keep: tuple[str, ...] = ()) -> None:
+    """Give shared tables back, but for the named ones."""
+    for key in [k for k in _SHARED if k[2] not in keep]:
+        _SHARED.pop(key).unpersist()

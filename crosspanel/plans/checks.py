@@ -129,7 +129,7 @@ def check_lambda(spark, sf_dir):
     "SELECT *, p99 / median AS ratio FROM (SELECT median(lambda_adv) AS median, quantile_cont(lambda_adv, 0.99) AS p99 FROM panel)",
 )
 def check_tail(spark, sf_dir):
-    return quality.check_tail(base.panel(spark, sf_dir))
+    return quality.check_tail(base.panel(spark, sf_dir), rows=base.rows(spark, sf_dir))
 
 
 @check(
@@ -153,7 +153,7 @@ def check_count_jumps(spark, sf_dir):
     "SELECT (count(*) FILTER (WHERE NOT coalesce(lag_mktcap > 0, false)))::DOUBLE AS invalid_rows, quantile_cont(lag_mktcap, 0.01) AS p01, median(lag_mktcap) AS median, quantile_cont(lag_mktcap, 0.99) AS p99 FROM panel WHERE in_mid",
 )
 def check_market_cap(spark, sf_dir):
-    return quality.check_market_cap(base.panel(spark, sf_dir), "in_mid")
+    return quality.check_market_cap(base.panel(spark, sf_dir), "in_mid", group_rows=base.rows(spark, sf_dir))
 
 
 @check(
@@ -206,7 +206,9 @@ def check_risk_tables(spark, sf_dir):
     f"{PANEL},{FACTORS}",
 )
 def unit_audit(spark, sf_dir):
-    rows = quality.unit_audit(base.panel(spark, sf_dir), factor_days(spark, sf_dir))
+    rows = quality.unit_audit(
+        base.panel(spark, sf_dir), factor_days(spark, sf_dir), group_rows=base.rows(spark, sf_dir)
+    )
     get = lambda n: F.try_element_at("details", F.lit(n)).alias(n)
     return rows.select(
         F.col("check").alias("check_name"), "passed", "severity", *[get(n) for n in ("p01", "median", "p99", "max_relative_error", "abs_p999")]
@@ -301,6 +303,6 @@ def validation_report(spark, sf_dir):
         quality.check_lambda(rows),
         quality.check_label(rows),
         quality.check_min_price(rows, "in_mid"),
-        quality.check_tail(rows),
+        quality.check_tail(rows, rows=base.rows(spark, sf_dir)),
     )
     return found.withColumnRenamed("check", "check_name")

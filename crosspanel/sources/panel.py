@@ -23,6 +23,8 @@ THEMES = {
     "momentum": "Momentum",
 }
 
+MONTHS = 1200  # a century of months: the widest calendar a panel can have
+
 _MONTH_ROWS: dict[tuple[str, str], int] = {}
 
 
@@ -112,10 +114,9 @@ def build_panel(
     bound = month_rows(spark, sf_dir, entity)
     if universe:
         panel = universe_flags(panel, group_rows=bound)
-    for feature in features:
-        panel = ranks.percentile_rank(
-            panel, ["eom"], f"raw_{feature}", f"rank_{feature}", bound, neutral=S.NEUTRAL_RANK
-        )
+    if features:
+        columns = {f"raw_{f}": f"rank_{f}" for f in features}
+        panel = ranks.percentile_ranks(panel, ["eom"], columns, bound, neutral=S.NEUTRAL_RANK)
     return panel
 
 
