@@ -280,39 +280,61 @@ def speed_stats(long: DataFrame) -> DataFrame:
 
 def dense_ledger_weights(
     rows: DataFrame, matrices: DataFrame, stats: DataFrame, candidates: DataFrame, keys: Sequence[str],
-    max_rows: int = 2_000_000,
+    updates: int = S.SPEED_UPDATES, max_rows: int = 2_000_000,
 ) -> DataFrame:
     """Inherited-weight positions under factored risk: one month fold per candidate, many at once.
 
+    ``candidates`` has the keys and kind, gamma, aum, return_scale, diagonal_shrinkage, cost_scale.
+    Kind ``static`` solves (gamma (S + v diag S + ridge) + A c L) w = s mu + A c L inherited with
+    S = BFB' + D by diagonal plus low rank, so no names x names matrix is formed.  Kind ``aim`` trades
+    by the dense speed matrix towards the column ``aim_weight``.
+
     The fold of a candidate reads its whole top-N history (months x N rows), which is bounded by the
-    universe and the calendar; the check refuses a larger one.  Static policies solve
-    (gamma (BFB'+D+ridge) + A L/phi) w = s mu + A L/phi inherited by diagonal plus low rank, so no
-    names x names matrix is formed.
+    universe and the calendar; the check refuses a larger one.
     """
     total = rows.count()
     if total > max_rows:
         raise ValueError(f"{total} rows per candidate: use the diagonal scan")
-    needed = rows.select("eom", "entity", "mu", "loadings", "idio_variance", "lambda_adv", "ret_exc_lead1m")
+    if "aim_weight" not in rows.columns:
+        rows = rows.withColumn("aim_weight", F.lit(0.0))
+    needed = rows.select(
+        "eom", "entity", "mu", "aim_weight", "loadings", "idio_variance", "lambda_adv", "ret_exc_lead1m"
+    )
     joined = ranks.attach(needed, stats.select("eom", "t", "growth"), ["eom"], "inner")
     joined = ranks.attach(joined, matrices, ["eom"], "inner")
     spread = joined.join(F.broadcast(candidates))
     fields = ", ".join(f"{k} {candidates.schema[k].dataType.simpleString()}" for k in keys)
+    growth = 1.0 + S.RISK_FREE_RATE + S.EXPECTED_MARKET_RETURN
+
+    def static(month, prior, factor, head) -> np.ndarray:
+        gamma, shrink = float(head["gamma"]), float(head["diagonal_shrinkage"])
+        b = np.array(month["loadings"].tolist(), dtype=float)
+        idio = month["idio_variance"].to_numpy(float)
+        own = np.einsum("ni,ij,nj->n", b, factor, b) + idio
+        pull = float(head["aum"]) * float(head["cost_scale"]) * month["lambda_adv"].to_numpy(float)
+        d = gamma * (idio + shrink * own + S.COVARIANCE_RIDGE) + pull
+        rhs = float(head["return_scale"]) * month["mu"].to_numpy(float) + pull * prior
+        inner = np.eye(len(factor)) + gamma * factor @ (b.T @ (b / d[:, None]))
+        return (rhs - b @ np.linalg.solve(inner, gamma * factor @ (b.T @ (rhs / d)))) / d
+
+    def aim(month, prior, factor, head) -> np.ndarray:
+        b = np.array(month["loadings"].tolist(), dtype=float)
+        risk = b @ factor @ b.T + np.diag(month["idio_variance"].to_numpy(float))
+        m = _speed_matrix(
+            risk, month["lambda_adv"].to_numpy(float), float(head["gamma"]), float(head["aum"]), growth, updates
+        )
+        goal = month["aim_weight"].to_numpy(float)
+        return goal + m @ (prior - goal)
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["t", "entity"])
         head = part.iloc[0]
-        gamma, aum, phi, shrink = (float(head[c]) for c in ("gamma", "aum", "phi", "shrinkage"))
         held, last_t, out = pd.Series(dtype=float), None, []
         for t, month in part.groupby("t", sort=True):
             ids = month["entity"].to_numpy()
             prior = held.reindex(ids).fillna(0.0).to_numpy() if last_t == t - 1 else np.zeros(len(ids))
-            pull = aum / phi * month["lambda_adv"].to_numpy(float)
-            d = gamma * (month["idio_variance"].to_numpy(float) + S.COVARIANCE_RIDGE) + pull
-            b = np.array(month["loadings"].tolist(), dtype=float)
-            f = gamma * np.array([np.asarray(r, dtype=float) for r in month["factor_cov"].iloc[0]])
-            rhs = shrink * month["mu"].to_numpy(float) + pull * prior
-            inner = np.linalg.solve(np.eye(len(f)) + f @ (b.T @ (b / d[:, None])), f @ (b.T @ (rhs / d)))
-            w = (rhs - b @ inner) / d
+            factor = np.array([np.asarray(r, dtype=float) for r in month["factor_cov"].iloc[0]])
+            w = (aim if head["kind"] == "aim" else static)(month, prior, factor, head)
             out.append(pd.DataFrame({"eom": month["eom"].to_numpy(), "entity": ids, "weight": w}))
             lift = (1.0 + month["ret_exc_lead1m"].fillna(0.0).to_numpy(float)) / float(month["growth"].iloc[0])
             held, last_t = pd.Series(w * lift, index=ids), t

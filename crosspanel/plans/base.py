@@ -34,8 +34,8 @@ def bound(spark: SparkSession, sf_dir: str) -> int:
 
 
 def rows(spark: SparkSession, sf_dir: str) -> int:
-    """An upper bound of the panel's rows, for statistics over a whole column."""
-    return bound(spark, sf_dir) * source.MONTHS
+    """Measured rows of the panel, for statistics over a whole column."""
+    return source.panel_sizes(spark, sf_dir)[1]
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:

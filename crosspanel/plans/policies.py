@@ -667,15 +667,25 @@ def dense_speed_stats(spark, sf_dir):
     )
 
 
-@register("dense_ledger", "phi:4 shrinkage:4 eom gross_return:8 trading_cost:8 net_return:8 turnover:8 leverage:8")
+@register("dense_ledger", "candidate eom gross_return:8 trading_cost:8 net_return:8 turnover:8 leverage:8")
 def dense_ledger(spark, sf_dir):
-    """Static policy under factored risk, one fold per candidate."""
-    rows = small_risk(spark, sf_dir)
+    """Static, adjusted static and aim policies under factored risk, one fold per candidate."""
+    rows = small_risk(spark, sf_dir).withColumn("aim_weight", F.lit(0.5) * F.col("mu"))
     stats = base.stats(spark, sf_dir)
-    candidates = stats.limit(1).select(
-        F.lit(S.GAMMA).alias("gamma"), F.lit(AUM).alias("aum"), F.explode(F.array(*[F.lit(p) for p in (1.0, 6.0)])).alias("phi")
-    ).withColumn("shrinkage", F.explode(F.array(F.lit(0.1), F.lit(0.5))))
-    keys = ["phi", "shrinkage"]
-    held = portfolio_ml.dense_ledger_weights(rows, matrices(spark, sf_dir), stats, candidates, keys)
+    options = [
+        ("phi=1 s=0.1", "static", 0.1, 0.0, 1.0), ("phi=6 s=0.5", "static", 0.5, 0.0, 1.0 / 6.0),
+        ("u=0.5 v=0.25 k=2", "static", 0.5, 0.25, 2.0), ("aim", "aim", 0.0, 0.0, 0.0),
+    ]
+    items = F.array(
+        *[
+            F.struct(
+                F.lit(c).alias("candidate"), F.lit(kind).alias("kind"), F.lit(s).alias("return_scale"),
+                F.lit(v).alias("diagonal_shrinkage"), F.lit(k).alias("cost_scale"),
+            )
+            for c, kind, s, v, k in options
+        ]
+    )
+    candidates = stats.limit(1).select(F.lit(S.GAMMA).alias("gamma"), F.lit(AUM).alias("aum"), F.inline(items))
+    held = portfolio_ml.dense_ledger_weights(rows, matrices(spark, sf_dir), stats, candidates, ["candidate"])
     loads = rows.select("eom", "entity", "ret_exc_lead1m", "lambda_adv", F.col("factor_total_variance").alias("variance"))
-    return ledger.ledger(held.join(loads, ["eom", "entity"]), stats, keys, aum=AUM)
+    return ledger.ledger(held.join(loads, ["eom", "entity"]), stats, ["candidate"], aum=AUM)

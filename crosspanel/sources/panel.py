@@ -23,9 +23,7 @@ THEMES = {
     "momentum": "Momentum",
 }
 
-MONTHS = 1200  # a century of months: the widest calendar a panel can have
-
-_MONTH_ROWS: dict[tuple[str, str], int] = {}
+_SIZES: dict[tuple[str, str], tuple[int, int]] = {}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -53,17 +51,19 @@ def monthly_aggregates(spark: SparkSession, sf_dir: str, entity: str = "l_suppke
     )
 
 
-def month_rows(spark: SparkSession, sf_dir: str, entity: str = "l_suppkey") -> int:
-    """Entities in the largest month: the measured group size that lets a month be ordered in one task."""
+def panel_sizes(spark: SparkSession, sf_dir: str, entity: str = "l_suppkey") -> tuple[int, int]:
+    """Entities in the largest month and rows of the panel: the measured group sizes that let a month,
+    or a whole column, be ordered in one task."""
     key = (sf_dir, entity)
-    if key not in _MONTH_ROWS:
-        pairs = (
-            read(spark, sf_dir, "lineitem")
-            .select(entity, F.last_day("l_shipdate").alias("eom"))
-            .distinct()
-        )
-        _MONTH_ROWS[key] = ranks.largest_group(pairs, ["eom"])
-    return _MONTH_ROWS[key]
+    if key not in _SIZES:
+        pairs = read(spark, sf_dir, "lineitem").select(entity, F.last_day("l_shipdate").alias("eom")).distinct()
+        row = pairs.groupBy("eom").count().agg(F.max("count"), F.sum("count")).first()
+        _SIZES[key] = (int(row[0] or 0), int(row[1] or 0))
+    return _SIZES[key]
+
+
+def month_rows(spark: SparkSession, sf_dir: str, entity: str = "l_suppkey") -> int:
+    return panel_sizes(spark, sf_dir, entity)[0]
 
 
 def build_panel(
