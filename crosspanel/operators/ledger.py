@@ -70,31 +70,44 @@ def grow(weight, ret, growth):
 
 
 def affine_scan(
-    df: DataFrame, keys: Sequence[str], order: str, a: str, b: str, output: str, carry: Sequence[str] = ()
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    a: str,
+    b: str,
+    output: str,
+    carry: Sequence[str] = (),
+    lift: str | None = None,
 ) -> DataFrame:
-    """x = a + b * (previous x) along ``order`` inside ``keys``; starts at 0 and after a gap.
+    """x = a + b * (previous x, lifted) along ``order`` inside ``keys``; starts at 0 and after a gap.
 
-    One key holds at most one row per month, so the sorted array of a key is calendar-bounded.
+    ``lift`` names a column of the previous row that its x is multiplied by on the way.  One key holds
+    at most one row per month, so the sorted array of a key is calendar-bounded.  The fold carries
+    bare numbers; the other columns are put back by position.
     """
-    row = F.struct(F.col(order).alias("o"), F.col(a).alias("a"), F.col(b).alias("b"),
-                   *[F.col(c) for c in carry])
+    row = F.struct(
+        F.col(order).alias("o"), F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"),
+        (F.col(lift) if lift else F.lit(1.0)).alias("l"), *[F.col(c) for c in carry],
+    )
     grouped = df.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    start = F.struct(
+        F.lit(None).cast(df.schema[order].dataType).alias("o"), F.lit(0.0).alias("held"),
+        F.array().cast("array<struct<x: double, prior: double>>").alias("path"),
+    )
 
     def step(acc, item):
-        seen = F.size(acc) > 0
-        last = F.element_at(acc, -1)
-        before = F.when(seen & (last["o"] == item["o"] - 1), last["x"]).otherwise(F.lit(0.0))
-        nxt = F.struct(
-            item["o"].alias("o"), (item["a"] + item["b"] * before).alias("x"), before.alias("prior"),
-            *[item[c].alias(c) for c in carry],
+        prior = F.when(acc["o"] == item["o"] - 1, acc["held"]).otherwise(F.lit(0.0))
+        x = item["a"] + item["b"] * prior
+        point = F.struct(x.alias("x"), prior.alias("prior"))
+        return F.struct(
+            item["o"].alias("o"), (x * item["l"]).alias("held"), F.concat(acc["path"], F.array(point)).alias("path")
         )
-        return F.concat(acc, F.array(nxt))
 
-    order_type = df.schema[order].dataType.simpleString()
-    carried = "".join(f", {c}: {df.schema[c].dataType.simpleString()}" for c in carry)
-    empty = F.array().cast(f"array<struct<o: {order_type}, x: double, prior: double{carried}>>")
-    scanned = grouped.select(*keys, F.inline(F.aggregate("rows", empty, step)))
-    return scanned.withColumnsRenamed({"o": order, "x": output, "prior": f"prior_{output}"})
+    path = F.aggregate("rows", start, step, lambda acc: acc["path"])
+    scanned = grouped.select(*keys, F.inline(F.zip_with("rows", path, lambda r, p: F.struct(
+        r["o"].alias(order), p["x"].alias(output), p["prior"].alias(f"prior_{output}"), *[r[c].alias(c) for c in carry]
+    ))))
+    return scanned
 
 
 def with_state(rows: DataFrame, state: DataFrame, stats: DataFrame) -> DataFrame:
@@ -266,11 +279,9 @@ def inherited_weights(
             "lambda_adv", F.lit(0).alias("t"), "growth",
         )
         rows = rows.unionByName(start, allowMissingColumns=True)
-    path = W.partitionBy(*keys, "entity").orderBy("t")
-    lift = F.lag(grow(F.lit(1.0), F.col("ret_exc_lead1m"), F.col("growth"))).over(path)
-    rows = rows.withColumn("__b", F.col("b") * F.coalesce(lift, F.lit(0.0)))
+    rows = rows.withColumn("__lift", grow(F.lit(1.0), F.col("ret_exc_lead1m"), F.col("growth")))
     keep = [c for c in terms.columns if c not in (*keys, "entity", "a", "b", "t")]
-    out = affine_scan(rows, [*keys, "entity"], "t", "a", "__b", "weight", carry=keep)
+    out = affine_scan(rows, [*keys, "entity"], "t", "a", "b", "weight", carry=keep, lift="__lift")
     return out.where("t > 0") if state is not None else out
 
 

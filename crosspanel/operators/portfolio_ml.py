@@ -7,11 +7,11 @@ expanding training window and one batch of small solves gives every penalty.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from crosspanel import settings as S
 from crosspanel.operators import ledger, policy, ranks, regress, scaling
@@ -84,31 +84,19 @@ def loadings(df: DataFrame, stats: DataFrame, speed: str = "speed") -> DataFrame
 def outer_sums(df: DataFrame, vector: str, width: int, by: Sequence[str]) -> DataFrame:
     """Sum of x x' over the rows of a group, packed as the upper triangle in row order.
 
-    Narrow vectors are summed as expressions; wide ones as one partial product per Arrow batch.
+    Narrow vectors are summed as expressions; wide ones as one partial product per task and group.
     """
     if width <= regress.EXPRESSION_WIDTH:
         x = [F.element_at(vector, i + 1) for i in range(width)]
         cells = [F.sum(x[i] * x[j]) for i, j in regress.pairs(x)]
         return df.groupBy(*by).agg(F.array(*cells).alias("xx"))
     index = np.triu_indices(width)
-    by = list(by)
-    schema = T.StructType(
-        [df.schema[c] for c in by] + [T.StructField("position", T.IntegerType()), T.StructField("v", T.DoubleType())]
-    )
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for key, part in batch.groupby(by, sort=False, dropna=False):
-                x = np.array(part[vector].tolist(), dtype=float)
-                out = pd.DataFrame({"position": np.arange(len(index[0]), dtype="int32"), "v": (x.T @ x)[index]})
-                for name, value in zip(by, key if isinstance(key, tuple) else (key,)):
-                    out[name] = value
-                yield out[[*by, "position", "v"]]
-
-    summed = df.select(*by, vector).mapInPandas(partial, schema).groupBy(*by, "position").agg(F.sum("v").alias("v"))
-    return summed.groupBy(*by).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("position", "v"))), lambda p: p["v"]).alias("xx")
-    )
+    def partial(part: pd.DataFrame) -> np.ndarray:
+        x = np.array(part[vector].tolist(), dtype=float)
+        return (x.T @ x)[index]
+
+    return regress.sum_positions(df, by, [vector], partial).withColumnRenamed("all", "xx")
 
 
 def utility_statistics(

@@ -6,7 +6,7 @@ window, and each small normal equation is solved on its own row, for all penalti
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from itertools import combinations_with_replacement
 
 import numpy as np
@@ -42,32 +42,50 @@ def gram(df: DataFrame, x: Sequence[str], y: str, by: Sequence[str]) -> DataFram
     )
 
 
-def _gram_wide(rows: DataFrame, x: Sequence[str], y: str, by: Sequence[str]) -> DataFrame:
-    """Wide designs: each Arrow batch gives one partial array per group, summed by position."""
-    by, x = list(by), list(x)
-    index = np.triu_indices(len(x) + 1)
+def sum_positions(
+    rows: DataFrame, by: Sequence[str], columns: Sequence[str], partial: Callable[[pd.DataFrame], np.ndarray]
+) -> DataFrame:
+    """Sum a long vector per group: ``partial`` gives the vector of a slice of one group's rows.
+
+    A task adds its slices up over all of its Arrow batches and emits each group once, so what is
+    shuffled is one vector per task and group; positions are then summed with a map-side combine.
+    """
+    by = list(by)
     schema = T.StructType(
         [rows.schema[c] for c in by]
         + [T.StructField("position", T.IntegerType()), T.StructField("v", T.DoubleType())]
     )
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals: dict[tuple, np.ndarray] = {}
         for batch in batches:
             for key, part in batch.groupby(by, sort=False, dropna=False):
-                z = np.column_stack([np.ones(len(part)), part[x].to_numpy(float)])
-                t = part[y].to_numpy(float)
-                v = np.concatenate([(z.T @ z)[index], z.T @ t, [t @ t, len(part)]])
-                out = pd.DataFrame({"position": np.arange(len(v), dtype="int32"), "v": v})
-                for name, value in zip(by, key if isinstance(key, tuple) else (key,)):
-                    out[name] = value
-                yield out[[*by, "position", "v"]]
-
-    summed = (
-        rows.select(*by, *x, y).mapInPandas(partial, schema).groupBy(*by, "position").agg(F.sum("v").alias("v"))
-    )
-    packed = summed.groupBy(*by).agg(
+                key = key if isinstance(key, tuple) else (key,)
+                v = partial(part)
+                totals[key] = totals[key] + v if key in totals else v
+        for key, v in totals.items():
+            out = pd.DataFrame({"position": np.arange(len(v), dtype="int32"), "v": v})
+            for name, value in zip(by, key):
+                out[name] = value
+            yield out[[*by, "position", "v"]]
+
+    summed = rows.select(*by, *columns).mapInPandas(run, schema).groupBy(*by, "position").agg(F.sum("v").alias("v"))
+    return summed.groupBy(*by).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("position", "v"))), lambda p: p["v"]).alias("all")
     )
+
+
+def _gram_wide(rows: DataFrame, x: Sequence[str], y: str, by: Sequence[str]) -> DataFrame:
+    """Designs too wide for column expressions."""
+    x = list(x)
+    index = np.triu_indices(len(x) + 1)
+
+    def partial(part: pd.DataFrame) -> np.ndarray:
+        z = np.column_stack([np.ones(len(part)), part[x].to_numpy(float)])
+        t = part[y].to_numpy(float)
+        return np.concatenate([(z.T @ z)[index], z.T @ t, [t @ t, len(part)]])
+
+    packed = sum_positions(rows, by, [*x, y], partial)
     m, k = len(index[0]), len(x) + 1
     return packed.select(
         *by,
@@ -78,10 +96,6 @@ def _gram_wide(rows: DataFrame, x: Sequence[str], y: str, by: Sequence[str]) ->
     )
 
 
-def add_arrays(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda p, q: p + q)
-
-
 def running_gram(monthly: DataFrame, order: str, by: Sequence[str] = ()) -> DataFrame:
     """Expanding sums of month moments, unpacked to positions so that windows do the sums."""
     packed = F.concat("xx", "xy", F.array(F.col("yy"), F.col("n").cast("double")))
