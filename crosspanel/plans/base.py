@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark import StorageLevel
@@ -15,16 +17,36 @@ AUM = 1.0e5  # fits the volumes of the derived panel
 METHODS = ("equal_weight", "rank_long_short", "top_bottom", "markowitz")
 
 _SHARED: dict[tuple[str, str, str], DataFrame] = {}
+_FOLDER: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder the cluster names for checkpoints; a local session without one gets its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if spark.sparkContext.master.startswith("local"):
+        if "local" not in _FOLDER:
+            _FOLDER["local"] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        return _FOLDER["local"]
+    return None
 
 
 def shared(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A table many reports start from, kept in executor storage (spilling to disk) per session.
+    """A table many reports start from: written once as Parquet to the shared folder and read back.
 
-    A lost executor only costs the recomputation of its blocks.
+    That cuts its lineage, so later plans stay small, keeps pruning and real size statistics for the
+    joins on it, and outlives any executor.  Without a shared folder it is persisted instead.
     """
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _SHARED:
-        _SHARED[key] = build().persist(StorageLevel.MEMORY_AND_DISK)
+        folder = shared_folder(spark)
+        if folder is None:
+            _SHARED[key] = build().persist(StorageLevel.MEMORY_AND_DISK)
+        else:
+            path = f"{folder}/crosspanel-{uuid.uuid4().hex}/{name}"
+            build().write.parquet(path)
+            _SHARED[key] = spark.read.parquet(path)
     return _SHARED[key]
 
 
@@ -91,6 +113,6 @@ def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def release(keep: tuple[str, ...] = ()) -> None:
-    """Give shared tables back, but for the named ones."""
+    """Forget shared tables, but for the named ones, so that they are built again."""
     for key in [k for k in _SHARED if k[2] not in keep]:
         _SHARED.pop(key).unpersist()
