@@ -217,6 +217,24 @@ def percentile_rank(
     return ranked.withColumn(output, share).drop("__n", "__below", "__total", "__all")
 
 
+def average_ranks(
+    df: DataFrame, by: Sequence[str], columns: dict[str, str], group_rows: int | None = None, **kw
+) -> DataFrame:
+    """Average-tie ranks of several columns at once: {value column: output column}; null stays null."""
+    out = df
+    for value, output in columns.items():
+        if fits_one_task(group_rows):
+            order = W.partitionBy(*by).orderBy(F.col(value).asc_nulls_last())
+            upto = F.count(value).over(order.rangeBetween(W.unboundedPreceding, W.currentRow))
+            middle = (F.rank().over(order) + upto) / F.lit(2.0)
+            out = out.withColumn(output, F.when(F.col(value).isNotNull(), middle))
+        else:
+            counts = cumulative_counts(df, by, value, group_rows, **kw)
+            middle = F.col("below") + (F.col("n") + 1) / F.lit(2.0)
+            out = out.join(counts.select(*by, value, middle.alias(output)), [*by, value], "left")
+    return out
+
+
 def minimum_rank_descending(
     df: DataFrame, by: Sequence[str], value: str, output: str, group_rows: int | None = None, **kw
 ) -> DataFrame:

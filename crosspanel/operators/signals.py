@@ -36,8 +36,11 @@ def monthly_ic(
     A group with fewer than ``minimum`` valid rows gets nulls.  ``by`` usually is (feature, month).
     """
     valid = long.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
-    ranked = ranks.average_rank(valid, by, x, "__rx", group_rows)
-    ranked = ranks.average_rank(ranked, by, y, "__ry", group_rows)
+    ranked = ranks.average_ranks(valid, by, {x: "__rx", y: "__ry"}, group_rows)
+    return _ic_statistics(ranked, by, x, y, minimum)
+
+
+def _ic_statistics(ranked: DataFrame, by: Sequence[str], x: str, y: str, minimum: int) -> DataFrame:
     n = F.count(F.lit(1))
     enough = n >= minimum
     intercept, slope = line(y, x)
@@ -50,6 +53,34 @@ def monthly_ic(
     )
 
 
+def feature_ic(
+    wide: DataFrame,
+    features: Mapping[str, str],
+    y: str,
+    by: Sequence[str] = ("eom",),
+    minimum: int = S.MIN_CROSS_SECTION,
+    group_rows: int | None = None,
+) -> DataFrame:
+    """``monthly_ic`` of many features with one label, from wide rows: {feature name: column}.
+
+    The features must hold no nulls (filled ranks do not), so every feature has the same valid rows:
+    the label is ranked once for all of them and rows are unpivoted only after the ordering.
+    """
+    by = list(by)
+    valid = wide.where(F.col(y).isNotNull()).select(*by, y, *features.values())
+    ranked = ranks.average_ranks(
+        valid, by, {y: "__ry", **{c: f"__r_{c}" for c in features.values()}}, group_rows
+    )
+    items = F.array(
+        *[
+            F.struct(F.lit(name).alias("feature"), F.col(c).alias("__x"), F.col(f"__r_{c}").alias("__rx"))
+            for name, c in features.items()
+        ]
+    )
+    long = ranked.select(*by, y, "__ry", F.inline(items))
+    return _ic_statistics(long, ["feature", *by], "__x", y, minimum)
+
+
 def ic_summary(monthly: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Mean, median, deviation, months and monthly information ratio of a monthly statistic."""
     sd = F.stddev_samp(value)

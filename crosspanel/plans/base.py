@@ -22,7 +22,7 @@ _FOLDER: dict[str, str] = {}
 
 def shared_folder(spark: SparkSession) -> str | None:
     """The folder the cluster names for checkpoints; a local session without one gets its own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
     if spark.sparkContext.master.startswith("local"):

@@ -19,6 +19,7 @@ from crosspanel.sources.panel import THEMES
 PANEL = panel_ctes()
 LABEL = "ret_exc_lead1m"
 RANK_COLUMNS = [f"rank_{f}" for f in FEATURES]
+FILLED = {f: f"rank_{f}" for f in FEATURES}
 
 
 def corr_sql(a: str, b: str) -> str:
@@ -52,18 +53,19 @@ def long(spark, sf_dir, keep=("entity", "eom", "month_index", LABEL)) -> DataFra
 def monthly_ic(spark, sf_dir) -> DataFrame:
     return base.shared(
         spark, sf_dir, "monthly_ic",
-        lambda: signals.monthly_ic(
-            long(spark, sf_dir), ["feature", "eom"], "rank_value", LABEL, group_rows=base.bound(spark, sf_dir)
+        lambda: signals.feature_ic(
+            base.panel(spark, sf_dir), FILLED, LABEL, group_rows=base.bound(spark, sf_dir)
         ),
     )
 
 
 def horizon_stats(spark, sf_dir) -> DataFrame:
     def build():
-        features = long(spark, sf_dir, ("entity", "eom", "month_index")).drop("raw_value")
-        matched = joins.horizon_join(base.panel(spark, sf_dir), features, S.HORIZONS)
-        return signals.monthly_ic(
-            matched, ["feature", "horizon", "eom"], "rank_value", LABEL, group_rows=base.bound(spark, sf_dir)
+        rows = base.panel(spark, sf_dir)
+        wide = rows.select("entity", "eom", "month_index", *RANK_COLUMNS)
+        matched = joins.horizon_join(rows, wide, S.HORIZONS)
+        return signals.feature_ic(
+            matched, FILLED, LABEL, ["horizon", "eom"], group_rows=base.bound(spark, sf_dir)
         )
 
     return base.shared(spark, sf_dir, "horizon_stats", build)
@@ -538,8 +540,8 @@ def feature_diagnostics(spark, sf_dir) -> DataFrame:
     """One row per feature from the coverage, dispersion, correlation and persistence tables."""
     def build():
         rows = long(spark, sf_dir)
-        ic = signals.monthly_ic(
-            rows, ["feature", "eom"], "rank_value", LABEL, minimum=2, group_rows=base.bound(spark, sf_dir)
+        ic = signals.feature_ic(
+            base.panel(spark, sf_dir), FILLED, LABEL, minimum=2, group_rows=base.bound(spark, sf_dir)
         )
         wide = windows.lag_month(base.panel(spark, sf_dir), RANK_COLUMNS)
         items = F.array(
