@@ -36,12 +36,11 @@ def evaluate(spark, sf_dir):
 @register(
     "carry_positions",
     "eom method entity inherited:10 trade:10 dropped",
-    "SELECT eom, method, entity, inherited, weight - inherited AS trade, dropped FROM carried JOIN months USING (t) WHERE method IN ('equal_weight', 'top_bottom')",
+    "SELECT eom, method, entity, inherited, weight - inherited AS trade, dropped FROM carried JOIN months USING (t)",
     RETURNS,
 )
 def carry_positions(spark, sf_dir):
-    rows = ledger.carry_positions(base.held(spark, sf_dir), base.stats(spark, sf_dir))
-    return rows.where("method in ('equal_weight', 'top_bottom')")
+    return ledger.carry_positions(base.held(spark, sf_dir), base.stats(spark, sf_dir))
 
 
 @register(

@@ -195,12 +195,11 @@ DECOMP_SQL = (
 @register(
     "risk_decomposition",
     "eom method factor_share:8 exposure_l2:8 style_l2:8 industry_l2:8 intercept_abs:8 dominant_factor",
-    f"{DECOMP_SQL} WHERE method = 'equal_weight' OR method = 'top_bottom'",
+    DECOMP_SQL,
     EXPOSE,
 )
 def risk_decomposition(spark, sf_dir):
-    rows = risk.risk_decomposition(variances(spark, sf_dir), NAMES)
-    return rows.where("method in ('equal_weight', 'top_bottom')")
+    return risk.risk_decomposition(variances(spark, sf_dir), NAMES)
 
 
 RISK_RETURNS = f"{EXPOSE},{ledger_ctes('weights')}"
@@ -327,12 +326,11 @@ def risk_quality(spark, sf_dir):
 @register(
     "scale_to_volatility",
     "eom entity method weight:10 risk_scale_factor:8",
-    "SELECT eom, entity, method, weight * s AS weight, s AS risk_scale_factor FROM weights JOIN (SELECT eom, method, CASE WHEN ex_ante_monthly_variance > 0 THEN 0.1e0 / sqrt(12 * ex_ante_monthly_variance) ELSE 0e0 END AS s FROM pvar) USING (eom, method) WHERE method = 'equal_weight'",
+    "SELECT eom, entity, method, weight * s AS weight, s AS risk_scale_factor FROM weights JOIN (SELECT eom, method, CASE WHEN ex_ante_monthly_variance > 0 THEN 0.1e0 / sqrt(12 * ex_ante_monthly_variance) ELSE 0e0 END AS s FROM pvar) USING (eom, method)",
     EXPOSE,
 )
 def scale_to_volatility(spark, sf_dir):
-    held = base.held(spark, sf_dir).where("method = 'equal_weight'")
-    return risk.scale_to_volatility(held, variances(spark, sf_dir), 0.10)
+    return risk.scale_to_volatility(base.held(spark, sf_dir), variances(spark, sf_dir), 0.10)
 
 
 @register(
