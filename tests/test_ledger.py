@@ -323,7 +323,7 @@ def test_grid_ledger_shuffles_twice(spark):
     """One shuffle for positions and carries together, one small one for the month sums."""
     df, _ = random_panel(spark, months=3)
     a, b = policy.static_terms(F.col("mu"), F.col("variance"), F.col("lambda_adv"), 10.0, 50.0, 3.0, 0.25)
-    terms = df.select(F.lit("p").alias("method"), "eom", "entity", "ret_exc_lead1m", "lambda_adv", a.alias("a"), b.alias("b"))
+    terms = df.select(F.when(F.col("x") < 2, "p").alias("method"), "eom", "entity", "ret_exc_lead1m", "lambda_adv", a.alias("a"), b.alias("b"))
     months = ledger.month_stats(df, 100).collect()
     stats = spark.createDataFrame(months, ledger.month_stats(df, 100).schema)
     plan = ledger.grid_ledger(terms, stats, ["method"], aum=50.0)._jdf.queryExecution().executedPlan().toString()
