@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from crosspanel.plans import sqltext
+from crosspanel.session import ship_package
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -41,7 +42,12 @@ def register(name: str, columns: str, sql: str | None = None, ctes: str | None =
     def wrap(plan: Plan) -> Plan:
         if name in PLANS:
             raise ValueError(f"query registered twice: {name}")
-        PLANS[name] = lambda spark, sf_dir: tidy(plan(spark, sf_dir), *spec)
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return tidy(plan(spark, sf_dir), *spec)
+
+        PLANS[name] = run
         if sql is not None:
             SQL[name] = sqltext.final(sql, *spec, ctes=ctes or "")
         return plan
