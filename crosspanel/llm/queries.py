@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from crosspanel.llm import sharding, vafile
-from crosspanel.llm.base import scan
+from crosspanel.llm import langid, packing, quality, sharding, toxicity, vafile
+from crosspanel.llm.base import crc_fold, scan, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -18,6 +18,50 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+def tokenizer_path() -> str:
+    """The vocabulary file of the packing contract, from the installed package of public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query
+def op1_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = written(packing.cut(scan(spark, sf_dir, "documents"), tokenizer_path()), "pieces")
+    return packing.pack_pieces(pieces)
+
+
+@query
+def op2_unlabelled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = scan(spark, sf_dir, "documents"), scan(spark, sf_dir, "labels")
+    held = crc_fold(F.col("doc_id"), 5) == 0
+    trusted = toxicity.learnable(labels, "quality", 5, 0).where(F.col("label") == 1)
+    model = quality.train(docs.where(~held), trusted, labels)
+    return quality.score(docs.select("doc_id", "text"), model).select(
+        "doc_id", held.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted")
+    )
+
+
+@query
+def op3_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = scan(spark, sf_dir, "documents")
+    held = crc_fold(F.col("doc_id"), 5) == 0
+    model = langid.train(docs.where(~held))
+    return langid.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", held.alias("held_out"), "lang_pred", "score"
+    )
+
+
+@query
+def op4_sparse_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = scan(spark, sf_dir, "documents"), scan(spark, sf_dir, "labels")
+    model = toxicity.train(docs, toxicity.learnable(labels, "toxic", 4, 2))
+    return toxicity.score(docs.select("doc_id", "text"), model).select(
+        "doc_id", (crc_fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 @query
 def op5_vector_file_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = scan(spark, sf_dir, "embeddings")
