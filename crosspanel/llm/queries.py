@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from crosspanel.llm import langid, neardup, packing, quality, sharding, toxicity, vafile
+from crosspanel.llm import langid, linededup, neardup, packing, quality, sharding, toxicity, vafile
 from crosspanel.llm.base import crc_fold, scan, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,6 +84,51 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
 
+@query
+def op7_line_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(scan(spark, sf_dir, "documents")).select(
+        "doc.doc_id", F.col("removed").cast("long").alias("removed"), F.sha2("text", 256).alias("text_sha256")
+    )
+
+
+SQL["op7_line_set_join"] = r"""
+WITH split AS (
+  SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents
+), numbered AS (
+  SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS line_no FROM split
+), worded AS MATERIALIZED (
+  SELECT doc_id, line_no, line, list_sort(list_distinct(regexp_extract_all(
+    translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'))) AS w
+  FROM numbered
+), sets AS MATERIALIZED (
+  SELECT w, len(w) AS n, min(doc_id * 1000000 + line_no) AS place FROM worded WHERE len(w) >= 3 GROUP BY w
+), tokens AS MATERIALIZED (SELECT place, n, unnest(w) AS t FROM sets
+), counted AS (SELECT t, count(*) AS df FROM tokens GROUP BY t
+), ranked AS (
+  SELECT place, n, t, row_number() OVER (PARTITION BY place ORDER BY df, t) AS r FROM tokens JOIN counted USING (t)
+), prefix AS MATERIALIZED (SELECT place, n, t FROM ranked WHERE r <= n - CAST(ceil(0.8 * n) AS BIGINT) + 1
+), pairs AS (
+  SELECT DISTINCT x.place AS px, y.place AS py FROM prefix AS x JOIN prefix AS y
+    ON x.t = y.t AND x.place < y.place AND 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)
+), matched AS (
+  SELECT DISTINCT py FROM (
+    SELECT py, x.n AS nx, y.n AS ny, len(list_intersect(x.w, y.w)) AS c
+    FROM pairs JOIN sets AS x ON x.place = px JOIN sets AS y ON y.place = py)
+  WHERE 5 * c >= 4 * (nx + ny - c)
+), marked AS (
+  SELECT worded.doc_id, line_no, line,
+         sets.place IS NOT NULL AND (sets.place <> doc_id * 1000000 + line_no OR py IS NOT NULL) AS gone
+  FROM worded LEFT JOIN sets USING (w) LEFT JOIN matched ON py = sets.place
+), joined AS (
+  SELECT doc_id, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS removed,
+         coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE NOT gone), '') AS text
+  FROM marked GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(removed, 0) AS removed, sha256(coalesce(j.text, d.text)) AS text_sha256
+FROM documents AS d LEFT JOIN joined AS j USING (doc_id)
+"""
+
+
 @query
 def op9_hamming_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(scan(spark, sf_dir, "documents"), 3, 85)
