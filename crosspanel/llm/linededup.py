@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from crosspanel.llm import words as W
 from crosspanel.llm.base import written
+from crosspanel.llm.membership import bloom, maybe_in
 
 PERCENT = 80
 #: Lines with fewer distinct words are never compared, and stay.
@@ -206,10 +207,11 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, least: int = MIN_WORD
     def verified(found: DataFrame) -> DataFrame:
         """Classes ``y`` of pairs that the full sets confirm."""
         needed = found.select(F.col("y").alias("class")).union(found.select(F.col("x"))).distinct()
-        at = classes.join(needed, "class").groupBy("place.row").agg(
+        at = written(classes.join(needed, "class").groupBy("place.row").agg(
             F.collect_list(F.struct("place.line_no", "class")).alias("wanted")
-        )
-        sets = docs.select("row", "text").join(at, "row").select("text", "wanted").mapInArrow(
+        ), "wanted")
+        near = maybe_in(docs.select("row", "text"), "row", bloom(at, "row"))
+        sets = near.join(at, "row").select("text", "wanted").mapInArrow(
             set_batches, "class long, words array<long>"
         ).dropDuplicates(["class"])
         both = found.join(sets.select(F.col("class").alias("y"), F.col("words").alias("yw")), "y").join(

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from crosspanel.llm import langid, linededup, neardup, packing, quality, sharding, toxicity, vafile
+from crosspanel.llm import decontaminate, fixity, langid, linededup, neardup, packing, quality, sharding, toxicity, vafile
 from crosspanel.llm.base import crc_fold, scan, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,6 +84,65 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
 
+def damaged(pages: DataFrame) -> DataFrame:
+    """The second replica of the audit: ``layout`` of ``pages`` with faults planted by a hash of the id."""
+    records = fixity.layout(pages)
+    place = F.conv(F.substring(F.sha2(F.col("page_id").cast("string"), 256), 1, 2), 16, 10).cast("int")
+    flipped = F.when(place < 8, F.reverse("digest")).otherwise(F.col("digest"))
+    short = F.when(place.between(12, 15), F.col("length") - 1).otherwise(F.col("length"))
+    return records.where(F.coalesce(~place.between(8, 11), F.lit(True))).withColumn("digest", flipped).withColumn("length", short)
+
+
+@query
+def op6_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = scan(spark, sf_dir, "pages")
+    return fixity.audit(fixity.layout(pages), damaged(pages))
+
+
+SQL["op6_merkle_fixity"] = r"""
+WITH records AS (
+  SELECT page_id, CAST(floor(page_id / 256.0) AS BIGINT) AS archive, CAST(
+    length('WARC/1.0') + length('WARC-Type: resource') + length('WARC-Record-ID: <urn:page:>') + length('WARC-Target-URI: ')
+    + length('Content-Length: ') + 16 + length(CAST(page_id AS VARCHAR)) + strlen(coalesce(url, ''))
+    + length(CAST(strlen(coalesce(html, '')) AS VARCHAR)) + strlen(coalesce(html, '')) AS BIGINT) AS length,
+    substr(sha256(CAST(page_id AS VARCHAR)), 1, 2) AS h
+  FROM pages
+), placed AS (
+  SELECT *, CAST(coalesce(sum(length) OVER (
+    PARTITION BY archive ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset"
+  FROM records
+)
+SELECT archive, "offset", length,
+  CASE WHEN h BETWEEN '08' AND '0b' THEN NULL WHEN h >= '0c' THEN length - 1 ELSE length END AS replica_length,
+  CASE WHEN h BETWEEN '08' AND '0b' THEN 'missing' ELSE 'changed' END AS kind
+FROM placed WHERE h < '10'
+"""
+
+
+@query
+def op8_containment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = scan(spark, sf_dir, "documents"), scan(spark, sf_dir, "benchmark")
+    return decontaminate.contained_items(docs, items).select("doc_id", "item_id", "shared", "n")
+
+
+SQL["op8_containment_search"] = r"""
+WITH texts AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark
+), words AS (
+  SELECT kind, id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM texts
+), shingles AS MATERIALIZED (
+  SELECT kind, id, unnest(list_distinct(list_transform(range(1, len(w) - 3),
+    lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4]))) AS s
+  FROM words WHERE len(w) >= 5
+), items AS (SELECT id, count(*) AS n FROM shingles WHERE kind = 'b' GROUP BY id
+), found AS (
+  SELECT d.id AS doc_id, b.id AS item_id, count(*) AS shared
+  FROM shingles AS d JOIN shingles AS b ON d.s = b.s AND d.kind = 'd' AND b.kind = 'b' GROUP BY 1, 2
+)
+SELECT doc_id, item_id, shared, n FROM found JOIN items ON items.id = item_id WHERE 100 * shared >= 80 * n
+"""
+
+
 @query
 def op7_line_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(scan(spark, sf_dir, "documents")).select(
