@@ -43,23 +43,19 @@ def hypergeometric(good: Column, total: Column, draws: Column, u: Column) -> Col
     def ratio(k: Column) -> Column:
         return (g - k) * (n - k) / ((k + 1) * (t - g - n + k + 1))
 
-    def state(p: Column, below: Column, count: Column) -> Column:
-        return F.struct(p.alias("p"), below.alias("below"), count.alias("count"))
-
-    start = state(F.lit(1.0), F.lit(0.0), F.lit(0).cast("long"))
-    whole = F.aggregate(
-        values, start,
-        lambda a, k: state(F.coalesce(a["p"] * ratio(k), F.lit(0.0)), a["below"] + a["p"], a["count"]),
-        lambda a: a["below"],
-    )
-    steps = F.aggregate(
-        values, start,
-        lambda a, k: state(
-            F.coalesce(a["p"] * ratio(k), F.lit(0.0)), a["below"] + a["p"],
-            a["count"] + F.when(a["below"] + a["p"] < u * whole, 1).otherwise(0).cast("long"),
-        ),
-        lambda a: a["count"],
-    )
+    def state(aim: Column, p: Column, below: Column, count: Column) -> Column:
+        return F.struct(aim.alias("aim"), p.alias("p"), below.alias("below"), count.alias("count"))
+
+    def start(aim: Column) -> Column:
+        return state(aim, F.lit(1.0), F.lit(0.0), F.lit(0).cast("long"))
+
+    def step(a: Column, k: Column) -> Column:
+        below = a["below"] + a["p"]
+        count = a["count"] + F.when(below < a["aim"], 1).otherwise(0).cast("long")
+        return state(a["aim"], F.coalesce(a["p"] * ratio(k), F.lit(0.0)), below, count)
+
+    whole = F.aggregate(values, start(F.lit(0.0)), step, lambda a: a["below"])
+    steps = F.aggregate(values, start(u * whole), step, lambda a: a["count"])
     return F.least(low + steps, high)
 
 
