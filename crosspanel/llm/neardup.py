@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from crosspanel.llm import words as W
 from crosspanel.llm.base import written
+from crosspanel.llm.membership import bloom, maybe_in
 
 CHUNK = 5
 MISS = 1e-6
@@ -278,7 +279,8 @@ def near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
         "cell", "rep", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
     )
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(
+    near = maybe_in(docs, "doc_id", bloom(wanted, "doc_id"))
+    sets = near.join(wanted, "doc_id", "left_semi").mapInArrow(
         lambda b: set_batches(b, width, values), "rep long, shingles binary, signature binary"
     )
 
