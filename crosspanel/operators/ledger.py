@@ -82,7 +82,7 @@ def affine_scan(
     """x = a + b * (previous x, lifted) along ``order`` inside ``keys``; starts at 0 and after a gap.
 
     ``lift`` names a column of the previous row that its x is multiplied by on the way.  One key holds
-    at most one row per month, so the sorted array of a key is calendar-bounded.  The fold carries
+    at most one row per month (two are an error), so the sorted array of a key is calendar-bounded.  The fold carries
     bare numbers; the other columns are put back by position.
     """
     row = F.struct(
@@ -90,6 +90,9 @@ def affine_scan(
         (F.col(lift) if lift else F.lit(1.0)).alias("l"), *[F.col(c) for c in carry],
     )
     grouped = df.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    distinct = F.size(F.array_distinct(F.transform("rows", lambda r: r["o"]))) == F.size("rows")
+    repeated = F.raise_error(F.lit(f"a key has two rows of one {order}"))
+    grouped = grouped.withColumn("rows", F.when(distinct, F.col("rows")).otherwise(repeated))
     start = F.struct(
         F.lit(None).cast(df.schema[order].dataType).alias("o"), F.lit(0.0).alias("held"),
         F.array().cast("array<struct<x: double, prior: double>>").alias("path"),

@@ -138,18 +138,17 @@ def trading_speed(
     risk_free_rate: float = S.RISK_FREE_RATE,
     updates: int = S.SPEED_UPDATES,
 ) -> Column:
-    """Share of the inherited position that is kept, under diagonal risk; 0 when nothing costs.
+    """Share m of the inherited position that is kept, under diagonal risk; 0 when nothing costs.
 
-    The updates fold over a fixed-length sequence, so the expression stays small.
+    With risk per unit of cost r and the growth of an unhedged position c = 1 + variance / growth^2, the
+    optimality condition is m (r + 1 + c - c m) = 1.  It is solved by ``updates`` substitutions from the share
+    without growth risk (c = 1), whose smaller root of m^2 - (r + 2) m + 1 is written without a difference of
+    close numbers, so that a large r keeps its digits.
     """
-    growth = 1.0 + risk_free_rate + expected_market_return
-    scaled = F.lit(gamma) * variance / (F.lit(aum) * lam)
-    growth_variance = F.lit(1.0) + variance / F.lit(growth**2)
-    shifted = scaled + 2.0
-    start = (shifted - F.sqrt(F.greatest(shifted * shifted - 4.0, F.lit(0.0)))) / 2.0
-    fixed = F.aggregate(
-        F.sequence(F.lit(1), F.lit(updates)),
-        start,
-        lambda m, _: F.lit(1.0) / (scaled + 1.0 + growth_variance - m * growth_variance),
+    r = F.lit(gamma) * variance / (F.lit(aum) * lam)
+    c = F.lit(1.0) + variance / F.lit((1.0 + expected_market_return + risk_free_rate) ** 2)
+    without_growth = F.lit(2.0) / (r + 2.0 + F.sqrt(r * (r + 4.0)))
+    kept = F.aggregate(
+        F.array_repeat(F.lit(1), updates), without_growth, lambda m, _: F.lit(1.0) / (r + 1.0 + (F.lit(1.0) - m) * c)
     )
-    return F.when(F.lit(aum) == 0, F.lit(0.0)).otherwise(fixed)
+    return F.when(F.lit(aum) == 0, F.lit(0.0)).otherwise(kept)

@@ -181,154 +181,3 @@ def neutralize(df: DataFrame, sets: dict[str, Sequence[str]], x: Sequence[str])
     return rows.withColumns(
         {c: F.when(F.array_contains("__gone", c), F.lit(S.NEUTRAL_RANK)).otherwise(F.col(c)) for c in x}
     ).drop("__gone")
-
-
-# Dense trading speed ------------------------------------------------------------------------------
-
-SPEED_SCHEMA = "eom date, gamma double, aum double, entity_i long, entity_j long, m double"
-
-
-def _speed_matrix(
-    risk: np.ndarray, impact: np.ndarray, gamma: float, aum: float, growth: float, updates: int
-) -> np.ndarray:
-    """Fixed point of the adjustment equation for one month, started from the frictionless root."""
-    n = len(impact)
-    if aum == 0:
-        return np.zeros((n, n))
-    root = np.sqrt(impact)
-    x = gamma / aum * risk / np.outer(root, root)
-    values, vectors = np.linalg.eigh((x + x.T) / 2.0)
-    start = ((values + 2.0) - np.sqrt(np.maximum((values + 2.0) ** 2 - 4.0, 0.0))) / 2.0
-    m = (vectors * start) @ vectors.T
-    g = 1.0 + risk / growth**2
-    base = x + np.diag(1.0 + np.diag(g))
-    for _ in range(updates):
-        m = np.linalg.inv(base - m * g)
-    return m * root[None, :] / root[:, None]
-
-
-def dense_speed(
-    rows: DataFrame, matrices: DataFrame, grid: DataFrame, updates: int = S.SPEED_UPDATES,
-    expected_market_return: float = S.EXPECTED_MARKET_RETURN, risk_free_rate: float = S.RISK_FREE_RATE,
-    scalar_rho: float = 0.5, max_names: int = 2_000,
-) -> DataFrame:
-    """Trading-speed matrix of each (month, gamma, aum) under factored risk, as long rows.
-
-    A dense matrix of a month is names x names by nature, so this is for a top-N universe; a larger
-    one is an error and belongs to the diagonal form.  Rows: entity, loadings, idio_variance, lambda_adv.
-    A matrix with a spectral radius over the limit falls back to a scalar multiple of the identity.
-    """
-    growth = 1.0 + risk_free_rate + expected_market_return
-    sizes = rows.groupBy("eom").count().agg(F.max("count")).first()[0]
-    if sizes and sizes > max_names:
-        raise ValueError(f"{sizes} names in a month: use the diagonal trading speed")
-    joined = ranks.attach(rows.select("eom", "entity", "loadings", "idio_variance", "lambda_adv"), matrices, ["eom"], "inner")
-    spread = joined.join(F.broadcast(grid))
-    schema = SPEED_SCHEMA + ", mode string, radius double, eig_min double, eig_median double, eig_max double, imag_max double"
-
-    def solve(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("entity")
-        b = np.array(part["loadings"].tolist(), dtype=float)
-        f = np.array([np.asarray(r, dtype=float) for r in part["factor_cov"].iloc[0]])
-        risk = b @ f @ b.T + np.diag(part["idio_variance"].to_numpy(float))
-        gamma, aum = float(part["gamma"].iloc[0]), float(part["aum"].iloc[0])
-        m = _speed_matrix(risk, part["lambda_adv"].to_numpy(float), gamma, aum, growth, updates)
-        values = np.linalg.eigvals(m)
-        radius, mode = float(np.abs(values).max()), "matrix"
-        if not np.isfinite(m).all() or radius > S.SPECTRAL_LIMIT:
-            m, mode = np.eye(len(part)) * scalar_rho, "scalar"
-            values, radius = np.full(len(part), scalar_rho), scalar_rho
-        ids = part["entity"].to_numpy()
-        size = np.abs(values)
-        return pd.DataFrame(
-            {
-                "eom": part["eom"].iloc[0], "gamma": gamma, "aum": aum, "entity_i": np.repeat(ids, len(ids)),
-                "entity_j": np.tile(ids, len(ids)), "m": m.ravel(), "mode": mode, "radius": radius,
-                "eig_min": size.min(), "eig_median": float(np.median(size)), "eig_max": size.max(),
-                "imag_max": float(np.abs(np.imag(values)).max()),
-            }
-        )
-
-    return spread.groupBy("eom", "gamma", "aum").applyInPandas(solve, schema)
-
-
-def speed_stats(long: DataFrame) -> DataFrame:
-    """One row per matrix: mode, eigenvalue range, trading speed, row count."""
-    return long.groupBy("eom", "gamma", "aum").agg(
-        F.max("mode").alias("mode"), F.max("radius").alias("radius"), F.max("eig_min").alias("eig_min"),
-        F.max("eig_median").alias("eig_median"), F.max("eig_max").alias("eig_max"),
-        F.max("imag_max").alias("imag_max"), F.count(F.lit(1)).alias("cells"),
-    ).withColumns(
-        {
-            "speed_min": F.lit(1.0) - F.col("eig_max"), "speed_median": F.lit(1.0) - F.col("eig_median"),
-            "speed_max": F.lit(1.0) - F.col("eig_min"),
-        }
-    )
-
-
-def dense_ledger_weights(
-    rows: DataFrame, matrices: DataFrame, stats: DataFrame, candidates: DataFrame, keys: Sequence[str],
-    updates: int = S.SPEED_UPDATES, max_rows: int = 2_000_000,
-) -> DataFrame:
-    """Inherited-weight positions under factored risk: one month fold per candidate, many at once.
-
-    ``candidates`` has the keys and kind, gamma, aum, return_scale, diagonal_shrinkage, cost_scale.
-    Kind ``static`` solves (gamma (S + v diag S + ridge) + A c L) w = s mu + A c L inherited with
-    S = BFB' + D by diagonal plus low rank, so no names x names matrix is formed.  Kind ``aim`` trades
-    by the dense speed matrix towards the column ``aim_weight``.
-
-    The fold of a candidate reads its whole top-N history (months x N rows), which is bounded by the
-    universe and the calendar; the check refuses a larger one.
-    """
-    total = rows.count()
-    if total > max_rows:
-        raise ValueError(f"{total} rows per candidate: use the diagonal scan")
-    if "aim_weight" not in rows.columns:
-        rows = rows.withColumn("aim_weight", F.lit(0.0))
-    needed = rows.select(
-        "eom", "entity", "mu", "aim_weight", "loadings", "idio_variance", "lambda_adv", "ret_exc_lead1m"
-    )
-    joined = ranks.attach(needed, stats.select("eom", "t", "growth"), ["eom"], "inner")
-    joined = ranks.attach(joined, matrices, ["eom"], "inner")
-    spread = joined.join(F.broadcast(candidates))
-    fields = ", ".join(f"{k} {candidates.schema[k].dataType.simpleString()}" for k in keys)
-    growth = 1.0 + S.RISK_FREE_RATE + S.EXPECTED_MARKET_RETURN
-
-    def static(month, prior, factor, head) -> np.ndarray:
-        gamma, shrink = float(head["gamma"]), float(head["diagonal_shrinkage"])
-        b = np.array(month["loadings"].tolist(), dtype=float)
-        idio = month["idio_variance"].to_numpy(float)
-        own = np.einsum("ni,ij,nj->n", b, factor, b) + idio
-        pull = float(head["aum"]) * float(head["cost_scale"]) * month["lambda_adv"].to_numpy(float)
-        d = gamma * (idio + shrink * own + S.COVARIANCE_RIDGE) + pull
-        rhs = float(head["return_scale"]) * month["mu"].to_numpy(float) + pull * prior
-        inner = np.eye(len(factor)) + gamma * factor @ (b.T @ (b / d[:, None]))
-        return (rhs - b @ np.linalg.solve(inner, gamma * factor @ (b.T @ (rhs / d)))) / d
-
-    def aim(month, prior, factor, head) -> np.ndarray:
-        b = np.array(month["loadings"].tolist(), dtype=float)
-        risk = b @ factor @ b.T + np.diag(month["idio_variance"].to_numpy(float))
-        m = _speed_matrix(
-            risk, month["lambda_adv"].to_numpy(float), float(head["gamma"]), float(head["aum"]), growth, updates
-        )
-        goal = month["aim_weight"].to_numpy(float)
-        return goal + m @ (prior - goal)
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["t", "entity"])
-        head = part.iloc[0]
-        held, last_t, out = pd.Series(dtype=float), None, []
-        for t, month in part.groupby("t", sort=True):
-            ids = month["entity"].to_numpy()
-            prior = held.reindex(ids).fillna(0.0).to_numpy() if last_t == t - 1 else np.zeros(len(ids))
-            factor = np.array([np.asarray(r, dtype=float) for r in month["factor_cov"].iloc[0]])
-            w = (aim if head["kind"] == "aim" else static)(month, prior, factor, head)
-            out.append(pd.DataFrame({"eom": month["eom"].to_numpy(), "entity": ids, "weight": w}))
-            lift = (1.0 + month["ret_exc_lead1m"].fillna(0.0).to_numpy(float)) / float(month["growth"].iloc[0])
-            held, last_t = pd.Series(w * lift, index=ids), t
-        result = pd.concat(out, ignore_index=True)
-        for k in keys:
-            result[k] = head[k]
-        return result[[*keys, "eom", "entity", "weight"]]
-
-    return spread.groupBy(*keys).applyInPandas(fold, f"{fields}, eom date, entity long, weight double")

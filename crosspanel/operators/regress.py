@@ -282,19 +282,29 @@ def winsorise(
 def ewma_moments(df: DataFrame, pair: Sequence[str], day: str, x: str, y: str, span: int) -> DataFrame:
     """Exponentially weighted covariance of two daily series after each day, weights (1-a)^age.
 
-    The weighted sums are running sums of values divided by their own decay, rescaled at the end: one
-    ordered pass over the days of a factor pair (calendar-sized), not a look-back join.
+    One pass over a factor pair's days, which the calendar bounds.  Every day scales the weight held so far by
+    the decay, so nothing grows with the length of the series.
     """
     decay = 1.0 - 2.0 / (span + 1.0)
-    path = W.partitionBy(*pair).orderBy(day)
-    age = F.row_number().over(path).cast("double")
-    rows = df.withColumn("__w", F.pow(F.lit(decay), -age))
-    running = path.rowsBetween(W.unboundedPreceding, 0)
-    total = F.sum("__w").over(running)
-    mx = F.sum(F.col("__w") * F.col(x)).over(running) / total
-    my = F.sum(F.col("__w") * F.col(y)).over(running) / total
-    mxy = F.sum(F.col("__w") * F.col(x) * F.col(y)).over(running) / total
-    return rows.withColumn("covariance", mxy - mx * my).drop("__w")
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(day)
+        weight = mean_x = mean_y = covariance = 0.0
+        out = []
+        for vx, vy in zip(part[x].to_numpy(float), part[y].to_numpy(float)):
+            held = decay * weight
+            if np.isnan(vx) or np.isnan(vy):  # a day without both values only ages the others
+                weight = held
+                out.append(covariance)
+                continue
+            weight = held + 1.0
+            dx, dy = vx - mean_x, vy - mean_y
+            mean_x, mean_y = mean_x + dx / weight, mean_y + dy / weight
+            covariance = held / weight * (covariance + dx * dy / weight)
+            out.append(covariance)
+        return part.assign(covariance=out)
+
+    return df.groupBy(*pair).applyInPandas(run, T.StructType([*df.schema.fields, T.StructField("covariance", T.DoubleType())]))
 
 
 def random_weights(inputs: int, features: int, scale: float, seed: int, bank: int | None = None) -> np.ndarray:

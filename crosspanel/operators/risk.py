@@ -264,15 +264,15 @@ def calibration_report(returns: DataFrame) -> DataFrame:
         F.percentile("ratio", F.lit(0.1)).alias("ratio_p10"),
         F.percentile("ratio", F.lit(0.9)).alias("ratio_p90"),
         F.max("ratio").alias("ratio_max"),
-        F.avg(ratio.between(0.6, 1.5).cast("double")).alias("within_share"),
-        F.count_if(ratio > 2.0).alias("above_two"),
+        F.avg(ratio.between(*S.RATIO_WITHIN).cast("double")).alias("within_share"),
+        F.count_if(ratio > S.RATIO_BREACH).alias("above_two"),
         F.count("ratio").alias("__years"),
     )
-    allowed = F.greatest(F.lit(1).cast("bigint"), F.ceil(F.lit(0.1) * F.col("__years")))
+    allowed = F.greatest(F.lit(1).cast("bigint"), F.ceil(F.lit(S.BREACH_YEARS) * F.col("__years")))
     passed = (
         (F.col("__years") > 0)
-        & F.col("ratio_median").between(0.8, 1.25)
-        & (F.col("within_share") >= 0.8)
+        & F.col("ratio_median").between(*S.RATIO_MEDIAN)
+        & (F.col("within_share") >= S.WITHIN_SHARE)
         & (F.col("above_two") <= allowed)
         & (F.col("fallbacks") == 0)
     )
@@ -287,16 +287,16 @@ def breach_source(yearly: DataFrame) -> DataFrame:
 
     Needs method, ratio, leverage and factor_share per year.
     """
-    breach = F.col("ratio") > 2.0
+    breach = F.col("ratio") > S.RATIO_BREACH
     normal = yearly.groupBy("method").agg(
         F.percentile(F.when(~breach, F.col("leverage")), F.lit(0.5)).alias("__normal")
     )
-    limit = F.lit(1.5) * F.greatest(F.col("__normal"), F.lit(1e-12))
+    limit = F.lit(S.LEVERAGE_BREACH) * F.greatest(F.col("__normal"), F.lit(S.NORM_FLOOR))
     source = (
-        F.when(~breach, "within_threshold")
-        .when(F.col("leverage") > limit, "position_scaling")
-        .when(F.col("factor_share") >= 0.5, "factor_covariance_underestimation_or_regime_shock")
-        .otherwise("idiosyncratic_covariance_underestimation_or_regime_shock")
+        F.when(~breach, S.SOURCE_NONE)
+        .when(F.col("leverage") > limit, S.SOURCE_SCALING)
+        .when(F.col("factor_share") >= S.FACTOR_SHARE, S.SOURCE_FACTOR)
+        .otherwise(S.SOURCE_IDIO)
     )
     return yearly.join(F.broadcast(normal), "method").withColumn("risk_failure_source", source).drop("__normal")
 
@@ -346,21 +346,19 @@ def raw_profile(df: DataFrame, column: str) -> DataFrame:
     return counts.join(F.broadcast(points))
 
 
-def markowitz_factored(
-    rows: DataFrame, matrices: DataFrame, mu: str, factors: Sequence[str], gamma: float = S.GAMMA,
-    ridge: float = S.COVARIANCE_RIDGE, output: str = "weight",
+def _low_rank_solve(
+    rows: DataFrame, matrices: DataFrame, d: Column, rhs: Column, k: int, gamma: float, output: str
 ) -> DataFrame:
-    """(gamma (BFB' + D + ridge I))^-1 mu without an entity-by-entity matrix.
+    """(gamma BFB' + diag(d))^-1 rhs by month, without an entity-by-entity matrix.
 
-    With d = gamma (D + ridge): w = (mu - B s) / d where (I + gamma F A) s = gamma F r, A = B'd^-1B and
-    r = B'd^-1 mu.  A and r are month sums; the K x K system is solved per month in a batch.
+    w = (rhs - B s) / d where (I + gamma F A) s = gamma F r, A = B'd^-1B and r = B'd^-1 rhs.  A and r are month
+    sums; the K x K system is solved per month in a batch.
     """
-    k = len(factors)
-    d = F.lit(gamma) * (F.col("idio_variance") + F.lit(ridge))
+    rows = rows.withColumns({"__d": d, "__rhs": rhs})
     b = [F.element_at("loadings", i + 1) for i in range(k)]
     sums = rows.groupBy("eom").agg(
-        F.array(*[F.sum(b[i] * b[j] / d) for i in range(k) for j in range(k)]).alias("a"),
-        F.array(*[F.sum(b[i] * F.col(mu) / d) for i in range(k)]).alias("r"),
+        F.array(*[F.sum(b[i] * b[j] / F.col("__d")) for i in range(k) for j in range(k)]).alias("a"),
+        F.array(*[F.sum(b[i] * F.col("__rhs") / F.col("__d")) for i in range(k)]).alias("r"),
     )
 
     @F.pandas_udf("array<double>")
@@ -374,4 +372,31 @@ def markowitz_factored(
 
     solved = sums.join(F.broadcast(matrices), "eom").select("eom", solve("a", "r", "factor_cov").alias("__s"))
     joined = ranks.attach(rows, solved, ["eom"])
-    return joined.withColumn(output, (F.col(mu) - dot(F.col("loadings"), F.col("__s"))) / d).drop("__s")
+    weight = (F.col("__rhs") - dot(F.col("loadings"), F.col("__s"))) / F.col("__d")
+    return joined.withColumn(output, weight).drop("__s", "__d", "__rhs")
+
+
+def markowitz_factored(
+    rows: DataFrame, matrices: DataFrame, mu: str, factors: Sequence[str], gamma: float = S.GAMMA,
+    ridge: float = S.COVARIANCE_RIDGE, output: str = "weight",
+) -> DataFrame:
+    """(gamma (BFB' + D + ridge I))^-1 mu."""
+    d = F.lit(gamma) * (F.col("idio_variance") + F.lit(ridge))
+    return _low_rank_solve(rows, matrices, d, F.col(mu), len(factors), gamma, output)
+
+
+def static_factored(
+    rows: DataFrame, matrices: DataFrame, mu: str, inherited: str, factors: Sequence[str], return_scale: float,
+    cost_scale: float, diagonal_shrinkage: float = 0.0, gamma: float = S.GAMMA, aum: float = S.AUM,
+    ridge: float = S.COVARIANCE_RIDGE, output: str = "weight",
+) -> DataFrame:
+    """The static policies with inherited weights, under factored risk S = BFB' + D.
+
+    Solves (gamma (S + v diag(S) + ridge I) + A c L) w = s mu + A c L inherited, where ``rows`` has loadings,
+    idio_variance, factor_total_variance (the diagonal of S) and lambda_adv (L).  With v = 0 and c = 1 / phi it is
+    the static policy, else the adjusted one.
+    """
+    pull = F.lit(aum) * F.lit(cost_scale) * F.col("lambda_adv")
+    own = F.col("idio_variance") + F.lit(diagonal_shrinkage) * F.col("factor_total_variance") + F.lit(ridge)
+    rhs = F.lit(return_scale) * F.col(mu) + pull * F.col(inherited)
+    return _low_rank_solve(rows, matrices, F.lit(gamma) * own + pull, rhs, len(factors), gamma, output)

@@ -22,7 +22,7 @@ def select_cumulative(
     """For every test year score each candidate on all earlier years and mark the first best.
 
     Yearly sums per candidate, then running sums: every year's score comes from one pass.  A null
-    score counts as minus infinity.
+    score counts as minus infinity.  The latest validation year is that of the rows used.
     """
     keys = [*by, candidate]
     g, c, u = F.col("gross_return"), F.col("trading_cost"), F.col("utility_flow")
@@ -34,7 +34,8 @@ def select_cumulative(
     past = W.partitionBy(*keys).orderBy("test_year").rowsBetween(W.unboundedPreceding, -1)
     sums = {n: F.sum(n).over(past) for n in ("g", "gg", "ng", "c", "nc", "u", "nu", "months")}
     run = yearly.select(
-        *keys, "test_year", *[v.alias(n) for n, v in sums.items()], F.count(F.lit(1)).over(past).alias("years")
+        *keys, "test_year", *[v.alias(n) for n, v in sums.items()], F.count(F.lit(1)).over(past).alias("years"),
+        F.max("test_year").over(past).alias("latest"),
     ).where(F.col("test_year") >= first_test_year)
     mean = F.col("g") / F.nullif(F.col("ng"), F.lit(0))
     variance = F.col("gg") / F.nullif(F.col("ng"), F.lit(0)) - mean * mean
@@ -45,9 +46,9 @@ def select_cumulative(
     order = W.partitionBy(*by, "test_year").orderBy(F.col("score").desc(), candidate)  # one row per candidate
     return scored.select(
         *keys, "test_year", "score", F.col("months").alias("validation_months"), F.col("years").alias("validation_years"),
-        (F.col("test_year") - 1).alias("latest_validation_year"),
+        F.col("latest").alias("latest_validation_year"),
         (F.row_number().over(order) == 1).alias("selected"),
-        F.lit(False).alias("future_information_used"),
+        F.coalesce(F.col("latest") >= F.col("test_year"), F.lit(False)).alias("future_information_used"),
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -137,17 +138,17 @@ def persistence_flag(
 ) -> dict[str, Column]:
     """Do three persistence measures agree, and if not, why."""
     spread = F.greatest(*metrics) - F.least(*metrics)
-    signs = [F.when(F.abs(m) > 0.05, F.signum(m)) for m in metrics]
+    signs = [F.when(F.abs(m) > S.PERSISTENCE_SIGN, F.signum(m)) for m in metrics]
     has_pos = F.coalesce(F.greatest(*signs), F.lit(0.0)) > 0
     has_neg = F.coalesce(F.least(*signs), F.lit(0.0)) < 0
     disagree = (spread > gap) | (has_pos & has_neg)
     detail = F.concat_ws(
         "; ",
-        F.when(fill_rate > 0.10, "material neutral-rank missing-value fills"),
-        F.when(ties > 0.10, "material rank ties"),
-        F.when(overlap < 0.90, "low dynamic-universe overlap"),
+        F.when(fill_rate > S.PERSISTENCE_FILLS, S.CAUSE_FILLS),
+        F.when(ties > S.PERSISTENCE_TIES, S.CAUSE_TIES),
+        F.when(overlap < S.PERSISTENCE_OVERLAP, S.CAUSE_OVERLAP),
     )
-    cause = F.when(detail == "", "rank transformation or nonlinear cross-sectional movement").otherwise(detail)
+    cause = F.when(detail == "", S.CAUSE_OTHER).otherwise(detail)
     note = F.when(
         ~disagree, "AR(1), monthly Pearson and monthly Spearman persistence are aligned"
     ).otherwise(F.concat(F.lit("maximum metric gap "), F.format_string("%.3f", spread), F.lit("; "), cause))
@@ -319,48 +320,51 @@ def score_features(table: DataFrame, bonus: Mapping[str, float], sensitive: Sequ
     Needs missing_rate, median_std, mean_ic, same_sign_year_share, top3_year_share, persistence,
     average_abs, max_abs, theme, feature.
     """
-    unit = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
-    c = F.col
+    unit = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
+    c, scale, screen, strict = F.col, S.SCORE_SCALES, S.SCREENS, S.CONSERVATIVE_SCREENS
+    mixed = lambda parts, one, two: F.lit(parts[0]) * one + F.lit(parts[1]) * two
     bonus_map = F.create_map(*[F.lit(x) for item in bonus.items() for x in item])
     is_sensitive = c("feature").isin(list(sensitive))
+    least = F.lit(scale["sensitive_persistence"])
+    short = F.greatest(least - c("persistence"), F.lit(0.0)) / least
     steps = {
-        "quality": F.lit(0.7) * unit(1 - c("missing_rate") / 0.20) + F.lit(0.3) * unit(c("median_std") / 0.20),
-        "ic_score": unit(F.abs("mean_ic") / 0.03),
-        "stability": F.lit(0.6) * c("same_sign_year_share") + F.lit(0.4) * unit(1 - c("top3_year_share") / 0.60),
-        "persistence_score": unit((c("persistence") - 0.20) / 0.75),
-        "redundancy": F.lit(0.6) * c("average_abs") + F.lit(0.4) * c("max_abs"),
+        "quality": mixed(
+            S.QUALITY_PARTS, unit(1 - c("missing_rate") / scale["missing"]), unit(c("median_std") / scale["std"])
+        ),
+        "ic_score": unit(F.abs("mean_ic") / scale["ic"]),
+        "stability": mixed(
+            S.STABILITY_PARTS, c("same_sign_year_share"), unit(1 - c("top3_year_share") / scale["top_years"])
+        ),
+        "persistence_score": unit((c("persistence") - scale["persistence_from"]) / scale["persistence_over"]),
+        "redundancy": mixed(S.REDUNDANCY_PARTS, c("average_abs"), c("max_abs")),
         "bonus": F.coalesce(F.try_element_at(bonus_map, c("theme")), F.lit(0.0)),
-        "trading_penalty": F.when(
-            is_sensitive, F.greatest(F.lit(0.70) - c("persistence"), F.lit(0.0)) / 0.70
-        ).otherwise(0.0),
+        "trading_penalty": F.when(is_sensitive, short).otherwise(0.0),
     }
+
+    def total(weights: Mapping[str, float]) -> Column:
+        parts = [F.lit(w) * (1 - c("redundancy") if n == "diversity" else c(n)) for n, w in weights.items()]
+        return reduce(lambda x, y: x + y, parts)
+
     failed = (
-        (c("missing_rate") > 0.20)
-        | (c("median_std") < 0.02)
-        | (c("persistence") < 0.20)
-        | (c("max_abs") > 0.90)
-        | (is_sensitive & (c("persistence") < 0.70))
+        (c("missing_rate") > screen["missing"])
+        | (c("median_std") < screen["std"])
+        | (c("persistence") < screen["persistence"])
+        | (c("max_abs") > screen["max_abs"])
+        | (is_sensitive & (c("persistence") < least))
     )
-    return (
-        table.withColumns(steps)
-        .withColumn(
-            "balanced_score",
-            F.lit(0.25) * c("quality") + F.lit(0.25) * c("ic_score") + F.lit(0.15) * c("stability")
-            + F.lit(0.20) * c("persistence_score") + F.lit(0.10) * (1 - c("redundancy"))
-            + F.lit(0.05) * c("bonus") - F.lit(0.05) * c("trading_penalty"),
-        )
-        .withColumn(
-            "conservative_score",
-            F.lit(0.35) * c("quality") + F.lit(0.05) * c("ic_score") + F.lit(0.10) * c("stability")
-            + F.lit(0.30) * c("persistence_score") + F.lit(0.20) * (1 - c("redundancy"))
-            - F.lit(0.05) * c("trading_penalty"),
-        )
-        .withColumn("balanced_eligible", ~failed)
-        .withColumn(
-            "conservative_eligible",
-            ~failed & (c("missing_rate") <= 0.10) & (c("median_std") >= 0.05) & (c("persistence") >= 0.60)
-            & (c("max_abs") <= 0.85) & (c("average_abs") <= 0.35),
-        )
+    passed = (
+        ~failed
+        & (c("missing_rate") <= strict["missing"])
+        & (c("median_std") >= strict["std"])
+        & (c("persistence") >= strict["persistence"])
+        & (c("max_abs") <= strict["max_abs"])
+        & (c("average_abs") <= strict["average_abs"])
+    )
+    return table.withColumns(steps).withColumns(
+        {
+            "balanced_score": total(S.BALANCED_WEIGHTS), "conservative_score": total(S.CONSERVATIVE_WEIGHTS),
+            "balanced_eligible": ~failed, "conservative_eligible": passed,
+        }
     )
 
 

@@ -168,9 +168,9 @@ def resumed_ledger(spark, sf_dir):
 
 SELECT_SQL = """
 cumulative AS (
-  SELECT m.method, m.candidate, y.test_year, coalesce(avg(r.gross_return) - avg(r.trading_cost) - 5e0 * (avg(r.gross_return * r.gross_return) - pow(avg(r.gross_return), 2)), '-inf'::DOUBLE) AS score, count(DISTINCT r.eom) AS validation_months, count(DISTINCT r.test_year) AS validation_years
+  SELECT m.method, m.candidate, y.test_year, coalesce(avg(r.gross_return) - avg(r.trading_cost) - 5e0 * (avg(r.gross_return * r.gross_return) - pow(avg(r.gross_return), 2)), '-inf'::DOUBLE) AS score, count(DISTINCT r.eom) AS validation_months, count(DISTINCT r.test_year) AS validation_years, max(r.test_year) AS latest_validation_year
   FROM (SELECT DISTINCT method, candidate FROM rets) m CROSS JOIN (SELECT DISTINCT test_year FROM rets WHERE test_year >= 1997) y LEFT JOIN rets r ON r.method = m.method AND r.candidate = m.candidate AND r.test_year < y.test_year GROUP BY 1, 2, 3),
-chosen AS (SELECT *, CAST(test_year - 1 AS INTEGER) AS latest_validation_year, row_number() OVER (PARTITION BY method, test_year ORDER BY score DESC, candidate) = 1 AS selected, false AS future_information_used FROM cumulative)"""
+chosen AS (SELECT *, row_number() OVER (PARTITION BY method, test_year ORDER BY score DESC, candidate) = 1 AS selected, coalesce(latest_validation_year >= test_year, false) AS future_information_used FROM cumulative)"""
 
 
 def selected(spark, sf_dir) -> DataFrame:
@@ -646,45 +646,3 @@ def consolidate(spark, sf_dir):
         },
         base.METHODS, DISPLAY,
     )
-
-
-# Dense jobs ---------------------------------------------------------------------------------------
-
-
-def small_risk(spark, sf_dir) -> DataFrame:
-    return risk_rows(spark, sf_dir).where("in_small")
-
-
-@register("dense_speed_stats", "eom gamma:4 aum:2 mode radius:8 eig_min:8 eig_median:8 eig_max:8 imag_max:8 speed_min:8 speed_median:8 speed_max:8 cells:bigint")
-def dense_speed_stats(spark, sf_dir):
-    """Trading-speed matrices under factored risk for the top fifth of names, two sizes."""
-    grid = base.stats(spark, sf_dir).limit(1).select(
-        F.lit(S.GAMMA).alias("gamma"), F.explode(F.array(F.lit(AUM), F.lit(10 * AUM))).alias("aum")
-    )
-    return portfolio_ml.speed_stats(
-        portfolio_ml.dense_speed(small_risk(spark, sf_dir), matrices(spark, sf_dir), grid)
-    )
-
-
-@register("dense_ledger", "candidate eom gross_return:8 trading_cost:8 net_return:8 turnover:8 leverage:8")
-def dense_ledger(spark, sf_dir):
-    """Static, adjusted static and aim policies under factored risk, one fold per candidate."""
-    rows = small_risk(spark, sf_dir).withColumn("aim_weight", F.lit(0.5) * F.col("mu"))
-    stats = base.stats(spark, sf_dir)
-    options = [
-        ("phi=1 s=0.1", "static", 0.1, 0.0, 1.0), ("phi=6 s=0.5", "static", 0.5, 0.0, 1.0 / 6.0),
-        ("u=0.5 v=0.25 k=2", "static", 0.5, 0.25, 2.0), ("aim", "aim", 0.0, 0.0, 0.0),
-    ]
-    items = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("candidate"), F.lit(kind).alias("kind"), F.lit(s).alias("return_scale"),
-                F.lit(v).alias("diagonal_shrinkage"), F.lit(k).alias("cost_scale"),
-            )
-            for c, kind, s, v, k in options
-        ]
-    )
-    candidates = stats.limit(1).select(F.lit(S.GAMMA).alias("gamma"), F.lit(AUM).alias("aum"), F.inline(items))
-    held = portfolio_ml.dense_ledger_weights(rows, matrices(spark, sf_dir), stats, candidates, ["candidate"])
-    loads = rows.select("eom", "entity", "ret_exc_lead1m", "lambda_adv", F.col("factor_total_variance").alias("variance"))
-    return ledger.ledger(held.join(loads, ["eom", "entity"]), stats, ["candidate"], aum=AUM)

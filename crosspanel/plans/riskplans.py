@@ -363,3 +363,37 @@ def markowitz_factored(spark, sf_dir):
     )
     small = risk.covariance_matrices(monthly_covariance(spark, sf_dir), TWO)
     return risk.markowitz_factored(factored, small, "mu", TWO)
+
+
+def static_sql(s: str, c: str, v: str) -> str:
+    """The factored static policies of two factors, from equal inherited weights."""
+    return f"""WITH n AS (SELECT eom, 1e0 / count(*) AS inherited FROM risk_rows GROUP BY 1),
+    p AS (SELECT *, 1e5 * {c} * lambda_adv AS pull, b1*b1*fdd + b2*b2*ftt + 2*b1*b2*fdt + idio_variance AS own FROM risk_rows JOIN n USING (eom)),
+    r AS (SELECT *, 1e1 * (idio_variance + {v} * own + 1e-8) + pull AS d, {s} * mu + pull * inherited AS rhs FROM p),
+    a AS (SELECT eom, sum(b1*b1/d) AS a11, sum(b1*b2/d) AS a12, sum(b2*b2/d) AS a22, sum(b1*rhs/d) AS r1, sum(b2*rhs/d) AS r2, 1e1*max(fdd) AS c11, 1e1*max(fdt) AS c12, 1e1*max(ftt) AS c22 FROM r GROUP BY 1),
+    m AS (SELECT *, 1 + c11*a11 + c12*a12 AS m11, c11*a12 + c12*a22 AS m12, c12*a11 + c22*a12 AS m21, 1 + c12*a12 + c22*a22 AS m22, c11*r1 + c12*r2 AS q1, c12*r1 + c22*r2 AS q2 FROM a),
+    s AS (SELECT eom, (q1*m22 - q2*m12)/(m11*m22 - m12*m21) AS s1, (q2*m11 - q1*m21)/(m11*m22 - m12*m21) AS s2 FROM m)
+    SELECT eom, entity, (rhs - b1*s1 - b2*s2)/d AS weight FROM r JOIN s USING (eom)"""
+
+
+def _static_factored(spark, sf_dir, s: float, c: float, v: float) -> DataFrame:
+    factored = risk.factor_risk(
+        base.universe(spark, sf_dir), exposures(spark, sf_dir), idio(spark, sf_dir), TWO,
+        group_rows=base.bound(spark, sf_dir),
+    )
+    small = risk.covariance_matrices(monthly_covariance(spark, sf_dir), TWO)
+    names = factored.groupBy("eom").agg((F.lit(1.0) / F.count(F.lit(1))).alias("inherited"))
+    rows = risk.entity_variance(factored, small).join(F.broadcast(names), "eom")
+    return risk.static_factored(rows, small, "mu", "inherited", TWO, s, c, v, aum=base.AUM)
+
+
+@register("static_factored", "eom entity weight:8", static_sql("0.5e0", "(1e0 / 6e0)", "0e0"), EXPOSE)
+def static_factored(spark, sf_dir):
+    """The static policy under factored risk: month sums and a K x K solve."""
+    return _static_factored(spark, sf_dir, 0.5, 1.0 / 6.0, 0.0)
+
+
+@register("static_star_factored", "eom entity weight:8", static_sql("0.5e0", "2e0", "0.25e0"), EXPOSE)
+def static_star_factored(spark, sf_dir):
+    """The adjusted static policy under factored risk."""
+    return _static_factored(spark, sf_dir, 0.5, 2.0, 0.25)

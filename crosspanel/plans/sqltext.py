@@ -7,6 +7,10 @@ import re
 FEATURES = ("discount", "tax", "qty", "returned", "size", "momentum")
 
 
+#: CTEs that later ones read several times; without a copy each reader runs the chain anew.
+KEPT = ("panel", "panel_base", "panel_rets", "uni", "uni_ranked", "weights", "growth", "priced", "carried", "rets")
+
+
 def pct_rank(column: str, by: str = "eom") -> str:
     """Average-tie percentile rank inside ``by`` with null read as 0.5."""
     return (
@@ -89,6 +93,7 @@ def final(body: str, *columns: str, ctes: str = "") -> str:
             parts.append(f"round(CAST({name} AS DOUBLE), {kind}) + 0e0 AS {name}")
         else:
             parts.append(f"CAST({name} AS {kind.upper()}) AS {name}")
+    ctes = re.sub(rf"(?m)^({'|'.join(KEPT)}) AS \(", r"\1 AS MATERIALIZED (", ctes)
     with_ = f"WITH RECURSIVE {ctes}\n" if ctes else ""
     return f"{with_}SELECT {', '.join(parts)} FROM ({body}) AS result"
 

@@ -66,3 +66,44 @@ LABEL_MISSING_RATE = 0.20
 RAW_MISSING_RATE = 0.50
 LOOKAHEAD_MARGIN = 0.10
 LOOKAHEAD_ROWS = 30
+
+# Persistence report: limits, and the texts of its causes.
+PERSISTENCE_SIGN = 0.05
+PERSISTENCE_FILLS = 0.10
+PERSISTENCE_TIES = 0.10
+PERSISTENCE_OVERLAP = 0.90
+CAUSE_FILLS = "material neutral-rank missing-value fills"
+CAUSE_TIES = "material rank ties"
+CAUSE_OVERLAP = "low dynamic-universe overlap"
+CAUSE_OTHER = "rank transformation or nonlinear cross-sectional movement"
+
+# Risk calibration: limits of the ratio of realised to predicted volatility, and the texts of a breach.
+RATIO_WITHIN = (0.6, 1.5)
+RATIO_MEDIAN = (0.8, 1.25)
+RATIO_BREACH = 2.0
+BREACH_YEARS = 0.1
+WITHIN_SHARE = 0.8
+LEVERAGE_BREACH = 1.5
+FACTOR_SHARE = 0.5
+SOURCE_NONE = "within_threshold"
+SOURCE_SCALING = "position_scaling"
+SOURCE_FACTOR = "factor_covariance_underestimation_or_regime_shock"
+SOURCE_IDIO = "idiosyncratic_covariance_underestimation_or_regime_shock"
+
+# Feature scores: weights of the two scores, the scales of their parts, and the hard screens.
+BALANCED_WEIGHTS = {
+    "quality": 0.25, "ic_score": 0.25, "stability": 0.15, "persistence_score": 0.20, "diversity": 0.10, "bonus": 0.05,
+    "trading_penalty": -0.05,
+}
+CONSERVATIVE_WEIGHTS = {
+    "quality": 0.35, "ic_score": 0.05, "stability": 0.10, "persistence_score": 0.30, "diversity": 0.20, "trading_penalty": -0.05,
+}
+SCORE_SCALES = {
+    "missing": 0.20, "std": 0.20, "ic": 0.03, "top_years": 0.60, "persistence_from": 0.20, "persistence_over": 0.75,
+    "sensitive_persistence": 0.70,
+}
+QUALITY_PARTS = (0.7, 0.3)
+STABILITY_PARTS = (0.6, 0.4)
+REDUNDANCY_PARTS = (0.6, 0.4)
+SCREENS = {"missing": 0.20, "std": 0.02, "persistence": 0.20, "max_abs": 0.90}
+CONSERVATIVE_SCREENS = {"missing": 0.10, "std": 0.05, "persistence": 0.60, "max_abs": 0.85, "average_abs": 0.35}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from decimal import Decimal, localcontext
+from fractions import Fraction
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -134,25 +137,23 @@ def test_value_weighted_start(spark):
     close(ledger.grid_ledger(terms, stats, ["method"], aum=aum, state=state), brute_force(pdf, choose, aum, 10.0, start))
 
 
-def test_speed_recorded_matrix():
-    """Recorded 2 x 2 case, ten updates, tolerance 1e-13; no cost means no memory."""
-    covariance = np.array(
-        [[0.00037991888866204275, -0.00010761541538319085], [-0.00010761541538319085, 0.0002861061016375227]]
-    )
-    impact = np.array([4.4727538442493773e-10, 2.5534621844491144e-09])
-    got = portfolio_ml._speed_matrix(covariance, impact, 10.0, 1.0e9, 1.007, 10)
-    want = np.array([[0.9122044530072988, 0.018157824156236683], [0.003180602332496783, 0.9680117144127287]])
-    np.testing.assert_allclose(got, want, atol=1e-13, rtol=0.0)
-    assert not portfolio_ml._speed_matrix(covariance, impact, 10.0, 0.0, 1.007, 10).any()
-
-
-def test_speed_expression_is_the_diagonal_of_the_matrix(spark):
+def test_speed_solves_its_condition(spark):
+    """Ten substitutions are the diagonal of the recorded 2 x 2 case's routine; large risk keeps its digits."""
     df, pdf = random_panel(spark)
-    got = df.select("eom", "entity", policy.trading_speed(F.col("variance"), F.col("lambda_adv"), aum=1e3).alias("m")).toPandas()
-    joined = pdf.merge(got, on=["eom", "entity"])
-    for _, m in joined.groupby("eom"):
-        dense = portfolio_ml._speed_matrix(np.diag(m["variance"]), m["lambda_adv"].to_numpy(), 10.0, 1e3, 1.007, 10)
-        np.testing.assert_allclose(m["m"], np.diag(dense), rtol=1e-9)
+    for aum in (1e3, 1e-9):
+        got = df.select("eom", "entity", policy.trading_speed(F.col("variance"), F.col("lambda_adv"), aum=aum).alias("m"))
+        m = pdf.merge(got.toPandas(), on=["eom", "entity"])
+        r = [Fraction(10.0) * Fraction(v) / (Fraction(aum) * Fraction(l)) for v, l in zip(m["variance"], m["lambda_adv"])]
+        for ri, v, kept in zip(r, m["variance"], m["m"]):
+            c = 1 + Fraction(v) / Fraction(1.007) ** 2
+            with localcontext(prec=60):
+                rd = Decimal(ri.numerator) / Decimal(ri.denominator)
+                x = ((rd + 2) - ((rd + 2) ** 2 - 4).sqrt()) / 2
+                for _ in range(10):
+                    x = 1 / (rd + 1 + (1 - x) * Decimal(c.numerator) / Decimal(c.denominator))
+            assert kept == pytest.approx(float(x), rel=1e-10)
+    free = df.select(policy.trading_speed(F.col("variance"), F.col("lambda_adv"), aum=0.0).alias("m"))
+    assert free.distinct().collect() == [(0.0,)]
 
 
 def factored(spark, df, seed=2):
@@ -166,51 +167,37 @@ def factored(spark, df, seed=2):
     return rows, dates, cov
 
 
-@pytest.mark.parametrize("kind", ["static", "star", "aim"])
-def test_dense_fold_against_a_month_loop(spark, kind):
+@pytest.mark.parametrize("s, c, v", [(0.25, 1 / 3.0, 0.0), (0.5, 2.0, 0.25)])
+def test_static_factored_against_dense_solve(spark, s, c, v):
     df, pdf = random_panel(spark)
     rows, matrices, cov = factored(spark, df)
-    rows = rows.withColumn("aim_weight", F.col("mu") * 20)
-    aum, gamma = 50.0, 10.0
-    setting = {"static": (0.25, 0.0, 1 / 3.0), "star": (0.5, 0.25, 2.0), "aim": (0.0, 0.0, 0.0)}[kind]
-    candidates = spark.createDataFrame(
-        [("c", "aim" if kind == "aim" else "static", gamma, aum, *setting)],
-        "candidate string, kind string, gamma double, aum double, return_scale double, diagonal_shrinkage double, cost_scale double",
-    )
-    stats = ledger.month_stats(df, 100)
-    held = portfolio_ml.dense_ledger_weights(rows, matrices, stats, candidates, ["candidate"])
-    priced = ledger.ledger(
-        held.join(df.select("eom", "entity", "ret_exc_lead1m", "lambda_adv"), ["eom", "entity"]), stats, ["candidate"], aum=aum
-    )
-
-    def choose(m, inherited):
+    rows = risk.entity_variance(rows, matrices).withColumn("inherited", F.col("x") * 0.02)
+    got = risk.static_factored(rows, matrices, "mu", "inherited", ["a", "b"], s, c, v, aum=50.0).toPandas()
+    for eom, m in got.groupby("eom"):
         b = np.column_stack([np.ones(len(m)), m["x"]])
         sigma = b @ cov @ b.T + np.diag(m["variance"])
-        if kind == "aim":
-            speed = portfolio_ml._speed_matrix(sigma, m["lambda_adv"].to_numpy(), gamma, aum, 1.007, 10)
-            goal = 20 * m["mu"].to_numpy()
-            return pd.Series(speed @ inherited.to_numpy() + (np.eye(len(m)) - speed) @ goal, index=m.index)
-        s, v, c = setting
-        pull = np.diag(aum * c * m["lambda_adv"])
-        lhs = gamma * (sigma + v * np.diag(np.diag(sigma)) + 1e-8 * np.eye(len(m))) + pull
-        return pd.Series(np.linalg.solve(lhs, s * m["mu"].to_numpy() + pull @ inherited.to_numpy()), index=m.index)
-
-    close(priced, brute_force(pdf, choose, aum, gamma))
-
-
-def test_dense_speed_rows(spark):
-    df, pdf = random_panel(spark, months=3)
-    rows, matrices, cov = factored(spark, df)
-    grid = spark.createDataFrame([(10.0, 50.0), (10.0, 0.0)], "gamma double, aum double")
-    long = portfolio_ml.dense_speed(rows, matrices, grid).toPandas()
-    for (eom, aum), part in long.groupby(["eom", "aum"]):
-        m = pdf[pdf["eom"] == eom].sort_values("entity")
-        b = np.column_stack([np.ones(len(m)), m["x"]])
-        want = portfolio_ml._speed_matrix(b @ cov @ b.T + np.diag(m["variance"]), m["lambda_adv"].to_numpy(), 10.0, aum, 1.007, 10)
-        got = part.pivot(index="entity_i", columns="entity_j", values="m").to_numpy()
-        np.testing.assert_allclose(got, want, atol=1e-12)
-    with pytest.raises(ValueError, match="diagonal trading speed"):
-        portfolio_ml.dense_speed(rows, matrices, grid, max_names=2)
+        pull = np.diag(50.0 * c * m["lambda_adv"])
+        lhs = 10.0 * (sigma + v * np.diag(np.diag(sigma)) + 1e-8 * np.eye(len(m))) + pull
+        want = np.linalg.solve(lhs, s * m["mu"] + pull @ m["inherited"])
+        np.testing.assert_allclose(m["weight"], want, rtol=1e-8, atol=1e-12)
+
+
+def test_ewma_of_a_long_series(spark):
+    """Weights (1-a)^age over more days than their inverse powers would stand."""
+    rng = np.random.default_rng(5)
+    days = pd.DataFrame({"d": range(4000), "x": rng.normal(size=4000), "y": rng.normal(size=4000), "f": "p"})
+    got = regress.ewma_moments(spark.createDataFrame(days), ["f"], "d", "x", "y", 5).toPandas().set_index("d")
+    for at in (0, 1, 7, 3999):
+        w = (1 - 2 / 6) ** np.arange(at, -1, -1.0)
+        x, y = days["x"][: at + 1], days["y"][: at + 1]
+        want = (w * x * y).sum() / w.sum() - (w * x).sum() * (w * y).sum() / w.sum() ** 2
+        assert got.loc[at, "covariance"] == pytest.approx(want, abs=1e-12)
+
+
+def test_two_rows_of_a_month_are_an_error(spark):
+    rows = spark.createDataFrame([(1, 1, 1.0, 0.5), (1, 2, 1.0, 0.5), (1, 2, 1.0, 0.5)], "entity long, t int, a double, b double")
+    with pytest.raises(Exception, match="two rows of one t"):
+        ledger.affine_scan(rows, ["entity"], "t", "a", "b", "x").collect()
 
 
 def test_factored_markowitz_against_dense_solve(spark):

@@ -10,7 +10,7 @@ from check import compare, connect
 NAMES = (
     "performance", "scan_panel", "cs_rank", "bucketed_quantiles", "liquidity_decile", "cs_unit_norm", "rolling_splits",
     "return_model_by_year", "ewma_covariance", "persistence", "method_differences", "portfolio_variance",
-    "ledger_grid", "select_cumulative", "policy_beta", "mechanisms", "check_lookahead", "parse_params",
+    "ledger_grid", "select_cumulative", "policy_beta", "mechanisms", "trading_speed", "static_factored", "static_star_factored", "carry_positions", "scale_to_volatility", "check_lookahead", "parse_params",
 )
 
 
@@ -27,7 +27,8 @@ def test_query_equals_sql(spark, sf_dir, con, name):
 def test_registry():
     queries, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(queries)
-    assert sorted(set(queries) - set(sql)) == ["dense_ledger", "dense_speed_stats"]
+    own = {n for n in queries if n != "pipeline" and not n.startswith("op")}
+    assert own <= set(sql)
 
 
 def test_entry(spark):
