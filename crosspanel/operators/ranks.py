@@ -9,8 +9,8 @@ The cut points come from a hash sample of the group's own sort keys.  A hash sam
 of the data, so a recomputed partition sees the same buckets as the partition it replaces.
 
 Groups are months, feature-months or policy-months: their number is bounded by the calendar and the
-feature list, so the table of group sizes and the table of cuts (at most MAX_BUCKETS values a group)
-are small enough to broadcast, and rows are never shuffled on a group key alone.
+feature list, so the table of group sizes is small enough to broadcast; so is the table of cuts, with one
+value for every ``BUCKET_ROWS`` keys of a group.  Rows are never shuffled on a group key alone.
 
 Group keys must not be null (panel keys never are), so every join is a plain equi-join and the bucket
 windows and their offsets meet on one partitioning.
@@ -24,7 +24,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 WINDOW_ROWS = 1_000_000  # largest group ordered in one task
 BUCKET_ROWS = 500_000  # wished rows per bucket beyond it
-MAX_BUCKETS = 1_024
 
 
 def largest_group(df: DataFrame, by: Sequence[str]) -> int:
@@ -47,7 +46,7 @@ def bucket_by_value(
     """
     weight = F.col(rows) if rows else F.lit(1)
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__keys"))
-    buckets = F.least(F.lit(MAX_BUCKETS), F.ceil(F.col("__keys") / F.lit(bucket_rows)))
+    buckets = F.ceil(F.col("__keys") / F.lit(bucket_rows))
     step = F.greatest(F.lit(1).cast("bigint"), F.floor(F.col("__keys") / (buckets * F.lit(8))))
     source = df.select(*by, key)
     sized = source.join(F.broadcast(sizes), by, "left")
@@ -75,7 +74,7 @@ def _grouped(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
 
 
 def _offsets(bucketed: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Rows below each bucket and in the whole group: at most MAX_BUCKETS rows per group."""
+    """Rows below each bucket and in the whole group: one row per bucket."""
     counts = bucketed.groupBy(*by, "__bucket").agg(F.sum("__w").alias("__rows"))
     span = W.partitionBy(*by)
     before = span.orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)

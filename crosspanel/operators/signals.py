@@ -276,7 +276,7 @@ def path_pivot(table: DataFrame, by: Sequence[str], value: str, horizons: int =
 def rank_correlation(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     """Pearson and Spearman correlation across the rows of small feature-level groups."""
     for c, out in ((x, "__rx"), (y, "__ry")):
-        df = ranks.average_rank(df, by, c, out, group_rows=ranks.WINDOW_ROWS)
+        df = ranks.average_rank(df, by, c, out)
     measures = [
         F.count(F.lit(1)).alias("n"),
         correlation(x, y).alias("pearson"),

@@ -244,11 +244,17 @@ def feature_preflight(spark, sf_dir):
 
 
 @check(
-    "check_panel_shape", "rows:2 months:2 min_names:2 max_names:2", "panel_shape", "rows = 8261 AND months = 83", "error",
+    "check_panel_shape", "rows:2 months:2 min_names:2 max_names:2", "panel_shape",
+    "rows = (SELECT count(*) FROM source) AND months = (SELECT count(DISTINCT eom) FROM source) "
+    "AND (SELECT min(eom) = (SELECT min(eom) FROM source) AND max(eom) = (SELECT max(eom) FROM source) FROM panel)", "error",
     "SELECT sum(n)::DOUBLE AS rows, count(*)::DOUBLE AS months, min(n)::DOUBLE AS min_names, max(n)::DOUBLE AS max_names FROM (SELECT eom, count(*) AS n FROM panel GROUP BY 1)",
+    f"{PANEL}, source AS (SELECT DISTINCT l_suppkey, CAST(last_day(l_shipdate) AS DATE) AS eom FROM lineitem)",
 )
 def check_panel_shape(spark, sf_dir):
-    return quality.check_panel_shape(base.panel(spark, sf_dir), 8261, 83, "1995-01-31", "2001-11-30")
+    """The panel has a row for each supplier and month of the line items, and their months."""
+    keys = read(spark, sf_dir, "lineitem").select("l_suppkey", F.last_day("l_shipdate").alias("eom")).distinct()
+    want = keys.agg(F.count(F.lit(1)), F.count_distinct("eom"), F.min("eom"), F.max("eom")).first()
+    return quality.check_panel_shape(base.panel(spark, sf_dir), want[0], want[1], str(want[2]), str(want[3]))
 
 
 @register(

@@ -253,12 +253,12 @@ def concentration(spark, sf_dir):
 
 @register(
     "cap_leverage",
-    "eom entity weight:10",
-    "SELECT eom, entity, weight * CASE WHEN lev > 1.5e0 THEN 1.5e0 / lev ELSE 1e0 END AS weight FROM (SELECT *, sum(abs(weight)) OVER (PARTITION BY eom) AS lev FROM weights WHERE method = 'markowitz')",
+    "eom method entity weight:10",
+    "SELECT eom, method, entity, weight * CASE WHEN lev > 1.5e0 THEN 1.5e0 / lev ELSE 1e0 END AS weight FROM (SELECT *, sum(abs(weight)) OVER (PARTITION BY eom, method) AS lev FROM weights)",
     HELD,
 )
 def cap_leverage(spark, sf_dir):
-    return policy.cap_leverage(base.held(spark, sf_dir).where("method = 'markowitz'"), 1.5)
+    return policy.cap_leverage(base.held(spark, sf_dir), 1.5, by=["eom", "method"])
 
 
 # Aggregates over the panel ------------------------------------------------------------------------

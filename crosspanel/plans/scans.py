@@ -209,13 +209,16 @@ VALID_VOL = "CASE WHEN vol_12m > 0 THEN vol_12m END"
 @register(
     "impute_cs_median",
     "entity eom filled:10 filled_imputed",
-    f"SELECT entity, eom, greatest(coalesce({VALID_VOL}, med), 0.02e0) AS filled, {VALID_VOL} IS NULL AS filled_imputed "
-    f"FROM panel JOIN (SELECT eom, median({VALID_VOL}) AS med FROM panel GROUP BY eom) USING (eom) WHERE month_index > 1995 * 12 + 3",
+    f"SELECT entity, eom, greatest(coalesce({VALID_VOL}, med, 0.05e0), 0.02e0) AS filled, {VALID_VOL} IS NULL AS filled_imputed "
+    f"FROM panel JOIN (SELECT eom, median({VALID_VOL}) AS med FROM panel GROUP BY eom) USING (eom)",
     PANEL,
 )
 def impute_cs_median(spark, sf_dir):
-    rows = base.panel(spark, sf_dir).where(F.col("month_index") > 1995 * 12 + 3)
-    return scaling.impute_median(rows, "vol_12m", "filled", 0.02, group_rows=base.bound(spark, sf_dir))
+    """Months without one valid value take the default volatility."""
+    return scaling.impute_median(
+        base.panel(spark, sf_dir), "vol_12m", "filled", 0.02, group_rows=base.bound(spark, sf_dir),
+        default=S.VOLATILITY_DEFAULT,
+    )
 
 
 @register(
@@ -479,14 +482,13 @@ def overlapping_periods(spark, sf_dir):
 @register(
     "sorted_panel",
     "eom universe_rank entity place:bigint",
-    "SELECT eom, universe_rank, entity, row_number() OVER (ORDER BY eom, universe_rank, entity) AS place FROM panel WHERE in_small",
+    "SELECT eom, universe_rank, entity, row_number() OVER (ORDER BY eom, universe_rank, entity) AS place FROM panel",
     PANEL,
 )
 def sorted_panel(spark, sf_dir):
     """Sort by month, rank, entity, with each row's place in that order."""
-    rows = tables.scan_panel(base.panel(spark, sf_dir), universe="small")
     order = [F.col("eom"), F.col("universe_rank"), F.col("entity")]
-    placed = ranks.ordinal_rank(rows, [], order, "place", base.bound(spark, sf_dir))
+    placed = ranks.ordinal_rank(base.panel(spark, sf_dir), [], order, "place")
     return tables.sort_panel(placed)
 
 
@@ -558,28 +560,26 @@ def union_distinct(spark, sf_dir):
 
 @register(
     "key_difference",
-    "entity:bigint",
-    "SELECT entity FROM panel WHERE eom = DATE '1995-01-31' AND in_mid EXCEPT SELECT entity FROM panel WHERE eom = DATE '2001-10-31' AND in_mid",
+    "entity:bigint month_index:int",
+    "SELECT entity, month_index + 1 AS month_index FROM panel WHERE in_mid EXCEPT SELECT entity, month_index FROM panel WHERE in_mid",
     PANEL,
 )
 def key_difference(spark, sf_dir):
+    """Names of every month's universe that the next month's has no longer."""
     rows = base.panel(spark, sf_dir).where("in_mid")
-    return joins.key_difference(
-        rows.where("eom = date'1995-01-31'"), rows.where("eom = date'2001-10-31'"), ["entity"]
-    )
+    return joins.key_difference(rows.withColumn("month_index", F.col("month_index") + 1), rows, ["entity", "month_index"])
 
 
 @register(
     "key_intersection",
-    "entity:bigint",
-    "SELECT entity FROM panel WHERE eom = DATE '1995-01-31' AND in_mid INTERSECT SELECT entity FROM panel WHERE eom = DATE '2001-10-31' AND in_mid",
+    "entity:bigint month_index:int",
+    "SELECT entity, month_index + 1 AS month_index FROM panel WHERE in_mid INTERSECT SELECT entity, month_index FROM panel WHERE in_mid",
     PANEL,
 )
 def key_intersection(spark, sf_dir):
+    """Names of every month's universe that the month before had too."""
     rows = base.panel(spark, sf_dir).where("in_mid")
-    return joins.key_intersection(
-        rows.where("eom = date'1995-01-31'"), rows.where("eom = date'2001-10-31'"), ["entity"]
-    )
+    return joins.key_intersection(rows.withColumn("month_index", F.col("month_index") + 1), rows, ["entity", "month_index"])
 
 
 THEME_SQL = "CASE feature " + " ".join(f"WHEN '{f}' THEN '{t}'" for f, t in THEMES.items()) + " END"

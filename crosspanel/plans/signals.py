@@ -613,7 +613,7 @@ def select_diversified(spark, sf_dir):
 def min_rank_features(spark, sf_dir):
     """Features by absolute mean rank correlation, ties sharing the smallest rank."""
     means = monthly_ic(spark, sf_dir).groupBy("feature").agg(F.round(F.abs(F.avg("rank_ic")), 10).alias("size"))
-    return ranks.minimum_rank_descending(means, [], "size", "place", ranks.WINDOW_ROWS)
+    return ranks.minimum_rank_descending(means, [], "size", "place")
 
 
 @register(
