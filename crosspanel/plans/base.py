@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -16,20 +17,16 @@ from crosspanel.sources import panel as source
 AUM = 1.0e5  # fits the volumes of the derived panel
 METHODS = ("equal_weight", "rank_long_short", "top_bottom", "markowitz")
 
-_SHARED: dict[tuple[str, str, str], DataFrame] = {}
-_FOLDER: dict[str, str] = {}
+_SHARED: dict[tuple[str, str, str], tuple[DataFrame, str | None]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str | None:
-    """The folder the cluster names for checkpoints; a local session without one gets its own."""
+    """The folder the cluster names for checkpoints; a one-machine session without one is given its own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named
-    if spark.sparkContext.master.startswith("local"):
-        if "local" not in _FOLDER:
-            _FOLDER["local"] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        return _FOLDER["local"]
-    return None
+    if not named and re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        named = spark.sparkContext.getCheckpointDir()
+    return named
 
 
 def shared(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
@@ -42,12 +39,12 @@ def shared(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Data
     if key not in _SHARED:
         folder = shared_folder(spark)
         if folder is None:
-            _SHARED[key] = build().persist(StorageLevel.MEMORY_AND_DISK)
+            _SHARED[key] = build().persist(StorageLevel.MEMORY_AND_DISK), None
         else:
             path = f"{folder}/crosspanel-{uuid.uuid4().hex}/{name}"
             build().write.parquet(path)
-            _SHARED[key] = spark.read.parquet(path)
-    return _SHARED[key]
+            _SHARED[key] = spark.read.parquet(path), path
+    return _SHARED[key][0]
 
 
 def bound(spark: SparkSession, sf_dir: str) -> int:
@@ -113,6 +110,12 @@ def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def release(keep: tuple[str, ...] = ()) -> None:
-    """Forget shared tables, but for the named ones, so that they are built again."""
+    """Forget shared tables, but for the named ones, and delete their files; they are built again when asked for."""
     for key in [k for k in _SHARED if k[2] not in keep]:
-        _SHARED.pop(key).unpersist()
+        df, path = _SHARED.pop(key)
+        context = df.sparkSession.sparkContext
+        if path is None:
+            df.unpersist()
+        elif key[0] == context.applicationId:
+            folder = context._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)

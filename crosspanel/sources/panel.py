@@ -23,7 +23,7 @@ THEMES = {
     "momentum": "Momentum",
 }
 
-_SIZES: dict[tuple[str, str], tuple[int, int]] = {}
+_SIZES: dict[tuple[str, str, str], tuple[int, int]] = {}  # for one application: files may change after it
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -54,7 +54,7 @@ def monthly_aggregates(spark: SparkSession, sf_dir: str, entity: str = "l_suppke
 def panel_sizes(spark: SparkSession, sf_dir: str, entity: str = "l_suppkey") -> tuple[int, int]:
     """Entities in the largest month and rows of the panel: the measured group sizes that let a month,
     or a whole column, be ordered in one task."""
-    key = (sf_dir, entity)
+    key = (spark.sparkContext.applicationId, sf_dir, entity)
     if key not in _SIZES:
         pairs = read(spark, sf_dir, "lineitem").select(entity, F.last_day("l_shipdate").alias("eom")).distinct()
         row = pairs.groupBy("eom").count().agg(F.max("count"), F.sum("count")).first()
