@@ -14,7 +14,7 @@ from crosspanel.operators import joins, performance
 def select_cumulative(
     returns: DataFrame,
     static_methods: Sequence[str],
-    first_test_year: int,
+    first_test_year: int | None = None,
     gamma: float = S.GAMMA,
     by: Sequence[str] = ("method",),
     candidate: str = "candidate",
@@ -23,6 +23,7 @@ def select_cumulative(
 
     Yearly sums per candidate, then running sums: every year's score comes from one pass.  A null
     score counts as minus infinity.  The latest validation year is that of the rows used.
+    Without a first test year every year that has an earlier one is a test year.
     """
     keys = [*by, candidate]
     g, c, u = F.col("gross_return"), F.col("trading_cost"), F.col("utility_flow")
@@ -36,7 +37,7 @@ def select_cumulative(
     run = yearly.select(
         *keys, "test_year", *[v.alias(n) for n, v in sums.items()], F.count(F.lit(1)).over(past).alias("years"),
         F.max("test_year").over(past).alias("latest"),
-    ).where(F.col("test_year") >= first_test_year)
+    ).where(F.col("years") > 0 if first_test_year is None else F.col("test_year") >= first_test_year)
     mean = F.col("g") / F.nullif(F.col("ng"), F.lit(0))
     variance = F.col("gg") / F.nullif(F.col("ng"), F.lit(0)) - mean * mean
     static = mean - F.col("c") / F.nullif(F.col("nc"), F.lit(0)) - F.lit(0.5 * gamma) * variance

@@ -37,7 +37,7 @@ HISTORY = f"""{PANEL},
 history AS (
   SELECT p.*, y.test_year, CASE WHEN back <= 12 THEN 'validation' ELSE 'train' END AS part FROM panel p JOIN
     (SELECT eom, test_year, row_number() OVER (PARTITION BY test_year ORDER BY eom DESC) AS back FROM (SELECT eom FROM panel GROUP BY eom HAVING count({LABEL}) > 0)
-     JOIN (SELECT DISTINCT CAST(year(eom) AS INTEGER) AS test_year FROM panel) ON eom <= make_date(test_year - 1, 11, 30)) y USING (eom) WHERE y.test_year >= 1997),
+     JOIN (SELECT DISTINCT CAST(year(eom) AS INTEGER) AS test_year FROM panel) ON eom <= make_date(test_year - 1, 11, 30)) y USING (eom)),
 trained AS ({ridge_sql("(SELECT * FROM history WHERE part = 'train')", "test_year", LAMBDAS)}),
 refit AS ({ridge_sql("history", "test_year", LAMBDAS)}),
 scored AS (
@@ -52,8 +52,7 @@ predictions AS (
 
 def _model(spark, sf_dir):
     rows = base.panel(spark, sf_dir)
-    model = regress.return_model_by_year(rows, X2, LABEL, PENALTIES, validation_months=12)
-    return model.where("test_year >= 1997")
+    return regress.return_model_by_year(rows, X2, LABEL, PENALTIES, validation_months=12)
 
 
 def _coefficients(df):
@@ -118,11 +117,11 @@ def gram_wide(spark, sf_dir):
 @register(
     "ridge_fit",
     "year penalty n:bigint b0:8 b1:8 b2:8",
-    ridge_sql("(SELECT *, CAST(year(eom) AS INTEGER) AS year FROM panel WHERE month_index > 1995 * 12 + 7)", "year", LAMBDAS),
+    ridge_sql("(SELECT *, CAST(year(eom) AS INTEGER) AS year FROM panel)", "year", LAMBDAS),
     PANEL,
 )
 def ridge_fit(spark, sf_dir):
-    rows = base.panel(spark, sf_dir).where("month_index > 1995 * 12 + 7").withColumn("year", F.year("eom"))
+    rows = base.panel(spark, sf_dir).withColumn("year", F.year("eom"))
     moments = regress.gram(rows, X2, LABEL, ["year"])
     return _coefficients(regress.ridge_fit(regress.grid(moments, penalty=list(PENALTIES)), "penalty"))
 
@@ -196,13 +195,13 @@ def parameter_grid(spark, sf_dir):
 
 RECOVER = f"""{HELD},
 aims AS (SELECT eom, entity, CAST(year(eom) AS INTEGER) AS year, 0.4e0 * rank_discount - 0.3e0 * rank_momentum + 0.1e0 * rank_tax AS aim, rank_discount, rank_momentum
-  FROM panel WHERE month_index > 1995 * 12 + 7),
+  FROM panel),
 beta AS ({ridge_sql("aims", "year", "0::DOUBLE", y="aim", standard=False)})"""
 
 
 def _aims(spark, sf_dir):
     """Aim weights that two features explain only in part."""
-    rows = base.panel(spark, sf_dir).where("month_index > 1995 * 12 + 7")
+    rows = base.panel(spark, sf_dir)
     aim = F.lit(0.4) * F.col("rank_discount") - F.lit(0.3) * F.col("rank_momentum") + F.lit(0.1) * F.col("rank_tax")
     return rows.select("eom", "entity", F.year("eom").alias("year"), aim.alias("aim"), *X2)
 

@@ -169,14 +169,14 @@ def resumed_ledger(spark, sf_dir):
 SELECT_SQL = """
 cumulative AS (
   SELECT m.method, m.candidate, y.test_year, coalesce(avg(r.gross_return) - avg(r.trading_cost) - 5e0 * (avg(r.gross_return * r.gross_return) - pow(avg(r.gross_return), 2)), '-inf'::DOUBLE) AS score, count(DISTINCT r.eom) AS validation_months, count(DISTINCT r.test_year) AS validation_years, max(r.test_year) AS latest_validation_year
-  FROM (SELECT DISTINCT method, candidate FROM rets) m CROSS JOIN (SELECT DISTINCT test_year FROM rets WHERE test_year >= 1997) y LEFT JOIN rets r ON r.method = m.method AND r.candidate = m.candidate AND r.test_year < y.test_year GROUP BY 1, 2, 3),
+  FROM (SELECT DISTINCT method, candidate FROM rets) m CROSS JOIN (SELECT DISTINCT test_year FROM rets WHERE test_year > (SELECT min(test_year) FROM rets)) y LEFT JOIN rets r ON r.method = m.method AND r.candidate = m.candidate AND r.test_year < y.test_year GROUP BY 1, 2, 3),
 chosen AS (SELECT *, row_number() OVER (PARTITION BY method, test_year ORDER BY score DESC, candidate) = 1 AS selected, coalesce(latest_validation_year >= test_year, false) AS future_information_used FROM cumulative)"""
 
 
 def selected(spark, sf_dir) -> DataFrame:
     return base.shared(
         spark, sf_dir, "selected",
-        lambda: selection.select_cumulative(grid_returns(spark, sf_dir), STATIC_METHODS, 1997),
+        lambda: selection.select_cumulative(grid_returns(spark, sf_dir), STATIC_METHODS),
     )
 
 
