@@ -561,10 +561,31 @@ MECH = "within_cost:8 gross_weight:8 weighted_adv:4 low_adv_share:8 high_adv_sha
 
 @register("mechanisms", f"eom method {MECH} l1_ratio:6", "SELECT *, CASE WHEN trade_l1 > 0 THEN 1e0 END AS l1_ratio FROM mech", MECHANISM)
 def mechanisms(spark, sf_dir):
-    """Stock-level costs and distances; these policies trade all the way, so the ratio to the aim is one."""
+    """Stock-level costs and distances; these policies trade all the way to their weights (``mechanism_aims`` has one that doesn't)."""
     return _mechanisms(spark, sf_dir)
 
 
+@register(
+    "mechanism_aims",
+    "eom method penalty:4 trade_l1:8 aim_l1:8 l1_ratio:6 lambda_ratio:6 aim_cost:8",
+    """SELECT m.eom, c.method, c.penalty, sum(abs(weight - inherited)) AS trade_l1, sum(abs(aim - inherited)) AS aim_l1,
+      CASE WHEN sum(abs(aim - inherited)) > 0 THEN sum(abs(weight - inherited)) / sum(abs(aim - inherited)) END AS l1_ratio,
+      CASE WHEN sum(c.lambda_adv * pow(aim - inherited, 2)) > 0 THEN sqrt(sum(c.lambda_adv * pow(weight - inherited, 2))) / sqrt(sum(c.lambda_adv * pow(aim - inherited, 2))) END AS lambda_ratio,
+      sum(0.5e0 * 1e5 * c.lambda_adv * pow(aim - inherited, 2)) AS aim_cost
+    FROM carried c JOIN months m USING (t) JOIN aims a ON a.penalty = c.penalty AND a.entity = c.entity AND a.t = c.t
+    WHERE NOT dropped GROUP BY m.eom, c.method, c.penalty""",
+    AIMS,
+)
+def mechanism_aims(spark, sf_dir):
+    """How far the learned policy trades of the way to its own aim, in weights and in cost distance."""
+    keys = ["method", "penalty"]
+    carried = ledger.carry_positions(
+        policy_held(spark, sf_dir), base.stats(spark, sf_dir), keys, carry=["adv_6m", "aim_weight"]
+    )
+    deciles = windows.liquidity_decile(base.universe(spark, sf_dir), "adv_6m", base.bound(spark, sf_dir))
+    return ledger.mechanisms(carried, deciles, AUM, base.bound(spark, sf_dir), by=["eom", *keys])
+
+
 MECH_COLUMNS = ("low_adv_share", "high_adv_share", "trade_l1", "weighted_adv")
 
 
