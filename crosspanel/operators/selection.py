@@ -81,7 +81,7 @@ def selection_stability(selection: DataFrame, parameters: str = "candidate") ->
 
 def scenarios(base: DataFrame, gammas: Sequence[float] = S.GAMMA_GRID, multipliers: Sequence[float] = S.AUM_MULTIPLIERS,
               gamma: float = S.GAMMA, aum: float = S.AUM) -> DataFrame:
-    """The gamma frontier and the size grid around the base settings, for each row of ``base``."""
+    """The gamma grid and the size grid around the base settings, for each row of ``base``."""
     items = [
         F.struct(F.lit("gamma").alias("axis"), F.lit(float(g)).alias("point"), F.lit(float(g)).alias("gamma"), F.lit(float(aum)).alias("aum"))
         for g in gammas
