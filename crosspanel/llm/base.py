@@ -10,6 +10,9 @@ from crosspanel.plans.base import shared_folder
 from crosspanel.session import ship_package
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def scan(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -26,7 +29,13 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     if folder is None:
         raise ValueError("name a shared folder in spark.checkpoint.dir")
     path = f"{folder}/llm-{uuid.uuid4().hex}/{tag}"
-    df.write.parquet(path)
+    # The shuffle files of a written table serve nothing more.
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     jvm = spark.sparkContext._jvm
     hadoop = jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)

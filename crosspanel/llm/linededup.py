@@ -3,11 +3,12 @@
 A line is the set of its words.  Words are ordered by rarity, counted over all texts.  Two lines of
 similarity t share a word among the first ``n - ceil(t n) + 1`` of the longer and the first
 ``n - ceil(2 t / (1 + t) n) + 1`` of the shorter; the places of that word and the lengths bound the
-overlap, and a 64-bit map of each set bounds the difference.  What passes is verified on the full sets.
+overlap, and 128 parity bits of each set bound the difference.  What passes is verified on the full sets.
 
-Lines with equal sets are one class, at the place of the first.  Each class is first compared with the
-earliest class under each of its words, which settles nearly all of a large group in one comparison per
-member; only classes still without an earlier match are joined with all earlier ones.
+Lines with equal sets are one class, at the place of the first.  Prefix entries are shuffled once by word and
+swept there; a class leaves the sweep of a word with its earliest candidate only, however many there are, so
+nothing grows with the square of a group.  Only a class whose earliest candidates all fail on the full sets,
+and that has more, is joined with all of them.
 """
 
 from __future__ import annotations
@@ -20,16 +21,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from crosspanel.llm import words as W
 from crosspanel.llm.base import written
-from crosspanel.llm.membership import bloom, maybe_in
+from crosspanel.llm.membership import bloom, hits, maybe_in
 
 PERCENT = 80
 #: Lines with fewer distinct words are never compared, and stay.
 MIN_WORDS = 3
 #: The table of word counts: 2 ** 24 hashed counters, one byte each (the logarithm) where it is broadcast.
 COUNTER_BITS, BLOCK_BITS = 24, 14
-LINES = (
-    "row long, doc_id long, line_no int, class long, size int, bitmap long, prefix array<long>"
-)
+LINES = "row long, doc_id long, line_no int, class long, size int, even long, odd long, prefix array<struct<word: long, pos: int>>"
+#: Entries that a sweep holds at least, and classes that an extracting task remembers.
+SWEEP_ROWS = 100_000
+SEEN = 50_000
+FIRST = -(1 << 63)  # stands for a null id, which sorts first
 
 
 def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +103,7 @@ def line_sets(data: np.ndarray, offsets: np.ndarray, codes: np.ndarray | None):
     line = breaks[starts] + row
     number = breaks[starts] - breaks[offsets[row]]
     rare = codes[hashes >> np.uint64(64 - COUNTER_BITS)].astype(np.uint64) if codes is not None else np.uint64(0)
-    order = np.argsort(line.astype(np.uint64) << np.uint64(40) | rare << np.uint64(32) | hashes >> np.uint64(32), kind="stable")
+    order = np.argsort(line.astype(np.uint64) << np.uint64(40) | rare << np.uint64(32) | hashes >> np.uint64(32))
     hashes, line, row, number = hashes[order], line[order], row[order], number[order]
     fresh = np.ones(len(hashes), bool)
     fresh[1:] = (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1])
@@ -120,124 +123,216 @@ def index_length(size, percent: int):
 
 
 def line_batches(batches: Iterator[pa.RecordBatch], codes: np.ndarray, percent: int, least: int) -> Iterator[pa.RecordBatch]:
+    """A row for each line; its prefix too where the task meets the class for the first time, or earlier than before."""
+    seen: dict[int, tuple[int, int]] = {}
     for batch in batches:
-        keys, ids = np.asarray(batch.column("row")), batch.column("doc_id")
+        keys, ids = np.asarray(batch.column("row")), np.asarray(batch.column("doc_id").fill_null(FIRST))
         for at, _, data, offsets in W.text_slices(batch.column("text")):
             hashes, cuts, row, number = line_sets(data, offsets, codes)
             sizes = np.diff(np.append(cuts, len(hashes)))
-            if not len(cuts):
-                continue
-            one = np.add.reduceat(W.mix(hashes + np.uint64(0x77)), cuts)
-            bits = np.bitwise_or.reduceat(np.uint64(1) << (W.mix(hashes + np.uint64(0x99)) >> np.uint64(58)), cuts)
             want = np.flatnonzero(sizes >= least)
-            prefix = probe_length(sizes[want], percent)
-            place = np.arange(int(prefix.sum())) + np.repeat(cuts[want] - (np.cumsum(prefix) - prefix), prefix)
-            lists = pa.ListArray.from_arrays(
-                pa.array(np.concatenate([[0], np.cumsum(prefix)]).astype(np.int32)), pa.array(hashes[place].view(np.int64))
+            if not len(want):
+                continue
+            one = np.add.reduceat(W.mix(hashes + np.uint64(0x77)), cuts)[want].view(np.int64)
+            # Each word flips one of 128 bits: two sets differ in at least as many words as bits.
+            bit = W.mix(hashes + np.uint64(0x99)) >> np.uint64(57)
+            flips = np.uint64(1) << (bit >> np.uint64(1))
+            even, odd = (
+                np.bitwise_xor.reduceat(np.where((bit & np.uint64(1)) == half, flips, np.uint64(0)), cuts)[want].view(np.int64)
+                for half in (np.uint64(0), np.uint64(1))
             )
-            source = at + row[want]
+            doc = ids[at + row[want]]
+            if len(seen) > SEEN:
+                seen.clear()
+            fresh = np.zeros(len(want), bool)
+            for i, (key, place) in enumerate(zip(one.tolist(), zip(doc.tolist(), number[want].tolist()))):
+                before = seen.get(key)
+                if before is None or place < before:
+                    seen[key] = place
+                    fresh[i] = True
+            prefix = probe_length(sizes[want], percent) * fresh
+            pos = np.arange(int(prefix.sum())) - np.repeat(np.cumsum(prefix) - prefix, prefix)
+            place = pos + np.repeat(cuts[want], prefix)
+            # A word that occurs once in all texts has no partner: its place counts, its entry isn't needed.
+            shared = codes[hashes[place] >> np.uint64(64 - COUNTER_BITS)] > 1
+            line_of = np.repeat(np.arange(len(want)), prefix)[shared]
+            ends = np.searchsorted(line_of, np.arange(len(want) + 1)).astype(np.int32)
+            entry = pa.StructArray.from_arrays(
+                [pa.array(hashes[place[shared]].view(np.int64)), pa.array(pos[shared].astype(np.int32))], ["word", "pos"]
+            )
+            lists = pa.ListArray.from_arrays(pa.array(ends), entry)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(keys[source]), ids.take(pa.array(source)), pa.array(number[want].astype(np.int32)),
-                    pa.array(one[want].view(np.int64)), pa.array(sizes[want].astype(np.int32)),
-                    pa.array(bits[want].view(np.int64)), lists,
+                    pa.array(keys[at + row[want]]), pa.array(doc), pa.array(number[want].astype(np.int32)), pa.array(one),
+                    pa.array(sizes[want].astype(np.int32)), pa.array(even), pa.array(odd), lists,
                 ],
-                [f.split()[0] for f in LINES.split(", ")],
+                ["row", "doc_id", "line_no", "class", "size", "even", "odd", "prefix"],
             )
 
 
-def set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(class, words) of the wanted lines of each text."""
+def _candidate(a, b, percent: int) -> np.ndarray:
+    """Prefix, length, position and parity filters on pairs of entries of one word, given as columns."""
+    big, small = np.maximum(a["size"], b["size"]), np.minimum(a["size"], b["size"])
+    total = a["size"] + b["size"]
+    need = -(-percent * total // (100 + percent))
+    longer = a["size"] >= b["size"]
+    pos = np.where(longer, b["pos"], a["pos"])  # of the shorter
+    good = (100 * small >= percent * big) & (pos < index_length(small, percent))
+    good &= np.minimum(a["size"] - a["pos"], b["size"] - b["pos"]) >= need
+    at = np.flatnonzero(good)
+    bits = [np.bitwise_count((a[k][at] ^ b[k][at]).view(np.uint64)).astype(np.int64) for k in ("even", "odd")]
+    good[at] = bits[0] + bits[1] <= total[at] - 2 * need[at]
+    return good
+
+
+def sweep(rows: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(class, its earliest earlier candidate under the word, candidates) of whole words, in any order of rows."""
+    order = np.lexsort((rows["class"], rows["line_no"], rows["doc_id"]))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    order = np.lexsort((place, rows["class"], rows["word"]))
+    r = {k: v[order] for k, v in rows.items()} | {"place": place[order]}
+    first = np.ones(len(order), bool)
+    first[1:] = (r["word"][1:] != r["word"][:-1]) | (r["class"][1:] != r["class"][:-1])
+    r = {k: v[first] for k, v in r.items()}
+    n = len(r["word"])
+    best, count = np.full(n, n + len(order)), np.zeros(n, np.int64)
+    left, lag = np.arange(max(0, n - 1)), 1
+    while len(left):
+        left = left[left + lag < n]
+        left = left[r["word"][left] == r["word"][left + lag]]
+        names = ("size", "pos", "even", "odd")
+        good = left[_candidate({k: r[k][left] for k in names}, {k: r[k][left + lag] for k in names}, percent)]
+        for y, x in ((good, good + lag), (good + lag, good)):
+            earlier = r["place"][x] < r["place"][y]
+            y, x = y[earlier], x[earlier]
+            best[y] = np.minimum(best[y], r["place"][x])
+            count[y] += 1
+        lag += 1
+    found = np.flatnonzero(count)
+    at = np.zeros(len(order), np.int64)
+    at[r["place"]] = r["class"]
+    return r["class"][found], at[best[found]], count[found]
+
+
+def sweep_batches(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """(y, x, n) from entries sorted by word."""
+    names = ("word", "doc_id", "line_no", "class", "size", "pos", "even", "odd")
+    held: list[dict[str, np.ndarray]] = []
+
+    def joined() -> dict[str, np.ndarray]:
+        return {k: np.concatenate([h[k] for h in held]) for k in names}
+
+    def given(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in sweep(rows, percent)], ["y", "x", "n"])
+
     for batch in batches:
-        wanted = batch.column("wanted").to_pylist()
-        classes, sets = [], []
-        for at, _, data, offsets in W.text_slices(batch.column("text")):
-            hashes, cuts, row, number = line_sets(data, offsets, None)
-            ends = np.append(cuts[1:], len(hashes))
-            place = {(int(r), int(n)): i for i, (r, n) in enumerate(zip(row, number))}
-            for r in range(len(offsets) - 1):
-                for item in wanted[at + r]:
-                    i = place[(r, item["line_no"])]
-                    classes.append(item["class"])
-                    sets.append(hashes[cuts[i] : ends[i]].view(np.int64).tolist())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(classes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["class", "words"]
-        )
+        if batch.num_rows:
+            held.append({k: np.asarray(batch.column(k)).astype(np.int64) for k in names})
+        if sum(len(h["word"]) for h in held) >= SWEEP_ROWS:
+            rows = joined()
+            cut = int(np.searchsorted(rows["word"], rows["word"][-1]))
+            if cut:
+                yield given({k: v[:cut] for k, v in rows.items()})
+            held = [{k: v[cut:] for k, v in rows.items()}]
+    if held:
+        yield given(joined())
+
+
+def set_batches(batches: Iterator[pa.RecordBatch], wanted: np.ndarray, least: int) -> Iterator[pa.RecordBatch]:
+    """(class, words) of the lines whose class may be wanted, once for each class a task remembers."""
+    seen: set[int] = set()
+    for batch in batches:
+        for _, _, data, offsets in W.text_slices(batch.column("text")):
+            hashes, cuts, _, _ = line_sets(data, offsets, None)
+            sizes = np.diff(np.append(cuts, len(hashes)))
+            if not len(cuts):
+                continue
+            one = np.add.reduceat(W.mix(hashes + np.uint64(0x77)), cuts).view(np.int64)
+            maybe = np.flatnonzero(hits(wanted, one) & (sizes >= least))
+            if len(seen) > SEEN:
+                seen.clear()
+            own = []
+            for i, key in zip(maybe.tolist(), one[maybe].tolist()):
+                if key not in seen:
+                    seen.add(key)
+                    own.append(i)
+            own = np.array(own, np.int64)
+            ends = np.concatenate([[0], np.cumsum(sizes[own])])
+            flat = np.arange(int(ends[-1])) + np.repeat(cuts[own] - ends[:-1], sizes[own])
+            sets = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(hashes[flat].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(one[own]), sets], ["class", "words"])
 
 
 def _passes(y: dict[str, Column], x: dict[str, Column], percent: int) -> Column:
-    """Length, position and bitmap filters on two entries of one word."""
-    need = F.ceil(percent * (x["size"] + y["size"]) / (100 + percent))
-    left = F.least(x["size"] - x["pos"], y["size"] - y["pos"])
-    differ = F.bit_count(x["bitmap"].bitwiseXOR(y["bitmap"]))
+    """The filters of ``_candidate`` as a join condition, for ``x`` earlier than ``y``."""
+    total = x["size"] + y["size"]
+    need = F.ceil(percent * total / (100 + percent))
+    short_pos = F.when(y["size"] >= x["size"], x["pos"]).otherwise(y["pos"])
+    short = F.least(x["size"], y["size"])
+    earlier = F.struct(x["doc_id"], x["line_no"], x["class"]) < F.struct(y["doc_id"], y["line_no"], y["class"])
     return (
-        (100 * F.least(x["size"], y["size"]) >= percent * F.greatest(x["size"], y["size"]))
-        & (left >= need)
-        & (differ <= x["size"] + y["size"] - 2 * need)
+        earlier
+        & (100 * short >= percent * F.greatest(x["size"], y["size"]))
+        & (short_pos < short - F.ceil(2 * percent * short / (100 + percent)) + 1)
+        & (F.least(x["size"] - x["pos"], y["size"] - y["pos"]) >= need)
+        & (sum(F.bit_count(x[k].bitwiseXOR(y[k])) for k in ("even", "odd")) <= total - 2 * need)
     )
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT, least: int = MIN_WORDS) -> DataFrame:
     """(row, line_no) of every line that has an earlier match; ``docs`` has row, doc_id and text.
 
-    Lines are ordered by doc_id (null first), row and line number.  A line with ``least`` distinct words or more goes
+    Lines are ordered by doc_id (null first), line number and set.  A line with ``least`` distinct words or more goes
     if any earlier line shares ``percent`` of a hundred of the words that either has.
     """
     codes = rarity(docs)
     lines = written(docs.select("row", "doc_id", "text").mapInArrow(
         lambda b: line_batches(b, codes, percent, least), LINES
     ), "lines")
-    place = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), "row", "line_no")
-    same = ["class", "size", "bitmap"]
-    classes = written(
-        lines.groupBy(*same).agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("n"), F.first("prefix").alias("prefix")),
-        "classes",
+    entries = lines.where(F.size("prefix") > 0).select(
+        "doc_id", "line_no", "class", "size", "even", "odd", F.inline("prefix")
     )
-    entries = classes.select(*same, "place", F.posexplode("prefix").alias("pos", "word"))
-
-    def side(name: str, of: DataFrame | None = None) -> DataFrame:
-        return (entries if of is None else of).select("word", F.struct("place", *same, "pos").alias(name))
-
-    def column(name: str) -> dict[str, Column]:
-        return {k: F.col(f"{name}.{k}") for k in ("size", "pos", "bitmap")}
-
-    def pairs(found: DataFrame) -> DataFrame:
-        return written(found.select(F.col("y.class").alias("y"), F.col("x.class").alias("x")).distinct(), "pairs")
+    found = entries.repartition("word").sortWithinPartitions("word").mapInArrow(
+        lambda b: sweep_batches(b, percent), "y long, x long, n long"
+    )
+    pairs = written(found.groupBy("y", "x").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")), "pairs")
+    places = lines.groupBy("class").agg(
+        F.min(F.struct("doc_id", "line_no")).alias("place"), F.count(F.lit(1)).alias("n")
+    )
+    classes = written(places, "classes")
 
-    def verified(found: DataFrame) -> DataFrame:
+    def verified(tried: DataFrame) -> DataFrame:
         """Classes ``y`` of pairs that the full sets confirm."""
-        needed = found.select(F.col("y").alias("class")).union(found.select(F.col("x"))).distinct()
-        at = written(classes.join(needed, "class").groupBy("place.row").agg(
-            F.collect_list(F.struct("place.line_no", "class")).alias("wanted")
-        ), "wanted")
-        near = maybe_in(docs.select("row", "text"), "row", bloom(at, "row"))
-        sets = near.join(at, "row").select("text", "wanted").mapInArrow(
-            set_batches, "class long, words array<long>"
-        ).dropDuplicates(["class"])
-        both = found.join(sets.select(F.col("class").alias("y"), F.col("words").alias("yw")), "y").join(
+        needed = bloom(tried.select(F.col("y").alias("class")).union(tried.select(F.col("x"))), "class")
+        sets = written(docs.select("text").mapInArrow(
+            lambda b: set_batches(b, needed, least), "class long, words array<long>"
+        ).dropDuplicates(["class"]), "sets")
+        both = tried.join(sets.select(F.col("class").alias("y"), F.col("words").alias("yw")), "y").join(
             sets.select(F.col("class").alias("x"), F.col("words").alias("xw")), "x"
         )
         shared = F.size(F.array_intersect("yw", "xw"))
         return both.where(100 * shared >= percent * (F.size("yw") + F.size("xw") - shared)).select("y").distinct()
 
-    first = side("x").groupBy("word").agg(F.min("x").alias("x"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    y, x = column("y"), column("x")
-    direct = pairs(side("y").join(first, "word").where((F.col("y.class") != F.col("x.class")) & _passes(y, x, percent)))
-    settled = written(verified(direct), "settled")
-    open_ = side("y", entries.join(settled.withColumnRenamed("y", "class"), "class", "left_anti"))
-    long_y = y["size"] >= x["size"]
-    # The shorter line's word must be in its shorter prefix.
-    short_pos, short_size = F.when(long_y, x["pos"]).otherwise(y["pos"]), F.when(long_y, x["size"]).otherwise(y["size"])
-    inside = short_pos < short_size - F.ceil(2 * percent * short_size / (100 + percent)) + 1
-    rest = pairs(open_.join(side("x"), "word").where(
-        (F.col("x.place") < F.col("y.place")) & inside & _passes(y, x, percent)
-    ))
-    rest = written(rest.join(direct, ["y", "x"], "left_anti"), "rest")
-    matched = settled.union(verified(rest)).select(F.col("y").alias("class")).withColumn("matched", F.lit(True))
-    gone = classes.join(matched, "class", "left").where("n > 1 OR matched").select(*same, "place", "matched")
-    return lines.join(gone, same).where(
-        F.coalesce("matched", F.lit(False)) | (F.col("row") != F.col("place.row")) | (F.col("line_no") != F.col("place.line_no"))
-    ).select("row", "line_no")
+    matched = written(verified(pairs), "matched")
+    more = pairs.groupBy("y").agg(F.sum(F.col("n") - F.col("words")).alias("more")).where("more > 0")
+    open_ = written(more.join(matched, "y", "left_anti").select(F.col("y").alias("class")), "open")
+    if open_.head(1):
+        names = ("doc_id", "line_no", "class", "size", "pos", "even", "odd")
+        # Tasks give a class's entries at the place where each met it; its own place is the first.
+        one = entries.join(open_, "class", "left_semi").groupBy("word", "class", "size", "pos", "even", "odd")
+        ys = one.agg(F.min(F.struct("doc_id", "line_no")).alias("p")).select("*", "p.*").drop("p")
+        ys = written(ys, "entries")
+        xs = maybe_in(entries, "word", bloom(ys, "word"))
+        sides = [e.select("word", F.struct(*names).alias(side)) for e, side in ((ys, "y"), (xs, "x"))]
+        y, x = ({k: F.col(f"{side}.{k}") for k in names} for side in "yx")
+        rest = sides[0].join(sides[1], "word").where(_passes(y, x, percent))
+        rest = rest.select(F.col("y.class").alias("y"), F.col("x.class").alias("x")).distinct()
+        matched = matched.union(verified(written(rest.join(pairs, ["y", "x"], "left_anti"), "rest"))).distinct()
+    flags = matched.select(F.col("y").alias("class")).withColumn("matched", F.lit(True))
+    gone = classes.join(flags, "class", "left").where("n > 1 OR matched").select("class", "place", "matched")
+    later = (F.col("doc_id") != F.col("place.doc_id")) | (F.col("line_no") != F.col("place.line_no"))
+    return lines.drop("prefix").join(gone, "class").where(F.coalesce("matched", F.lit(False)) | later).select("row", "line_no")
 
 
 def dedup_lines(docs: DataFrame, percent: int = PERCENT, least: int = MIN_WORDS) -> DataFrame:

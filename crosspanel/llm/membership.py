@@ -61,16 +61,18 @@ def bloom(ids: DataFrame, column: str) -> np.ndarray:
     return table
 
 
+def hits(table: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Whether each id may be in the filter."""
+    places = _places(ids, int(math.log2(len(table) * 8)))
+    return ((table[places >> 3] >> (7 - (places & 7)).astype(np.uint8)) & 1).all(axis=0).astype(bool)
+
+
 def maybe_in(df: DataFrame, column: str, table: np.ndarray) -> DataFrame:
     """The rows of ``df`` whose ``column`` may be among the ids; nulls are not."""
-    bits = int(math.log2(len(table) * 8))
-
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(column)
-            places = _places(np.asarray(ids.fill_null(0)), bits)
-            hit = ((table[places >> 3] >> (7 - (places & 7)).astype(np.uint8)) & 1).all(axis=0)
-            hit &= np.asarray(ids.is_valid())
-            yield batch.filter(pa.array(hit.astype(bool)))
+            hit = hits(table, np.asarray(ids.fill_null(0))) & np.asarray(ids.is_valid())
+            yield batch.filter(pa.array(hit))
 
     return df.mapInArrow(passed, df.schema)
