@@ -24,7 +24,7 @@ from crosspanel.llm.base import written
 from crosspanel.llm.membership import bloom, hits, maybe_in
 
 PERCENT = 80
-#: Lines with fewer distinct words are never compared, and stay.
+#: Lines with fewer distinct words are never compared, and stay; the SQL of op7 sets this bound.  One compares all.
 MIN_WORDS = 3
 #: The table of word counts: 2 ** 24 hashed counters, one byte each (the logarithm) where it is broadcast.
 COUNTER_BITS, BLOCK_BITS = 24, 14
@@ -122,6 +122,11 @@ def index_length(size, percent: int):
     return size + (-2 * percent * size // (100 + percent)) + 1
 
 
+def partnered(size, percent: int):
+    """Whether a set of this size can match another than its equal: one word more is the nearest."""
+    return 100 * size >= percent * (size + 1)
+
+
 def line_batches(batches: Iterator[pa.RecordBatch], codes: np.ndarray, percent: int, least: int) -> Iterator[pa.RecordBatch]:
     """A row for each line; its prefix too where the task meets the class for the first time, or earlier than before."""
     seen: dict[int, tuple[int, int]] = {}
@@ -150,7 +155,8 @@ def line_batches(batches: Iterator[pa.RecordBatch], codes: np.ndarray, percent:
                 if before is None or place < before:
                     seen[key] = place
                     fresh[i] = True
-            prefix = probe_length(sizes[want], percent) * fresh
+            # A smaller set matches its equals only, which are its class: it needs no entry.
+            prefix = probe_length(sizes[want], percent) * (fresh & partnered(sizes[want], percent))
             pos = np.arange(int(prefix.sum())) - np.repeat(np.cumsum(prefix) - prefix, prefix)
             place = pos + np.repeat(cuts[want], prefix)
             # A word that occurs once in all texts has no partner: its place counts, its entry isn't needed.

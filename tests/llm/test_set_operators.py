@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,6 +199,26 @@ def test_lines(spark):
     assert linededup.dedup_lines(documents(spark, [])).count() == 0
 
 
+def test_short_lines(spark):
+    rng = random.Random(16)
+    vocabulary = [f"v{i}" for i in range(9)]
+    texts = ["今日は天気がいいですね。\nmenu", "Menu\nmenu menu\n今日は天気がいいですね。", "a a a b\nb A", " \n\t\n", "x\n\nx"]
+    texts += ["\n".join(" ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 7))) for _ in range(5)) for _ in range(150)]
+    got = linededup.dedup_lines(documents(spark, texts), least=1).collect()
+    assert {r.doc.doc_id: r.text for r in got} == dict(enumerate(brute_lines(texts, 80, 1)))
+
+
+def test_short_sets_need_no_entry():
+    for percent in (50, 80, 95):
+        for n in range(1, 40):
+            others = [(n, m, c) for m in range(1, 99) for c in range(min(n, m) + 1) if (n, m, c) != (n, n, n)]
+            assert linededup.partnered(n, percent) == any(100 * c >= percent * (n + m - c) for n, m, c in others)
+    texts = pa.record_batch({"row": [1], "doc_id": [1], "text": ["a b c\na b\na\na b c d\na"]})
+    codes = np.full(1 << linededup.COUNTER_BITS, 9, np.uint8)
+    (lines,) = linededup.line_batches([texts], codes, 80, 1)
+    assert [len(p) for p in lines.column("prefix").to_pylist()] == [0, 0, 0, 1, 0]
+
+
 def test_prefix_lengths():
     for n in range(1, 200):
         assert linededup.probe_length(n, 80) == n - -(-80 * n // 100) + 1
