@@ -7,8 +7,10 @@ overlap, and 128 parity bits of each set bound the difference.  What passes is v
 
 Lines with equal sets are one class, at the place of the first.  Prefix entries are shuffled once by word and
 swept there; a class leaves the sweep of a word with its earliest candidate only, however many there are, so
-nothing grows with the square of a group.  Only a class whose earliest candidates all fail on the full sets,
-and that has more, is joined with all of them.
+no rows grow with the square of a group.  A sweep holds all entries of a word in one task; each is compared with
+those before it until it has two candidates, so lines that all match their first one cost two comparisons each,
+and lines of one word that don't match one another cost the square.  Only a class whose earliest candidates all
+fail on the full sets, and that has more, is joined with all of them.
 """
 
 from __future__ import annotations
@@ -192,33 +194,31 @@ def _candidate(a, b, percent: int) -> np.ndarray:
 
 
 def sweep(rows: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(class, its earliest earlier candidate under the word, candidates) of whole words, in any order of rows."""
+    """(class, its earliest earlier candidate under the word, 1 or 2 for more) of whole words, in any order of rows."""
     order = np.lexsort((rows["class"], rows["line_no"], rows["doc_id"]))
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
     order = np.lexsort((place, rows["class"], rows["word"]))
-    r = {k: v[order] for k, v in rows.items()} | {"place": place[order]}
     first = np.ones(len(order), bool)
-    first[1:] = (r["word"][1:] != r["word"][:-1]) | (r["class"][1:] != r["class"][:-1])
-    r = {k: v[first] for k, v in r.items()}
-    n = len(r["word"])
-    best, count = np.full(n, n + len(order)), np.zeros(n, np.int64)
-    left, lag = np.arange(max(0, n - 1)), 1
-    while len(left):
-        left = left[left + lag < n]
-        left = left[r["word"][left] == r["word"][left + lag]]
-        names = ("size", "pos", "even", "odd")
-        good = left[_candidate({k: r[k][left] for k in names}, {k: r[k][left + lag] for k in names}, percent)]
-        for y, x in ((good, good + lag), (good + lag, good)):
-            earlier = r["place"][x] < r["place"][y]
-            y, x = y[earlier], x[earlier]
-            best[y] = np.minimum(best[y], r["place"][x])
-            count[y] += 1
-        lag += 1
+    first[1:] = (rows["word"][order[1:]] != rows["word"][order[:-1]]) | (rows["class"][order[1:]] != rows["class"][order[:-1]])
+    order = order[first]
+    order = order[np.lexsort((place[order], rows["word"][order]))]
+    r = {k: v[order] for k, v in rows.items()}
+    n = len(order)
+    start = np.maximum.accumulate(np.where(np.r_[True, r["word"][1:] != r["word"][:-1]], np.arange(n), 0)) if n else np.arange(0)
+    best, count = np.full(n, -1), np.zeros(n, np.int64)
+    names = ("size", "pos", "even", "odd")
+    # Every entry meets those before it, the earliest first, until it has two candidates.
+    left, k = np.arange(n), 0
+    while len(left := left[(start[left] + k < left) & (count[left] < 2)]):
+        x = start[left] + k
+        good = _candidate({c: r[c][x] for c in names}, {c: r[c][left] for c in names}, percent)
+        found, x = left[good], x[good]
+        best[found] = np.where(count[found], best[found], x)
+        count[found] += 1
+        k += 1
     found = np.flatnonzero(count)
-    at = np.zeros(len(order), np.int64)
-    at[r["place"]] = r["class"]
-    return r["class"][found], at[best[found]], count[found]
+    return r["class"][found], r["class"][best[found]], count[found]
 
 
 def sweep_batches(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:

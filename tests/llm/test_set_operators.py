@@ -219,6 +219,42 @@ def test_short_sets_need_no_entry():
     assert [len(p) for p in lines.column("prefix").to_pylist()] == [0, 0, 0, 1, 0]
 
 
+def test_sweep_of_a_template(monkeypatch):
+    """Lines of one template all match the first: their comparisons grow with their number, not its square."""
+    calls, real = [], linededup._candidate
+    monkeypatch.setattr(linededup, "_candidate", lambda a, b, p: calls.append(len(a["size"])) or real(a, b, p))
+    n = 2000
+    ids = np.arange(n)
+    rows = {"word": ids * 0 + 7, "doc_id": ids[::-1].copy(), "line_no": ids * 0, "class": ids, "size": ids * 0 + 20,
+            "pos": ids * 0, "even": np.where(ids % 3, 0, 3), "odd": ids * 0}
+    y, x, count = linededup.sweep(rows, 80)
+    assert sorted(y) == list(range(n - 1)) and set(x) == {n - 1} and sum(calls) < 4 * n
+    assert dict(zip(y, count))[n - 2] == 1 and set(count) == {1, 2}
+
+
+def test_sweep_finds_the_earliest():
+    rng = np.random.default_rng(3)
+    names = ("word", "doc_id", "line_no", "class", "size", "pos", "even", "odd")
+    for n in (0, 1, 300):
+        rows = dict(zip(names, (rng.integers(0, most, n) for most in (4, 50, 3, 90, 9, 3, 4, 2))))
+        kind = rows["class"]
+        rows |= {"size": 5 + kind % 4, "even": kind % 7, "odd": kind % 3}
+        got = {}
+        for y, x, c in zip(*linededup.sweep(rows, 80)):
+            got.setdefault(int(y), []).append((int(x), int(c)))
+        first = {}
+        for i in sorted(range(n), key=lambda i: (rows["doc_id"][i], rows["line_no"][i], kind[i])):
+            first.setdefault((int(rows["word"][i]), int(kind[i])), i)
+        before, want = defaultdict(list), defaultdict(list)
+        for (word, key), i in first.items():
+            at = lambda j: {k: rows[k][j : j + 1] for k in names[4:]}
+            found = [b for b, j in before[word] if linededup._candidate(at(j), at(i), 80)[0]]
+            if found:
+                want[key].append((found[0], min(2, len(found))))
+            before[word].append((key, i))
+        assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()} and (n < 300 or want)
+
+
 def test_prefix_lengths():
     for n in range(1, 200):
         assert linededup.probe_length(n, 80) == n - -(-80 * n // 100) + 1
