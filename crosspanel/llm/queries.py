@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from crosspanel.llm import decontaminate, fixity, langid, linededup, neardup, packing, quality, sharding, toxicity, vafile
+from crosspanel.llm import (
+    centroids, decontaminate, fixity, langid, linededup, neardup, packing, pieces, quality, sharding, toxicity, vafile, whitening,
+)
 from crosspanel.llm.base import crc_fold, scan, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -232,3 +234,71 @@ def op10_exact_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
         "row.doc_id", "row.size", "row.text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+def piece_model_path() -> str:
+    """The merge-type model of the encoding contract, from the installed package of public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query
+def op11_backtracking_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, path = scan(spark, sf_dir, "documents").select("doc_id", "text"), piece_model_path()
+    encoded = pieces.encode_texts(docs.select(F.struct("doc_id").alias("key"), "text"), path)
+    ids = F.col("row.ids")
+    return pieces.decode_ids(encoded.select("doc.key.doc_id", "ids"), path).select(
+        "row.doc_id",
+        F.size(ids).cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(ids.cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op12_exact_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(scan(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_ptolemaic_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(scan(spark, sf_dir, "embeddings"))
+
+
+def lloyd_sql(rounds: int = 10, clusters: int = 8) -> str:
+    """Plain Lloyd rounds, unrolled: nearest centroid over all pairs, floored means, empty centroids kept."""
+    square = "list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    parts = [
+        """v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)""",
+        f"""c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS INTEGER) AS c, x FROM v
+  ORDER BY c LIMIT {clusters}
+)""",
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"""a{r} AS MATERIALIZED (
+  SELECT vec_id, x, best.c AS c, best.d AS d FROM (
+    SELECT v.vec_id, any_value(v.x) AS x, min({{'d': CAST({square} AS BIGINT), 'c': c.c}}) AS best
+    FROM v CROSS JOIN c{r} AS c GROUP BY v.vec_id)
+)""")
+        if r < rounds:
+            parts.append(f"""c{r + 1} AS MATERIALIZED (
+  SELECT old.c, coalesce(new.x, old.x) AS x FROM c{r} AS old LEFT JOIN (
+    SELECT c, list(((s - ((s % n + n) % n)) // n) ORDER BY i) AS x FROM (
+      SELECT c, i, CAST(sum(e) AS BIGINT) AS s, count(*) AS n
+      FROM (SELECT c, unnest(x) AS e, unnest(range(64)) AS i FROM a{r}) GROUP BY c, i)
+    GROUP BY c) AS new USING (c)
+)""")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, c AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(cc.x, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} AS cc USING (c)
+"""
+
+
+SQL["op13_ptolemaic_clusters"] = lloyd_sql()
