@@ -28,6 +28,8 @@ PIVOTS = 4
 ROUNDING = 1e-12
 #: Entries up to this size have squared distances that fit a long at 64 entries.
 PEAK = 2.0**27
+#: Components of this size or more have no place: their summed squares would not fit the limbs of a sum.
+LARGEST = 2.0**90
 SLICE = 4096
 
 
@@ -117,7 +119,10 @@ class Pruner:
 def usable(vectors: DataFrame, dims: int) -> DataFrame:
     """(vec_id, vector) with whole numbers as doubles, which hold them exactly."""
     x = F.transform(F.col("embedding").cast("array<double>"), lambda c: c * float(SCALE))
-    rows = vectors.select("vec_id", x.alias("vector")).where(exact.finite(F.col("vector")) & (F.size("vector") == dims))
+    fits = F.forall("vector", lambda c: F.abs(c) < SCALE * LARGEST)
+    rows = vectors.select("vec_id", x.alias("vector")).where(
+        exact.finite(F.col("vector")) & (F.size("vector") == dims) & fits
+    )
     # Not F.floor: its result is a long, which not every double fits.
     return rows.mapInArrow(_floored, rows.schema)
 
@@ -188,8 +193,7 @@ def cluster(vectors: DataFrame, clusters: int = 8, rounds: int = 10, dims: int =
     """(vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256), one row per usable vector.
 
     ``vectors`` has vec_id and embedding; more columns are ignored.  Vectors that are null, of another length,
-    or hold a null or non-finite component (or one of 2^1014 or more, whose whole number is no double), take
-    no part.  Null ids and repeated rows stay, a row each; a null id starts a centroid only where other ids
+    or hold a null or non-finite component or one of 2^90 or more, take no part.  Null ids and repeated rows stay, a row each; a null id starts a centroid only where other ids
     are too few.  Fewer vectors than ``clusters`` give as many centroids.  A distance or inertia that doesn't
     fit a long is null; it still counts in full.  An empty table gives no rows.
     """

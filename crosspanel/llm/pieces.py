@@ -6,8 +6,8 @@ same two.  So a text is encoded from left to right: an Aho-Corasick pass gives t
 place, a piece is taken when it is compatible with the one before it, else the next shorter one is tried,
 and when none fits the last piece is given back and its end marked in a bitfield as failed, for good.
 
-A character without a piece takes part as itself and becomes its UTF-8 bytes' pieces.  No piece holds a
-space mark after another character, so the procedure runs on each word; a worker keeps words it has met.
+A character without a piece takes part as itself and becomes its UTF-8 bytes' pieces.  The procedure runs on
+each word, cut where no piece of the model reaches across; a worker keeps words it has met.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from functools import cache
 from itertools import chain
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -31,6 +32,22 @@ KEPT_WORDS, KEPT_LENGTH, KEPT_PAIRS = 400_000, 48, 1_000_000
 SLICE = 256
 
 
+class Kept(dict):
+    """Words and their ids; a word that isn't there is encoded, and kept if it is short."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        ids = self.encode(word)
+        if len(word) <= KEPT_LENGTH:
+            if len(self) >= KEPT_WORDS:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class PieceCoder:
     """Encoder and decoder of one merge-type model with byte fallback and no user-defined pieces."""
 
@@ -52,18 +69,37 @@ class PieceCoder:
         for k, piece in enumerate(self.names):
             self.automaton.add_word(piece, k)
         self.automaton.make_automaton()
-        #: The longest piece that a piece properly begins with; -1: none, None: not looked up yet.
-        self.shorter: list[int | None] = [None] * len(plain)
-        joined = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.names)
-        # Characters that are in no piece never merge: they are cut off, too.
-        alone = "".join(c for c in "\n\r\t" if not any(c in p for p in self.names))
-        cut = f"[{re.escape(alone)}]|" if alone else ""
-        inside = f"[^{SPACE}{re.escape(alone)}]"
-        self.words = re.compile(r"[\s\S]+" if joined else f"{cut}{SPACE}*{inside}+|{SPACE}+").findall
+        #: The longest piece that a piece properly begins with; -1: none.
+        self.shorter = [-1] * len(plain)
+        for k, piece in enumerate(self.names[: len(plain)]):
+            if len(piece) > 1:
+                starts = (self.places.get(piece[:n]) for n in range(len(piece) - 1, 0, -1))
+                self.shorter[k] = next((q for q in starts if q is not None), -1)
+                if self.shorter[k] < 0:
+                    self.shorter[k] = self.character(piece[0])
+        self.words = self._splitter()
         self.forget()
 
+    def _splitter(self):
+        """Cuts a normalised text only where no piece reaches across, so that its parts are encoded on their own.
+
+        That is before a space mark, at line breaks and tabs that no piece holds, and between letters and
+        others, as far as the pieces at hand bear each rule out.
+        """
+        if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.names):
+            return re.compile(r"[\s\S]+").findall
+        alone = "".join(c for c in "\n\r\t" if not any(c in p for p in self.names))
+        marks = SPACE + re.escape(alone)
+        figures = "".join({c for p in self.names for c in p if re.match(r"[^\W\d_]", c) and not c.isalpha()})
+        letter, other = f"[^\\W\\d_{marks}{figures}]", f"[\\W\\d_{figures}]"
+        other = f"(?:(?![{marks}]){other})"
+        parts = f"{SPACE}*(?:{letter}+|{other}+)|{SPACE}+"
+        if any(re.search(f"{letter}{other}|{other}{letter}", p) for p in self.names):
+            parts = f"{SPACE}*[^{marks}]+|{SPACE}+"
+        return re.compile((f"[{re.escape(alone)}]|" if alone else "") + parts).findall
+
     def forget(self) -> None:
-        self.kept: dict[str, tuple[int, ...]] = {}
+        self.kept = Kept(self.word_ids)
         self.pairs: dict[int, bool] = {}
 
     def merge(self, text: str) -> list[str]:
@@ -80,81 +116,68 @@ class PieceCoder:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def name(self, piece: int) -> str:
-        """A piece's text.  Numbers past the pieces stand for characters that have none."""
-        return self.names[piece] if piece < len(self.names) else chr(piece - len(self.names))
+    def character(self, text: str) -> int:
+        """The place in ``names`` of a character that has no piece; it is listed there when first met."""
+        found = self.places.get(text)
+        if found is None:
+            found = self.places[text] = len(self.names)
+            self.names.append(text)
+            self.sizes.append(1)
+            self.shorter.append(-1)
+        return found
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether re-merging the two gives them back.  Left of -1: whether the right one merges to itself."""
-        ends = [self.name(p) for p in (left, right) if p >= 0]
+        ends = [self.names[p] for p in (left, right) if p >= 0]
         return self.merge("".join(ends)) == ends
 
-    def next_shorter(self, piece: int) -> int:
-        """The longest piece that ``piece`` properly begins with, or its first character; -1 if there is none."""
-        if piece >= len(self.names):
-            return -1
-        found = self.shorter[piece]
-        if found is None:
-            text = self.names[piece]
-            starts = [k for n in range(len(text) - 1, 0, -1) if (k := self.places.get(text[:n])) is not None]
-            if not starts and len(text) > 1:
-                starts = [len(self.names) + ord(text[0])]
-            found = self.shorter[piece] = starts[0] if starts else -1
-        return found
-
     def pieces(self, text: str) -> list[int]:
         """The pieces of a normalised text, as places in ``names``, by backtracking."""
-        size, sizes, many, pairs = len(text), self.sizes, len(self.names), self.pairs
+        size, sizes, pairs, shorter = len(text), self.sizes, self.pairs, self.shorter
         longest = [-1] * size
         for end, piece in self.automaton.iter(text):
             # Ends rise, so the last match that starts at a place is its longest.
             longest[end - sizes[piece] + 1] = piece
         failed = bytearray(size // 8 + 1)
         taken: list[int] = []
-        at, last, piece = 0, -1, -1
+        at, last = 0, -1
         while at < size:
+            piece = longest[at]
             if piece < 0:
-                piece = longest[at]
+                piece = self.character(text[at])
+            while True:
+                end = at + sizes[piece]
+                if not failed[end >> 3] >> (end & 7) & 1:
+                    key = (last + 1) << 21 | piece
+                    fits = pairs.get(key)
+                    if fits is None:
+                        if len(pairs) >= KEPT_PAIRS:
+                            pairs.clear()
+                        fits = pairs[key] = self.compatible(last, piece)
+                    if fits:
+                        taken.append(piece)
+                        at, last = end, piece
+                        break
+                piece = shorter[piece]
                 if piece < 0:
-                    piece = many + ord(text[at])
-            end = at + (sizes[piece] if piece < many else 1)
-            if not failed[end >> 3] >> (end & 7) & 1:
-                key = (last + 1) << 21 | piece
-                fits = pairs.get(key)
-                if fits is None:
-                    if len(pairs) >= KEPT_PAIRS:
-                        pairs.clear()
-                    fits = pairs[key] = self.compatible(last, piece)
-                if fits:
-                    taken.append(piece)
-                    at, last, piece = end, piece, -1
-                    continue
-            piece = self.next_shorter(piece)
-            if piece < 0:
-                failed[at >> 3] |= 1 << (at & 7)
-                piece = taken.pop()
-                at -= sizes[piece] if piece < many else 1
-                last = taken[-1] if taken else -1
+                    # Nothing fits here: the last piece is given back, and a shorter one is tried in its place.
+                    failed[at >> 3] |= 1 << (at & 7)
+                    piece = taken.pop()
+                    at -= sizes[piece]
+                    last = taken[-1] if taken else -1
         return taken
 
     def word_ids(self, word: str) -> tuple[int, ...]:
-        found = self.kept.get(word)
-        if found is None:
-            out: list[int] = []
-            for piece in self.pieces(word):
-                if piece < len(self.plain):
-                    out.append(self.plain[piece])
-                else:
-                    out.extend(self.bytes[b] for b in self.name(piece).encode())
-            found = tuple(out)
-            if len(word) <= KEPT_LENGTH:
-                if len(self.kept) >= KEPT_WORDS:
-                    self.kept.clear()
-                self.kept[word] = found
-        return found
+        out: list[int] = []
+        for piece in self.pieces(word):
+            if piece < len(self.plain):
+                out.append(self.plain[piece])
+            else:
+                out.extend(self.bytes[b] for b in self.names[piece].encode())
+        return tuple(out)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        look = self.word_ids
+        look = self.kept.__getitem__
         return [list(chain.from_iterable(map(look, self.words(t)))) for t in self.model.normalize(texts)] if texts else []
 
     def decode(self, ids: list[list[int]]) -> list[str]:
@@ -166,16 +189,22 @@ def coder(path: str) -> PieceCoder:
     return PieceCoder(path)
 
 
-def _sliced(batches: Iterator[pa.RecordBatch], column: str, convert, name: str, kind: pa.DataType):
-    """Each batch with ``column`` replaced by ``name``, converted a slice at a time."""
+def _sliced(batches: Iterator[pa.RecordBatch], column: str, convert) -> Iterator[pa.RecordBatch]:
+    """Each batch with ``column`` replaced by what ``convert`` makes of it (name, array), a slice at a time."""
     for whole in batches:
         for start in range(0, whole.num_rows, SLICE):
             batch = whole.slice(start, SLICE)
             rest = [n for n in batch.schema.names if n != column]
-            values = pa.array(convert(batch.column(column).to_pylist()), kind)
+            name, values = convert(batch.column(column))
             yield pa.RecordBatch.from_arrays([*map(batch.column, rest), values], [*rest, name])
 
 
+def _lists(column: pa.ListArray) -> list[list[int]]:
+    at = np.asarray(column.offsets).tolist()
+    flat = column.values.to_numpy(zero_copy_only=False)
+    return [flat[i:j].tolist() for i, j in zip(at, at[1:])]
+
+
 def encode_texts(docs: DataFrame, path: str) -> DataFrame:
     """(doc, ids): every row of ``docs`` as a struct, and the ids of its whole column ``text``.
 
@@ -187,7 +216,10 @@ def encode_texts(docs: DataFrame, path: str) -> DataFrame:
     schema = T.StructType([rows.schema["doc"], T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches):
-        return _sliced(batches, "text", coder(path).encode, "ids", pa.list_(pa.int32()))
+        def convert(texts: pa.Array):
+            return "ids", pa.array(coder(path).encode(texts.to_pylist()), pa.list_(pa.int32()))
+
+        return _sliced(batches, "text", convert)
 
     return rows.mapInArrow(run, schema)
 
@@ -201,6 +233,6 @@ def decode_ids(rows: DataFrame, path: str) -> DataFrame:
     schema = T.StructType([kept.schema["row"], T.StructField("text", T.StringType())])
 
     def run(batches):
-        return _sliced(batches, "ids", coder(path).decode, "text", pa.string())
+        return _sliced(batches, "ids", lambda ids: ("text", pa.array(coder(path).decode(_lists(ids)), pa.string())))
 
     return kept.mapInArrow(run, schema)
