@@ -193,9 +193,10 @@ def cluster(vectors: DataFrame, clusters: int = 8, rounds: int = 10, dims: int =
     """(vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256), one row per usable vector.
 
     ``vectors`` has vec_id and embedding; more columns are ignored.  Vectors that are null, of another length,
-    or hold a null or non-finite component or one of 2^90 or more, take no part.  Null ids and repeated rows stay, a row each; a null id starts a centroid only where other ids
-    are too few.  Fewer vectors than ``clusters`` give as many centroids.  A distance or inertia that doesn't
-    fit a long is null; it still counts in full.  An empty table gives no rows.
+    or hold a null or non-finite component or one of 2^90 or more, take no part.  Null ids and repeated rows
+    stay, a row each; a null id starts a centroid only where other ids are too few.  Fewer vectors than
+    ``clusters`` give as many centroids.  A distance or inertia that doesn't fit a long is null; it still
+    counts in full.  An empty table gives no rows.
     """
     schema = (
         "vec_id {}, cluster int, distance long, cluster_inertia long, inertia long, centroid_sha256 string"
