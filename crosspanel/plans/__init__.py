@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("scans", "ranking", "portfolio", "models", "signals", "comparisons", "riskplans", "policies", "checks")
+AREAS = ("scans", "ranking", "portfolio", "models", "signals", "comparisons", "riskplans", "policies", "factored", "checks")
 
 
 def load():
