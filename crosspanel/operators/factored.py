@@ -19,12 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from crosspanel import settings as S
-from crosspanel.operators import ranks
-from crosspanel.operators.ledger import grow
+from crosspanel.operators import paths
 
-#: Names that are worked on at a time inside a task.
-BLOCK = 256
-PATH_FIELDS = ("mu", "lambda_adv", "idio_variance", "factor_total_variance", "lift")
+NUMBERS = ("mu", "lambda_adv", "idio_variance", "factor_total_variance")
 
 
 @dataclass(frozen=True)
@@ -48,93 +45,38 @@ class FactorPath:
     history: list[float] = field(default_factory=list)
 
 
-def entity_paths(rows: DataFrame, stats: DataFrame, mu: str = "mu") -> DataFrame:
-    """(entity, path): one row per name with its months in order.
+def entity_paths(rows: DataFrame, stats: DataFrame) -> DataFrame:
+    """One row per name with its months in order.
 
     ``rows`` has eom, entity, mu, lambda_adv, loadings, idio_variance, factor_total_variance and
     ret_exc_lead1m.  A row without a number in one of them, or without a positive impact, holds no position.
-    A name has one row per month at most, so a path is calendar-bounded.
     """
-    timed = ranks.attach(rows.withColumn("mu", F.col(mu)), stats.select("eom", "t", "growth"), ["eom"], "inner")
-    timed = timed.withColumn("lift", grow(F.lit(1.0), F.col("ret_exc_lead1m"), F.col("growth")))
-    numbers = [F.col(c).isNotNull() & ~F.isnan(c) for c in PATH_FIELDS]
-    known = F.forall("loadings", lambda v: v.isNotNull() & ~F.isnan(v)) & (F.col("lambda_adv") > 0)
-    for n in numbers:
-        known = known & n
-    item = F.struct(F.col("t").cast("int").alias("t"), *PATH_FIELDS, "loadings")
-    return timed.where(known).groupBy("entity").agg(F.array_sort(F.collect_list(item)).alias("path"))
-
-
-class Block:
-    """Dense arrays (name, month) of some names, from their paths."""
-
-    def __init__(self, batch: pa.RecordBatch, months: int, factors: int):
-        column = batch.column("path")
-        counts = np.diff(np.asarray(column.offsets))
-        items = column.flatten()
-        t = np.asarray(items.field("t")) - 1
-        at = (np.repeat(np.arange(len(counts)), counts), t)
-        shape = (len(counts), months)
-        self.held = np.zeros(shape, bool)
-        if len(set(zip(*map(np.ndarray.tolist, at)))) < len(t):
-            raise ValueError("a name has two rows of one month")
-        self.held[at] = True
-        self.columns = {}
-        for name in PATH_FIELDS:
-            dense = np.zeros(shape)
-            dense[at] = np.asarray(items.field(name))
-            self.columns[name] = dense
-        self.loadings = np.zeros((*shape, factors))
-        if factors:
-            self.loadings[at] = np.asarray(items.field("loadings").flatten()).reshape(-1, factors)
-
-    def scan(self, candidate: Candidate, path: np.ndarray | None, gamma: float, aum: float, ridge: float, lags: int = 0):
-        """Per month: weight, inherited, B/d (names, factors), rhs sums, and sensitivities to earlier vectors."""
-        c = self.columns
-        pull = aum * candidate.cost * c["lambda_adv"]
-        own = c["idio_variance"] + candidate.shrinkage * c["factor_total_variance"] + ridge
-        d = np.where(self.held, gamma * own + pull, 1.0)
-        inherited = np.zeros(len(self.held))
-        behind: list[np.ndarray] = []
-        for t in range(self.held.shape[1]):
-            here = self.held[:, t]
-            tilt = self.loadings[:, t] / d[:, t, None]
-            rhs = np.where(here, candidate.scale * c["mu"][:, t] + pull[:, t] * inherited, 0.0)
-            weight = rhs / d[:, t]
-            if path is not None:
-                weight = weight - tilt @ path[t]
-            yield t, here, weight, inherited, tilt, rhs, pull[:, t], behind
-            lift = c["lift"][:, t]
-            stays = here & self.held[:, t + 1] if t + 1 < self.held.shape[1] else here & False
-            keep = np.where(stays, lift, 0.0)
-            share = np.where(here, pull[:, t] / d[:, t], 0.0) * keep
-            behind = [-tilt * keep[:, None], *[share[:, None] * b for b in behind]][:lags]
-            inherited = weight * keep
-
-
-def _blocks(batches: Iterator[pa.RecordBatch], months: int, factors: int):
-    for whole in batches:
-        for start in range(0, whole.num_rows, BLOCK):
-            batch = whole.slice(start, BLOCK)
-            yield batch, Block(batch, months, factors)
-
-
-def _summed(paths: DataFrame, partial, shape: tuple[int, ...]) -> np.ndarray:
-    """The element-wise sum over all tasks of an array of ``shape`` (calendar x grid, not rows)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = partial(batches)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total.ravel()[at])], ["at", "v"])
-
-    out = np.zeros(int(np.prod(shape)))
-    for r in paths.mapInArrow(run, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():
-        out[r.at] = r.v
-    return out.reshape(shape)
+    return paths.entity_paths(rows, stats, NUMBERS, "loadings")
+
+
+def scan(block: paths.Block, candidate: Candidate, path: np.ndarray | None, gamma: float, aum: float, ridge: float, lags: int = 0):
+    """Per month: weight, inherited, B/d (names, factors), rhs sums, and sensitivities to earlier vectors."""
+    pull = aum * candidate.cost * block["lambda_adv"]
+    own = block["idio_variance"] + candidate.shrinkage * block["factor_total_variance"] + ridge
+    d = np.where(block.held, gamma * own + pull, 1.0)
+    inherited = np.zeros(len(block.held))
+    behind: list[np.ndarray] = []
+    for t in range(block.held.shape[1]):
+        here = block.held[:, t]
+        tilt = block.vector[:, t] / d[:, t, None]
+        rhs = np.where(here, candidate.scale * block["mu"][:, t] + pull[:, t] * inherited, 0.0)
+        weight = rhs / d[:, t]
+        if path is not None:
+            weight = weight - tilt @ path[t]
+        yield t, here, weight, inherited, tilt, rhs, pull[:, t], behind
+        keep = block.kept(t)
+        share = np.where(here, pull[:, t] / d[:, t], 0.0) * keep
+        behind = [-tilt * keep[:, None], *[share[:, None] * b for b in behind]][:lags]
+        inherited = weight * keep
 
 
 def solve_path(
-    paths: DataFrame, covariances: dict[int, np.ndarray], months: int, candidates: Sequence[Candidate],
+    names: DataFrame, covariances: dict[int, np.ndarray], months: int, candidates: Sequence[Candidate],
     gamma: float = S.GAMMA, aum: float = S.AUM, ridge: float = S.COVARIANCE_RIDGE, lags: int = 6, tolerance: float = 1e-12,
 ) -> FactorPath:
     """The factor vectors of every candidate and month.
@@ -152,18 +94,18 @@ def solve_path(
 
     def first(batches):
         total = np.zeros((many, months, width))
-        for _, block in _blocks(batches, months, k):
+        for block in paths.blocks(batches, months, k):
             for c, candidate in enumerate(candidates):
-                for t, here, _, _, tilt, rhs, pull, behind in block.scan(candidate, None, gamma, aum, ridge, lags):
+                for t, here, _, _, tilt, rhs, pull, behind in scan(block, candidate, None, gamma, aum, ridge, lags):
                     cell = total[c, t]
-                    cell[: k * k] += (tilt[here].T @ block.loadings[here, t]).ravel()
+                    cell[: k * k] += (tilt[here].T @ block.vector[here, t]).ravel()
                     cell[k * k : k * k + k] += tilt[here].T @ rhs[here]
                     for lag, b in enumerate(behind):
                         at = k * k + k + lag * k * k
                         cell[at : at + k * k] += ((tilt * pull[:, None])[here].T @ b[here]).ravel()
         return total
 
-    sums = _summed(paths, first, (many, months, width))
+    sums = paths.summed(names, first, (many, months, width))
     inner = sums[..., : k * k].reshape(many, months, k, k)
     pulled = sums[..., k * k : k * k + k]
     answer = sums[..., k * k + k :].reshape(many, months, lags, k, k)
@@ -182,13 +124,13 @@ def solve_path(
     def pulls(now: np.ndarray) -> np.ndarray:
         def partial(batches):
             total = np.zeros((many, months, k))
-            for _, block in _blocks(batches, months, k):
+            for block in paths.blocks(batches, months, k):
                 for c, candidate in enumerate(candidates):
-                    for t, here, _, _, tilt, rhs, _, _ in block.scan(candidate, now[c], gamma, aum, ridge):
+                    for t, here, _, _, tilt, rhs, _, _ in scan(block, candidate, now[c], gamma, aum, ridge):
                         total[c, t] += tilt[here].T @ rhs[here]
             return total
 
-        return _summed(paths, partial, (many, months, k))
+        return paths.summed(names, partial, (many, months, k))
 
     found, change, history = corrected(path, pulled), np.inf, []
     for count in range(1, -(-months // lags) + 3):
@@ -202,7 +144,7 @@ def solve_path(
 
 
 def positions(
-    paths: DataFrame, path: FactorPath, candidates: Sequence[Candidate], gamma: float = S.GAMMA, aum: float = S.AUM,
+    names: DataFrame, path: FactorPath, candidates: Sequence[Candidate], gamma: float = S.GAMMA, aum: float = S.AUM,
     ridge: float = S.COVARIANCE_RIDGE,
 ) -> DataFrame:
     """(method, candidate, entity, t, weight, inherited) of every candidate, name and month, in one pass."""
@@ -210,24 +152,23 @@ def positions(
     months, k = values.shape[1:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, block in _blocks(batches, months, k):
-            entity = batch.column("entity")
+        for block in paths.blocks(batches, months, k):
             for c, candidate in enumerate(candidates):
                 weight, inherited = np.zeros(block.held.shape), np.zeros(block.held.shape)
-                for t, _, w, prior, *_ in block.scan(candidate, values[c], gamma, aum, ridge):
+                for t, _, w, prior, *_ in scan(block, candidate, values[c], gamma, aum, ridge):
                     weight[:, t], inherited[:, t] = w, prior
                 row, t = np.nonzero(block.held)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([candidate.method] * len(row)), pa.array([candidate.name] * len(row)),
-                        entity.take(pa.array(row)), pa.array(t + 1, pa.int32()),
+                        block.entity.take(pa.array(row)), pa.array(t + 1, pa.int32()),
                         pa.array(weight[row, t]), pa.array(inherited[row, t]),
                     ],
                     ["method", "candidate", "entity", "t", "weight", "inherited"],
                 )
 
-    kind = paths.schema["entity"].dataType.simpleString()
-    return paths.mapInArrow(run, f"method string, candidate string, entity {kind}, t int, weight double, inherited double")
+    kind = names.schema["entity"].dataType.simpleString()
+    return names.mapInArrow(run, f"method string, candidate string, entity {kind}, t int, weight double, inherited double")
 
 
 def month_covariances(matrices: DataFrame, stats: DataFrame) -> dict[int, np.ndarray]:
