@@ -10,7 +10,8 @@ of the data, so a recomputed partition sees the same buckets as the partition it
 
 Groups are months, feature-months or policy-months: their number is bounded by the calendar and the
 feature list, so the table of group sizes is small enough to broadcast; so is the table of cuts, with one
-value for every ``BUCKET_ROWS`` keys of a group.  Rows are never shuffled on a group key alone.
+value for every ``BUCKET_ROWS`` keys of a group (two million cuts at 1e12 keys).  Rows are never shuffled on a
+group key alone, nor on a value that many of them share.
 
 Group keys must not be null (panel keys never are), so every join is a plain equi-join and the bucket
 windows and their offsets meet on one partitioning.
@@ -24,6 +25,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 WINDOW_ROWS = 1_000_000  # largest group ordered in one task
 BUCKET_ROWS = 500_000  # wished rows per bucket beyond it
+HOT_SHARE = 1000  # values with that share of a group's rows don't enter a shuffled join
+SALTS = 4096
 
 
 def largest_group(df: DataFrame, by: Sequence[str]) -> int:
@@ -61,11 +64,27 @@ def bucket_by_value(
             " i -> __sample[cast(least(size(__sample) - 1, floor(i * size(__sample) / __n)) as int)])"
         ).alias("__cuts"),
     )
-    out = df.join(F.broadcast(cut), by, "left")
-    below = F.filter(F.col("__cuts"), lambda c: c <= F.col(key))
-    return out.withColumn("__bucket", F.coalesce(F.size(below), F.lit(0))).drop("__cuts").withColumn(
-        "__w", weight
+    # Two levels of splitters: a row looks at the first cut of every node, then at the cuts of its node alone,
+    # so both what it carries and what it compares grow with the root of the cuts.
+    fan = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size("__cuts"))).cast("int"))
+    nodes = F.ceil(F.size("__cuts") / F.col("__fan")).cast("int")
+    tree = cut.withColumn("__fan", fan).withColumn("__nodes", F.greatest(F.lit(1), nodes))
+    first = F.transform(
+        F.filter(F.sequence(F.lit(0), F.col("__nodes") - 1), lambda i: i > 0),
+        lambda i: F.col("__cuts")[i * F.col("__fan")],
     )
+    leaves = tree.select(*by, "__fan", "__cuts", F.explode(F.sequence(F.lit(0), F.col("__nodes") - 1)).alias("__node")).select(
+        *by, "__node", (F.col("__node") * F.col("__fan")).alias("__before"),
+        F.slice("__cuts", F.col("__node") * F.col("__fan") + 1, F.col("__fan")).alias("__own"),
+    )
+
+    def under(cuts: str) -> Column:
+        return F.coalesce(F.size(F.filter(F.col(cuts), lambda c: c <= F.col(key))), F.lit(0))
+
+    out = df.join(F.broadcast(tree.select(*by, first.alias("__first"))), by, "left").withColumn("__node", under("__first"))
+    out = out.drop("__first").join(F.broadcast(leaves), [*by, "__node"], "left")
+    bucket = F.coalesce("__before", F.lit(0)) + under("__own")
+    return out.withColumn("__bucket", bucket).drop("__node", "__before", "__own").withColumn("__w", weight)
 
 
 def _grouped(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -151,7 +170,28 @@ def with_counts(
     counts = cumulative_counts(df, by, value, group_rows, bucket_rows).withColumnsRenamed(
         {"n": "__n", "below": "__below", "total": "__total"}
     )
-    return df.join(counts, [*by, value], "left")
+    return join_counts(df, counts, by, value, ["__n", "__below", "__total"])
+
+
+def join_counts(df: DataFrame, counts: DataFrame, by: Sequence[str], value: str, columns: Sequence[str], n: str = "__n", total: str = "__total") -> DataFrame:
+    """Put the ``columns`` of a table with one row per (group, value) on every row of ``df``; null values get nulls.
+
+    A value that holds one HOT_SHARE-th of its group or more would be one join key of that many rows.  There are at
+    most HOT_SHARE such values in a group, so they are broadcast; rows of hot and null values carry a salt into
+    the shuffled join, where they match nothing and are spread evenly.
+    """
+    hot = F.col(n) * HOT_SHARE >= F.col(total)
+    often = counts.where(hot).select(*by, value, F.struct(*columns).alias("__often"))
+    # Zero, but not a literal: the optimiser would take that out of the join's keys.
+    zero = F.pmod(F.col(n), F.lit(1)).cast("int")
+    rare = counts.where(~hot).select(*by, value, F.struct(*columns).alias("__rare"), zero.alias("__salt"))
+    out = df.join(F.broadcast(often), [*by, value], "left")
+    aside = F.col(value).isNull() | F.col("__often").isNotNull()
+    salt = F.when(aside, 1 + F.pmod(F.xxhash64(*df.columns), F.lit(SALTS))).otherwise(0).cast("int")
+    out = out.withColumn("__salt", salt).join(rare, [*by, value, "__salt"], "left").withColumn(
+        "__found", F.coalesce("__often", "__rare")
+    )
+    return out.withColumns({c: F.col("__found")[c] for c in columns}).drop("__often", "__rare", "__salt", "__found")
 
 
 def percentile_ranks(
@@ -172,8 +212,8 @@ def percentile_ranks(
         for value, output in columns.items():
             counts = cumulative_counts(df, by, value, group_rows, **kw)
             share = (F.col("below") + (F.col("n") + 1) / F.lit(2.0)) / F.col("total")
-            table = counts.select(*by, value, share.alias(output))
-            out = out.join(table, [*by, value], "left").withColumn(output, F.coalesce(output, F.lit(neutral)))
+            out = join_counts(out, counts.withColumn(output, share), by, value, [output], "n", "total")
+            out = out.withColumn(output, F.coalesce(output, F.lit(neutral)))
         return out
     span = W.partitionBy(*by)
     out = df.withColumns({f"__t_{v}": F.count(v).over(span) for v in columns})
@@ -230,7 +270,7 @@ def average_ranks(
         else:
             counts = cumulative_counts(df, by, value, group_rows, **kw)
             middle = F.col("below") + (F.col("n") + 1) / F.lit(2.0)
-            out = out.join(counts.select(*by, value, middle.alias(output)), [*by, value], "left")
+            out = join_counts(out, counts.withColumn(output, middle), by, value, [output], "n", "total")
     return out
 
 

@@ -86,3 +86,40 @@ def test_hot_group_is_cut(skewed):
     buckets = ranks.bucket_by_value(keyed, ["g"], "k", bucket_rows=20).where("g = 'a'").groupBy("__bucket").count().toPandas()
     assert len(buckets) > 10
     assert buckets["count"].max() < 150
+
+
+@pytest.mark.parametrize("bucket_rows", [1, 3, 40, 5000])
+def test_splitter_tree_orders_buckets(spark, bucket_rows):
+    """Buckets follow the values for any number of cuts, and a row carries about the root of the cuts."""
+    rng = np.random.default_rng(5)
+    values = {"a": rng.permutation(3000).astype(float), "b": rng.normal(size=40), "c": np.array([7.0])}
+    rows = [(g, float(v)) for g, vs in values.items() for v in vs]
+    df = spark.createDataFrame(rows, "g string, v double")
+    out = ranks.bucket_by_value(df, ["g"], "v", bucket_rows=bucket_rows).toPandas()
+    assert len(out) == len(rows)
+    for g, part in out.groupby("g"):
+        part = part.sort_values("v")
+        assert (part["__bucket"].diff().dropna() >= 0).all() and part["__bucket"].min() >= 0
+        wanted = -(-len(part) // bucket_rows)
+        assert part["__bucket"].nunique() > min(wanted, len(part) / 8) / 3
+        assert part["__bucket"].value_counts().max() <= max(40, 4 * bucket_rows)
+
+
+def test_a_hot_value_is_spread(spark):
+    """Half of the rows hold one value and a quarter none: no task of the join gets more than its share."""
+    rows = spark.range(40_000).select(
+        (F.col("id") % 2).alias("g"), "id", F.when(F.col("id") % 8 < 4, 0.5).when(F.col("id") % 8 < 6, F.col("id") / 7.0).alias("v")
+    )
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(before, ("64", "false", "-1")):
+            spark.conf.set(k, v)
+        counts = ranks.cumulative_counts(rows, ["g"], "v", bucket_rows=500).withColumnsRenamed({"n": "__n", "below": "__below", "total": "__total"})
+        out = ranks.join_counts(rows, counts, ["g"], "v", ["__n", "__below", "__total"])
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 40_000 and max(sizes) < 3 * 40_000 / 64
+        got = out.where("v = 0.5").select("__n", "__total").distinct().collect()
+        assert sorted(map(tuple, got)) == [(10_000, 15_000)] * 1 and out.where("v IS NULL AND __n IS NOT NULL").count() == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
