@@ -214,6 +214,18 @@ def validation_window(months: DataFrame, by: Sequence[str], wanted: int) -> Data
     return months.withColumn("__back", back).where(F.col("__back") <= wanted).drop("__back")
 
 
+def adaptive_window(months: DataFrame, by: Sequence[str], wanted: int, least_train: int, least_validation: int) -> DataFrame:
+    """Known months of each test year with their ``part``: train or validation (a calendar-sized table).
+
+    The last ``wanted`` months validate, or as many as leave ``least_train``; under ``least_validation`` all train.
+    """
+    group = W.partitionBy(*by)
+    back = F.row_number().over(group.orderBy(F.col("eom").desc()))
+    room = F.least(F.lit(wanted), F.count(F.lit(1)).over(group) - least_train)
+    inside = (back <= room) & (room >= least_validation)
+    return months.withColumn("part", F.when(inside, "validation").otherwise("train"))
+
+
 def overlapping_periods(periods: DataFrame) -> DataFrame:
     """Pairs of a small period table that share a day."""
     a = periods.select(F.col("name").alias("left_name"), F.col("start").alias("s1"), F.col("end").alias("e1"))

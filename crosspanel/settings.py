@@ -107,3 +107,8 @@ STABILITY_PARTS = (0.6, 0.4)
 REDUNDANCY_PARTS = (0.6, 0.4)
 SCREENS = {"missing": 0.20, "std": 0.02, "persistence": 0.20, "max_abs": 0.90}
 CONSERVATIVE_SCREENS = {"missing": 0.10, "std": 0.05, "persistence": 0.60, "max_abs": 0.85, "average_abs": 0.35}
+
+# Windows of the competing return models, in months.  Fixed values.
+RETURN_VALIDATION_MONTHS = 120
+RETURN_MIN_TRAIN = 24
+RETURN_MIN_VALIDATION = 12
