@@ -27,7 +27,7 @@ from crosspanel.llm.membership import bloom, hits, maybe_in
 
 PERCENT = 80
 #: Lines with fewer distinct words are never compared, and stay; the SQL of op7 sets this bound.  One compares all.
-MIN_WORDS = 3
+MIN_WORDS = 1
 #: The table of word counts: 2 ** 24 hashed counters, one byte each (the logarithm) where it is broadcast.
 COUNTER_BITS, BLOCK_BITS = 24, 14
 LINES = "row long, doc_id long, line_no int, class long, size int, even long, odd long, prefix array<struct<word: long, pos: int>>"
@@ -106,6 +106,11 @@ def line_sets(data: np.ndarray, offsets: np.ndarray, codes: np.ndarray | None):
     number = breaks[starts] - breaks[offsets[row]]
     rare = codes[hashes >> np.uint64(64 - COUNTER_BITS)].astype(np.uint64) if codes is not None else np.uint64(0)
     order = np.argsort(line.astype(np.uint64) << np.uint64(40) | rare << np.uint64(32) | hashes >> np.uint64(32))
+    same = line[order[1:]] == line[order[:-1]]
+    tied = same & (hashes[order[1:]] != hashes[order[:-1]]) & (hashes[order[1:]] >> np.uint64(32) == hashes[order[:-1]] >> np.uint64(32))
+    if tied.any() or (len(line) and line[-1] >= 1 << 24):
+        # Different words with equal upper halves: their order must not hang on where they stand in the line.
+        order = np.lexsort((hashes, np.broadcast_to(rare, hashes.shape), line))
     hashes, line, row, number = hashes[order], line[order], row[order], number[order]
     fresh = np.ones(len(hashes), bool)
     fresh[1:] = (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1])

@@ -162,7 +162,7 @@ WITH split AS (
     translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'))) AS w
   FROM numbered
 ), sets AS MATERIALIZED (
-  SELECT w, len(w) AS n, min(doc_id * 1000000 + line_no) AS place FROM worded WHERE len(w) >= 3 GROUP BY w
+  SELECT w, len(w) AS n, min(doc_id * 1000000 + line_no) AS place FROM worded WHERE len(w) >= 1 GROUP BY w
 ), tokens AS MATERIALIZED (SELECT place, n, unnest(w) AS t FROM sets
 ), counted AS (SELECT t, count(*) AS df FROM tokens GROUP BY t
 ), ranked AS (
