@@ -54,7 +54,7 @@ def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             hashes, _ = W.words(data, offsets)
             held.append((hashes >> np.uint64(64 - COUNTER_BITS)).astype(np.uint32))
             size += len(hashes)
-            if size > 2_000_000:
+            if size > 400_000:
                 totals, held, size = merged(), [], 0
     keys, counts = merged()
     if len(keys):
