@@ -43,17 +43,19 @@ def join_many_to_one(left: DataFrame, right: DataFrame, on: Sequence[str]) -> Da
 def horizon_join(df: DataFrame, features: DataFrame, horizons: int, label: str = "ret_exc_lead1m") -> DataFrame:
     """Features at month t with the label at t+h-1, for h = 1..horizons, matched by month number.
 
-    One shuffle on the entity: each label row is spread to the months it is a target of, which is a
-    fixed factor, and equal (entity, month) keys meet.
+    Features and labels are shuffled together on the entity, each row once; a range window over the month numbers
+    gives a feature row the labels of its months, and only then are rows multiplied by the horizons.
     """
-    targets = df.where(F.col(label).isNotNull()).select(
-        "entity", F.col("month_index").alias("target_index"), F.col("eom").alias("target_eom"), label
-    )
-    spread = targets.withColumn("horizon", F.explode(F.sequence(F.lit(1), F.lit(horizons)))).withColumn(
-        "month_index", F.col("target_index") - F.col("horizon") + 1
-    )
-    return features.join(spread, ["entity", "month_index"], "inner").withColumn(
-        "return_eom", X.month_end(F.col("target_eom"), 1)
+    extra = [c for c in features.columns if c not in ("entity", "month_index")]
+    target = F.struct(F.col("month_index").alias("target_index"), F.col("eom").alias("target_eom"), label)
+    labels = df.where(F.col(label).isNotNull()).select("entity", "month_index", target.alias("__target"))
+    rows = features.select("entity", "month_index", F.struct(*extra).alias("__row"))
+    both = rows.unionByName(labels, allowMissingColumns=True)
+    ahead = W.partitionBy("entity").orderBy("month_index").rangeBetween(0, horizons - 1)
+    met = both.withColumn("__targets", F.collect_list("__target").over(ahead)).where(F.col("__row").isNotNull())
+    out = met.select("entity", "month_index", *[F.col("__row")[c].alias(c) for c in extra], F.inline("__targets"))
+    return out.withColumns(
+        {"horizon": F.col("target_index") - F.col("month_index") + 1, "return_eom": X.month_end(F.col("target_eom"), 1)}
     )
 
 

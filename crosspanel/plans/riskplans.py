@@ -20,14 +20,14 @@ fcov AS (SELECT eom, max(CASE WHEN factor_1 = 'intercept' AND factor_2 = 'interc
   max(CASE WHEN factor_1 = 'intercept' AND factor_2 = 'rank_tax' THEN covariance END) * 21e0 AS fit, max(CASE WHEN factor_1 = 'rank_discount' AND factor_2 = 'rank_discount' THEN covariance END) * 21e0 AS fdd,
   max(CASE WHEN factor_1 = 'rank_discount' AND factor_2 = 'rank_tax' THEN covariance END) * 21e0 AS fdt, max(CASE WHEN factor_1 = 'rank_tax' AND factor_2 = 'rank_tax' THEN covariance END) * 21e0 AS ftt FROM factor_cov GROUP BY 1),
 risk_base AS (SELECT u.*, 1e0 AS b0, rank_discount - 0.5e0 AS b1, rank_tax - 0.5e0 AS b2, CASE WHEN NOT (entity % 17 = 0 AND month_index % 5 = 0) THEN variance / 42e0 END AS idio_var FROM uni u),
-risk_rows AS (SELECT r.*, coalesce(idio_var, med_idio) * 21e0 AS idio_variance, idio_var IS NULL AS idio_imputed, fii, fid, fit, fdd, fdt, ftt,
+risk_rows AS MATERIALIZED (SELECT r.*, coalesce(idio_var, med_idio) * 21e0 AS idio_variance, idio_var IS NULL AS idio_imputed, fii, fid, fit, fdd, fdt, ftt,
   b0*b0*fii + b1*b1*fdd + b2*b2*ftt + 2*b0*b1*fid + 2*b0*b2*fit + 2*b1*b2*fdt + coalesce(idio_var, med_idio) * 21e0 AS total
   FROM risk_base r JOIN (SELECT eom, median(idio_var) AS med_idio FROM risk_base GROUP BY 1) USING (eom) JOIN fcov USING (eom)),
 gate AS (SELECT eom, median(total) AS median_variance, median(variance) AS median_reference FROM risk_rows GROUP BY 1),
-exposures AS (SELECT eom, method, sum(w.weight * b0) AS e0, sum(w.weight * b1) AS e1, sum(w.weight * b2) AS e2, sum(w.weight * w.weight * idio_variance) AS idio_part, max(fii) AS fii, max(fid) AS fid, max(fit) AS fit, max(fdd) AS fdd, max(fdt) AS fdt, max(ftt) AS ftt
+exposures AS MATERIALIZED (SELECT eom, method, sum(w.weight * b0) AS e0, sum(w.weight * b1) AS e1, sum(w.weight * b2) AS e2, sum(w.weight * w.weight * idio_variance) AS idio_part, max(fii) AS fii, max(fid) AS fid, max(fit) AS fit, max(fdd) AS fdd, max(fdt) AS fdt, max(ftt) AS ftt
   FROM weights w JOIN risk_rows r USING (eom, entity) GROUP BY 1, 2),
 variances AS (SELECT *, greatest(e0*e0*fii + e1*e1*fdd + e2*e2*ftt + 2*e0*e1*fid + 2*e0*e2*fit + 2*e1*e2*fdt, 0e0) AS factor_variance, idio_part AS idio_variance FROM exposures),
-pvar AS (SELECT *, factor_variance + idio_variance AS ex_ante_monthly_variance FROM variances)"""
+pvar AS MATERIALIZED (SELECT *, factor_variance + idio_variance AS ex_ante_monthly_variance FROM variances)"""
 
 
 def exposures(spark, sf_dir) -> DataFrame:

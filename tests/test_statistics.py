@@ -196,3 +196,23 @@ def test_importance_shares(spark):
     got = {r["neutralized"]: r for r in selection.importance(full, neutral, "u", ["scope"]).collect()}
     assert got["a"]["share"] == pytest.approx(0.75) and got["a"]["place"] == 1
     assert got["c"]["share"] == 0.0 and got["c"]["place"] == 3
+
+
+def test_horizons_are_multiplied_after_the_shuffle(spark):
+    """One exchange of rows that aren't exploded yet, and the labels of exactly the wanted months."""
+    from crosspanel.operators import joins
+
+    data = [(i, m, month(m), float(10 * m + i) if (i + m) % 4 else None) for i in range(6) for m in range(20) if (i * m) % 5 != 3]
+    df = spark.createDataFrame(data, "entity long, month_index int, eom date, ret_exc_lead1m double")
+    features = df.select("entity", "month_index", "eom", (F.col("month_index") * 2).alias("x")).where("month_index % 3 <> 1")
+    features = features.unionByName(spark.createDataFrame([(2, 99, month(99), 1), (77, 3, month(3), 1)], features.schema))
+    out = joins.horizon_join(df, features, 4)
+    got = {(r.entity, r.month_index, r.horizon, r.x, r.target_eom, r.ret_exc_lead1m) for r in out.collect()}
+    known = {(i, m): (e, y) for i, m, e, y in data if y is not None}
+    want = {
+        (i, m, h, 2 * m, *known[i, m + h - 1])
+        for i, m, *_ in data if m % 3 != 1 for h in range(1, 5) if (i, m + h - 1) in known
+    }
+    assert got == want and out.count() == len(want)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.index("Generate") < plan.index("Window")
