@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from crosspanel.plans.base import shared_folder
@@ -50,3 +52,12 @@ def keep_columns(df: DataFrame, extra: str) -> DataFrame:
 def crc_fold(column, folds: int):
     """crc32 of the value written as text, modulo ``folds``: fixes which rows are held out."""
     return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(folds))
+
+
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches; at their end what Arrow's pool no longer needs goes back to the system.
+
+    A worker lives on between tasks, and its pool would keep the largest batch it has seen.
+    """
+    yield from batches
+    pa.default_memory_pool().release_unused()

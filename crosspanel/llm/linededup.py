@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from crosspanel.llm import words as W
-from crosspanel.llm.base import written
+from crosspanel.llm.base import released, written
 from crosspanel.llm.membership import bloom, hits, maybe_in
 
 PERCENT = 80
@@ -49,7 +49,7 @@ def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         return keys, np.bincount(at, np.concatenate([totals[1], n]), len(keys)).astype(np.int64)
 
     size = 0
-    for batch in batches:
+    for batch in released(batches):
         for _, _, data, offsets in W.text_slices(batch.column("text")):
             hashes, _ = W.words(data, offsets)
             held.append((hashes >> np.uint64(64 - COUNTER_BITS)).astype(np.uint32))
@@ -137,7 +137,7 @@ def partnered(size, percent: int):
 def line_batches(batches: Iterator[pa.RecordBatch], codes: np.ndarray, percent: int, least: int) -> Iterator[pa.RecordBatch]:
     """A row for each line; its prefix too where the task meets the class for the first time, or earlier than before."""
     seen: dict[int, tuple[int, int]] = {}
-    for batch in batches:
+    for batch in released(batches):
         keys, ids = np.asarray(batch.column("row")), np.asarray(batch.column("doc_id").fill_null(FIRST))
         for at, _, data, offsets in W.text_slices(batch.column("text")):
             hashes, cuts, row, number = line_sets(data, offsets, codes)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from crosspanel.llm import words as W
-from crosspanel.llm.base import crc_fold
+from crosspanel.llm.base import crc_fold, released
 
 #: Labelled rows that training reads at most, and the feature space: bounds of the training task and of the model.
 SAMPLE = 16384
@@ -65,7 +65,7 @@ def ftrl(rows: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, float]:
 def train_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = [
         (int(label), np.frombuffer(packed, "<u4"))
-        for batch in batches
+        for batch in released(batches)
         for label, packed in zip(batch.column("label").to_pylist(), batch.column("features").to_pylist())
     ]
     weights, bias = ftrl(rows)
@@ -115,7 +115,7 @@ def score(docs: DataFrame, model: list[tuple[int, float]], output: str = "score"
         dense = np.zeros(1 << BITS)
         dense[sparse[0]] = sparse[1]
         kept = dense != 0
-        for batch in found:
+        for batch in released(found):
             logits = np.full(batch.num_rows, bias)
             for at, end, data, offsets in W.text_slices(batch.column("text")):
                 keys, row = buckets(data, offsets)
