@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -55,9 +56,13 @@ def crc_fold(column, folds: int):
 
 
 def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same batches; at their end what Arrow's pool no longer needs goes back to the system.
+    """The same batches; at their end what Arrow's pool and the C heap no longer need goes back to the system.
 
-    A worker lives on between tasks, and its pool would keep the largest batch it has seen.
+    A worker lives on between tasks, and both would keep the most that any task has used.
     """
     yield from batches
     pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # a C library that has no such call
+        pass
