@@ -239,27 +239,28 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int, percent: int, among: DataFrame | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, one row per row of ``docs`` (doc_id, text; more are ignored).
 
     Texts are linked when ``100 * shared >= percent * united`` of their ``width``-word shingles, confirmed
     on the full sets.  A component's id is its smallest doc_id; ``kept`` marks that document.  A null text, or one
     without words, has no shingles and links with nothing.  Repeated rows are linked, and each is kept or
     not as its id is.  Different texts under one id are taken as one document.  A row without an id is kept, with
-    a null component.  An empty table gives no rows.
+    a null component.  An empty table gives no rows.  With ``among`` (doc_id) only rows of these ids take part and
+    are returned; they are chosen by their sketches, so no text is shuffled for it.
     """
     similarity = percent / 100
     chunks = chunks_for(similarity)
     values = chunks * CHUNK
     errors = max(2 * chunks - 1, most_errors(values, similarity))
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    sketch = written(
-        docs.mapInArrow(
-            lambda b: sketch_batches(b, width, values),
-            "doc_id long, n_shingles long, one long, two long, signature binary",
-        ),
-        "sketch",
+    sketch = docs.mapInArrow(
+        lambda b: sketch_batches(b, width, values),
+        "doc_id long, n_shingles long, one long, two long, signature binary",
     )
+    if among is not None:
+        sketch = sketch.join(among.select(F.col("doc_id").cast("long")).distinct(), "doc_id", "left_semi")
+    sketch = written(sketch, "sketch")
     same = ["one", "two", "n_shingles"]
     usable = sketch.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = written(
