@@ -6,8 +6,11 @@ window, and each small normal equation is solved on its own row, for all penalti
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 from itertools import combinations_with_replacement
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -249,13 +252,19 @@ def mean_squared_error(coef: Column, xx: Column, xy: Column, yy: Column, n: Colu
     return total / n
 
 
+def daily_fits(daily: DataFrame, exposures: Sequence[str], ret: str, penalty: float, day: str = "date") -> DataFrame:
+    """One ridge per day; a row with a null return or exposure takes no part in it."""
+    whole = daily.where(reduce(and_, [F.col(c).isNotNull() for c in (ret, *exposures)]))
+    return ridge_fit(
+        gram(whole, exposures, ret, [day]).withColumn("__pen", F.lit(float(penalty))), "__pen", standardise=False
+    )
+
+
 def factor_returns(
     daily: DataFrame, exposures: Sequence[str], ret: str, penalty: float, day: str = "date"
 ) -> DataFrame:
     """Daily cross-sectional ridge of returns on exposures: one factor return per day and exposure."""
-    fits = ridge_fit(
-        gram(daily, exposures, ret, [day]).withColumn("__pen", F.lit(float(penalty))), "__pen", standardise=False
-    )
+    fits = daily_fits(daily, exposures, ret, penalty, day)
     items = F.array(
         F.struct(F.lit("intercept").alias("factor"), F.element_at("coef", 1).alias("factor_return")),
         *[
@@ -266,6 +275,21 @@ def factor_returns(
     return fits.select(day, "n", F.inline(items))
 
 
+def factor_residuals(
+    daily: DataFrame, exposures: Sequence[str], ret: str, penalty: float, day: str = "date"
+) -> DataFrame:
+    """``daily`` with ``fitted`` and ``residual`` of the day's ridge; both null where the return or an exposure is.
+
+    The fits are calendar-sized and broadcast, so the rows are shuffled for the day's sums only.
+    """
+    rows = ranks.attach(daily, daily_fits(daily, exposures, ret, penalty, day).select(day, "coef"), [day])
+    fitted = F.element_at("coef", 1)
+    for i, c in enumerate(exposures):
+        fitted = fitted + F.element_at("coef", i + 2) * F.col(c)
+    rows = rows.withColumn("fitted", F.when(F.col(ret).isNotNull(), fitted))
+    return rows.withColumn("residual", F.col(ret) - F.col("fitted")).drop("coef")
+
+
 def winsorise(
     df: DataFrame, columns: Sequence[str], low: float, high: float, by: Sequence[str], group_rows: int | None = None
 ) -> DataFrame:
@@ -279,32 +303,72 @@ def winsorise(
     return out
 
 
-def ewma_moments(df: DataFrame, pair: Sequence[str], day: str, x: str, y: str, span: int) -> DataFrame:
+def ewma_moments(
+    df: DataFrame, pair: Sequence[str], day: str, x: str, y: str, span: int, at: str | None = None
+) -> DataFrame:
     """Exponentially weighted covariance of two daily series after each day, weights (1-a)^age.
 
-    One pass over a factor pair's days, which the calendar bounds.  Every day scales the weight held so far by
-    the decay, so nothing grows with the length of the series.
+    A day's age is counted in rows of its pair or, with ``at`` (a whole number that rises with the day), in steps
+    of that column, so that days a pair has no row for age the others, too.  A row without both values only ages
+    the others; before the first row with both the covariance is zero.  Keys aren't null, a pair has one row a day.
+
+    Decayed sums are taken in blocks of days short enough that the growth of a weight inside a block stays under
+    1e8.  Each block adds to the sums of those before it, decayed to its start, so neither the length of a series nor the
+    span can overflow, and one shuffle by pair serves all windows.
     """
     decay = 1.0 - 2.0 / (span + 1.0)
+    length = max(1, int(math.log(1e8) / -math.log(decay))) if decay > 0 else 1
+    key = list(pair)
+    series = W.partitionBy(*key).orderBy(day)
+    power = lambda age: F.pow(F.lit(decay), age.cast("double"))
+    both = F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y)
+    rows = df.withColumn("__at", (F.col(at) if at else F.row_number().over(series)).cast("long"))
+    # A covariance doesn't hang on a shift: measured from the first values its sums don't cancel.
+    whole = series.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    dx, dy = (F.col(c) - F.first(F.when(both, F.col(c)), ignorenulls=True).over(whole) for c in (x, y))
+    rows = rows.withColumns({"__dx": F.when(both, dx), "__dy": F.when(both, dy)})
+    rows = rows.withColumns({"__block": F.floor(F.col("__at") / length), "__step": F.pmod(F.col("__at"), F.lit(length))})
+    values = {
+        "__sw": both.cast("double"), "__sx": F.col("__dx"), "__sy": F.col("__dy"), "__sxy": F.col("__dx") * F.col("__dy"),
+    }
+    running = W.partitionBy(*key, "__block").orderBy(day).rowsBetween(W.unboundedPreceding, W.currentRow)
+    step = F.col("__step")
+    rows = rows.withColumns(
+        {n: F.coalesce(F.sum(v * power(-step)).over(running), F.lit(0.0)) * power(step) for n, v in values.items()}
+    )
+    ends = rows.groupBy(*key, "__block").agg(
+        *[F.max_by(F.col(n) * power(length - 1 - step), "__at").alias(n) for n in values]
+    )
+    before = W.partitionBy(*key).orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
+    ends = ends.withColumn("__before", F.collect_list(F.struct("__block", *values)).over(before))
+
+    def carried(name: str) -> Column:
+        gap = lambda e: length * (F.col("__block") - 1 - e["__block"])
+        return F.aggregate("__before", F.lit(0.0), lambda total, e: total + e[name] * power(gap(e)))
+
+    ends = ends.select(*key, "__block", *[carried(n).alias(f"{n}0") for n in values])
+    rows = rows.join(ends, [*key, "__block"], "left")
+    w, mx, my, mxy = (F.col(n) + F.col(f"{n}0") * power(step + 1) for n in values)
+    covariance = F.when(w > 0, mxy / w - mx / w * (my / w)).otherwise(0.0)
+    return rows.select(*df.columns, covariance.alias("covariance"))
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(day)
-        weight = mean_x = mean_y = covariance = 0.0
-        out = []
-        for vx, vy in zip(part[x].to_numpy(float), part[y].to_numpy(float)):
-            held = decay * weight
-            if np.isnan(vx) or np.isnan(vy):  # a day without both values only ages the others
-                weight = held
-                out.append(covariance)
-                continue
-            weight = held + 1.0
-            dx, dy = vx - mean_x, vy - mean_y
-            mean_x, mean_y = mean_x + dx / weight, mean_y + dy / weight
-            covariance = held / weight * (covariance + dx * dy / weight)
-            out.append(covariance)
-        return part.assign(covariance=out)
-
-    return df.groupBy(*pair).applyInPandas(run, T.StructType([*df.schema.fields, T.StructField("covariance", T.DoubleType())]))
+
+def idiosyncratic_variance(
+    residuals: DataFrame, entity: str, day: str, span: int, least: int, residual: str = "residual"
+) -> DataFrame:
+    """(entity, eom, days, observations, idio_var): decayed variance of an entity's daily residuals at month ends.
+
+    Days count on the calendar of all residuals, so days that an entity misses age what it has.  A month
+    without a residual of the entity has no row.  With under ``least`` observations so far the variance is null.
+    """
+    rows = residuals.where(F.col(residual).isNotNull()).select(entity, day, residual)
+    calendar = rows.select(day).distinct().withColumn("__day", F.row_number().over(W.orderBy(day)))
+    rows = ewma_moments(ranks.attach(rows, calendar, [day]), [entity], day, residual, residual, span, "__day")
+    so_far = F.count(F.lit(1)).over(W.partitionBy(entity).orderBy(day))
+    months = rows.withColumn("__n", so_far).groupBy(entity, F.last_day(day).alias("eom")).agg(
+        F.count(F.lit(1)).alias("days"), F.max("__n").alias("observations"), F.max_by("covariance", day).alias("idio_var")
+    )
+    return months.withColumn("idio_var", F.when(F.col("observations") >= least, F.greatest("idio_var", F.lit(0.0))))
 
 
 def random_weights(inputs: int, features: int, scale: float, seed: int, bank: int | None = None) -> np.ndarray:

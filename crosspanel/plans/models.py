@@ -268,6 +268,56 @@ def factor_returns(spark, sf_dir):
     return regress.factor_returns(clean, ["buys", "errors"], "ret", 0.001)
 
 
+@register(
+    "factor_residuals",
+    "date user_id fitted:8 residual:8",
+    f"SELECT date, user_id, b0 + b1 * buys + b2 * errors AS fitted, ret - (b0 + b1 * buys + b2 * errors) AS residual FROM clipped JOIN ({ridge_sql('clipped', 'date', '0.001::DOUBLE', 'buys', 'errors', 'ret', standard=False)}) r USING (date)",
+    USER_DAYS,
+)
+def factor_residuals(spark, sf_dir):
+    """What the day's factors leave of every user's return."""
+    daily = _user_days(spark, sf_dir)
+    clean = regress.winsorise(daily, ["buys", "errors"], 0.01, 0.99, ["date"], ranks.largest_group(daily, ["date"]))
+    return regress.factor_residuals(clean, ["buys", "errors"], "ret", 0.001)
+
+
+IDIO_LEAST = 20
+SUPPLIER_DAYS = f"""
+supplier_days AS (
+  SELECT l_suppkey AS supplier, CAST(l_shipdate AS DATE) AS date, greatest(least((sum(CAST(l_quantity AS BIGINT)) / count(*)::DOUBLE - 25.5e0) / 50e0, 0.5e0), -0.5e0) AS ret,
+    sum(CAST(round(l_discount * 100) AS BIGINT)) / (count(*) * 100e0) AS disc, sum(CAST(round(l_tax * 100) AS BIGINT)) / (count(*) * 100e0) AS tax
+  FROM lineitem GROUP BY 1, 2),
+supplier_clipped AS (
+  SELECT supplier, date, ret, greatest(least(disc, d_hi), d_lo) AS disc, greatest(least(tax, t_hi), t_lo) AS tax FROM supplier_days JOIN
+    (SELECT date, quantile_cont(disc, 0.01) AS d_lo, quantile_cont(disc, 0.99) AS d_hi, quantile_cont(tax, 0.01) AS t_lo, quantile_cont(tax, 0.99) AS t_hi FROM supplier_days GROUP BY 1) USING (date)),
+left_over AS (
+  SELECT supplier, date, ret - (b0 + b1 * disc + b2 * tax) AS residual FROM supplier_clipped
+  JOIN ({ridge_sql('supplier_clipped', 'date', '0.001::DOUBLE', 'disc', 'tax', 'ret', standard=False)}) r USING (date)),
+aged AS (SELECT l.*, pow(1e0 - 2e0 / {S.EWMA_SPAN + 1}e0, -k::DOUBLE) AS w FROM left_over l JOIN (SELECT date, row_number() OVER (ORDER BY date) AS k FROM (SELECT DISTINCT date FROM left_over)) USING (date)),
+decayed AS (SELECT supplier, date, count(*) OVER r AS seen, sum(w * residual * residual) OVER r / sum(w) OVER r - pow(sum(w * residual) OVER r / sum(w) OVER r, 2) AS variance FROM aged WINDOW r AS (PARTITION BY supplier ORDER BY date))"""
+
+
+@register(
+    "idiosyncratic_variance",
+    "supplier eom days observations idio_var:10",
+    f"SELECT supplier, CAST(last_day(date) AS DATE) AS eom, count(*) AS days, max(seen) AS observations, CASE WHEN max(seen) >= {IDIO_LEAST} THEN greatest(arg_max(variance, date), 0e0) END AS idio_var FROM decayed GROUP BY 1, 2",
+    SUPPLIER_DAYS,
+)
+def idiosyncratic_variance(spark, sf_dir):
+    """Month-end decayed variance of what the day's factors leave of a supplier's shipments."""
+    n = F.count(F.lit(1))
+    points = lambda c: F.sum(F.round(F.col(c) * 100).cast("bigint")) / (n * F.lit(100.0))
+    daily = read(spark, sf_dir, "lineitem").groupBy(
+        F.col("l_suppkey").alias("supplier"), F.to_date("l_shipdate").alias("date")
+    ).agg(
+        ((F.sum(F.col("l_quantity").cast("bigint")) / n - F.lit(25.5)) / F.lit(50.0)).alias("ret"),
+        points("l_discount").alias("disc"), points("l_tax").alias("tax"),
+    ).withColumn("ret", F.greatest(F.least("ret", F.lit(0.5)), F.lit(-0.5)))
+    clean = regress.winsorise(daily, ["disc", "tax"], 0.01, 0.99, ["date"], ranks.largest_group(daily, ["date"]))
+    left = regress.factor_residuals(clean, ["disc", "tax"], "ret", 0.001)
+    return regress.idiosyncratic_variance(left, "supplier", "date", S.EWMA_SPAN, IDIO_LEAST)
+
+
 FACTORS = """
 daily_lines AS (
   SELECT CAST(l_shipdate AS DATE) AS date, sum(CAST(round(l_discount * 100) AS BIGINT)) / (count(*) * 100e0) - 0.05e0 AS f_discount, sum(CAST(round(l_tax * 100) AS BIGINT)) / (count(*) * 100e0) - 0.04e0 AS f_tax,
