@@ -29,6 +29,17 @@ def shared_folder(spark: SparkSession) -> str | None:
     return named
 
 
+def sink_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder for files that a query writes and reads back; gone with the application."""
+    folder = shared_folder(spark)
+    if folder is None:
+        raise ValueError("name a shared folder in spark.checkpoint.dir")
+    path = f"{folder}/crosspanel-{uuid.uuid4().hex}/{name}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
 def shared(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """A table many reports start from: written once as Parquet to the shared folder and read back.
 

@@ -114,6 +114,12 @@ def write_year_partitions(df: DataFrame, path: str, day: str = "eom") -> None:
     out.write.mode("append").partitionBy("year").option("maxRecordsPerFile", 5_000_000).parquet(path)
 
 
+def replace_year_partitions(df: DataFrame, path: str, day: str = "eom") -> None:
+    """Rewrite the years that ``df`` holds; the directories of other years stay as they are."""
+    out = df.withColumn("year", F.year(day)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    out.partitionBy("year").option("maxRecordsPerFile", 5_000_000).parquet(path)
+
+
 def read_year_partitions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
@@ -149,12 +155,26 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).csv(path)
+def _typed(spark: SparkSession, schema: str, bad: str | None):
+    reader = spark.read.schema(f"{schema}, {bad} string" if bad else schema)
+    return reader.option("columnNameOfCorruptRecord", bad) if bad else reader
+
+
+def read_csv(spark: SparkSession, path: str, schema: str, bad: str | None = None) -> DataFrame:
+    """Typed rows; with ``bad`` the text of a line that doesn't fit the schema is in that column, null elsewhere.
+
+    Only columns that a query uses are parsed: a fault in one that it leaves out isn't seen.
+    """
+    return _typed(spark, schema, bad).option("header", True).csv(path)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").json(path)
 
 
-def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).json(path)
+def read_json(spark: SparkSession, path: str, schema: str, bad: str | None = None) -> DataFrame:
+    """Typed records; with ``bad`` the text of a record that can't be read is in that column, null elsewhere."""
+    return _typed(spark, schema, bad).json(path)
 
 
 def export_sample(

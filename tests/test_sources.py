@@ -84,6 +84,30 @@ def test_sample_csv_and_json(spark, master, tmp_path):
     assert sums == {"static": 4.0, "aim": 4.0}
 
 
+def test_replaced_years_leave_others(spark, master, tmp_path):
+    path = str(tmp_path / "years")
+    rows = master.withColumn("eom", F.when(F.col("entity") < 10100, F.lit("2019-12-31").cast("date")).otherwise(F.col("eom")))
+    tables.write_year_partitions(rows, path)
+    before = {r["year"]: r["count"] for r in tables.read_year_partitions(spark, path).groupBy("year").count().collect()}
+    tables.replace_year_partitions(rows.where("eom = '2019-12-31' AND entity < 10010"), path)
+    after = {r["year"]: r["count"] for r in tables.read_year_partitions(spark, path).groupBy("year").count().collect()}
+    assert after[2020] == before[2020] and 0 < after[2019] < before[2019]
+
+
+def test_bad_lines_and_records_are_told(spark, tmp_path):
+    lines = spark.createDataFrame([("2020-01-31", "5"), ("2020-02-29", "five"), ("soon", "6"), ("2020-03-31", None)], "d string, n string")
+    tables.write_csv(lines, str(tmp_path / "c"))
+    rows = tables.read_csv(spark, str(tmp_path / "c"), "d date, n long", "_bad").collect()
+    assert sorted(r["_bad"] for r in rows if r["_bad"] is not None) == ["2020-02-29,five", "soon,6"]
+    assert sorted((r.d.month, r.n) for r in rows if r["_bad"] is None) == [(1, 5), (3, None)]
+    path = str(tmp_path / "j")
+    tables.write_json(lines.select("d"), path)
+    spark.createDataFrame([('{"d": "2020-',), ("[",)], "value string").write.mode("append").text(path)
+    rows = tables.read_json(spark, path, "d string", "_bad").collect()
+    assert sorted(r["_bad"] for r in rows if r["_bad"] is not None) == ["[", '{"d": "2020-']
+    assert sorted(r.d for r in rows if r["_bad"] is None) == ["2020-01-31", "2020-02-29", "2020-03-31", "soon"]
+
+
 def test_status_and_alias(spark, master):
     status = {r["table_name"]: r["status"] for r in tables.table_status({"a": master, "b": master.limit(0), "c": None}).collect()}
     assert status == {"a": "available", "b": "empty", "c": "unavailable"}
