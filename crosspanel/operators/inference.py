@@ -15,6 +15,8 @@ OUTCOMES = (
     "gross_return", "trading_cost", "net_return", "risk_penalty", "utility_flow", "turnover", "leverage",
 )
 
+PARTS = 32  # shares of a series' replications
+
 
 def newey_west(
     df: DataFrame, value: str, lags: int, by: Sequence[str], order: str, full_weight: bool = False
@@ -62,7 +64,8 @@ def block_bootstrap(
 ) -> DataFrame:
     """Circular block bootstrap of the mean: percentile interval and share of positive means.
 
-    Each series becomes one array; replications are rows.  Block starts come from a digest of (seed,
+    Each series becomes one array; replications are rows, dealt in ``PARTS`` shares so that the draws of a single
+    series run on many tasks while its array is sent once a share.  Block starts come from a digest of (seed,
     replication, block), so a rerun on another executor draws the same blocks.  Only series that are
     one value per month belong here.
     """
@@ -78,7 +81,9 @@ def block_bootstrap(
         text = F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), b.cast("string"))
         return F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint"), n)
 
-    reps = series.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replications))))
+    shares = series.withColumn("part", F.explode(F.sequence(F.lit(1), F.lit(min(PARTS, replications)))))
+    shares = shares.repartition(PARTS, *by, "part")
+    reps = shares.withColumn("rep", F.explode(F.sequence("part", F.lit(replications), F.lit(PARTS))))
     starts = F.transform(F.sequence(F.lit(0), blocks - 1), start)
     drawn = F.transform(
         starts,

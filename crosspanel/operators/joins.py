@@ -111,9 +111,15 @@ def extend_panel(df: DataFrame, new: DataFrame, on: Sequence[str]) -> DataFrame:
     return join_many_to_one(df, new, on)
 
 
-def changed_rows(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Rows of ``before`` that ``after`` does not hold, over the columns of ``before``."""
-    return before.exceptAll(after.select(*before.columns))
+def changed_rows(before: DataFrame, after: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Rows of ``before`` that ``after`` lacks or holds with another value; ``on`` is unique in both.
+
+    The two meet by key, so whole rows are compared but not sorted or hashed.
+    """
+    values = [c for c in before.columns if c not in on]
+    right = after.select(*on, F.struct(*values).alias("__after"))
+    rows = before.join(right, list(on), "left")
+    return rows.where(~F.struct(*values).eqNullSafe(F.col("__after"))).select(*before.columns)
 
 
 def compare_wide(

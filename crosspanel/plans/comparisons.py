@@ -371,15 +371,16 @@ def join_many_to_one(spark, sf_dir):
 @register(
     "extend_panel",
     "rows:bigint extended:bigint changed:bigint",
-    "SELECT count(*) AS rows, count(*) FILTER (WHERE in_mid) AS extended, CAST(0 AS BIGINT) AS changed FROM panel",
+    "SELECT count(*) AS rows, count(*) FILTER (WHERE in_mid) AS extended, count(*) FILTER (WHERE was IS DISTINCT FROM now) AS changed FROM (SELECT *, mktcap AS was, CASE WHEN entity % 13 = 0 AND month(eom) = 3 THEN mktcap + 1 ELSE mktcap END AS now FROM panel)",
     PANEL,
 )
 def extend_panel(spark, sf_dir):
-    """New columns by key; the old ones must come through untouched."""
+    """New columns by key; what came through otherwise is counted: market caps that are planted wrong every March."""
     rows = base.panel(spark, sf_dir)
     new = base.universe(spark, sf_dir).select("eom", "entity", "variance")
     wider = joins.extend_panel(rows, new, ["eom", "entity"])
-    changed = joins.changed_rows(rows, wider).agg(F.count(F.lit(1)).alias("changed"))
+    faulty = F.when((F.col("entity") % 13 == 0) & (F.month("eom") == 3), F.col("mktcap") + 1.0).otherwise(F.col("mktcap"))
+    changed = joins.changed_rows(rows, wider.withColumn("mktcap", faulty), ["eom", "entity"]).agg(F.count(F.lit(1)).alias("changed"))
     counts = wider.agg(F.count(F.lit(1)).alias("rows"), F.count("variance").alias("extended"))
     return counts.join(F.broadcast(changed))
 
