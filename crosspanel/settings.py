@@ -112,3 +112,25 @@ CONSERVATIVE_SCREENS = {"missing": 0.10, "std": 0.05, "persistence": 0.60, "max_
 RETURN_VALIDATION_MONTHS = 120
 RETURN_MIN_TRAIN = 24
 RETURN_MIN_VALIDATION = 12
+
+# Evidence gates on rank correlations of a feature table.  Fixed values.
+EVIDENCE_IMPROVEMENT = 0.20
+EVIDENCE_POSITIVE_SHARE = 0.60
+EVIDENCE_MAX_CHANGE = 0.35
+EVIDENCE_APR = 0.50
+EVIDENCE_STRONG = 0.50
+EVIDENCE_STRONG_SHARE = 0.80
+EVIDENCE_WEAK_SHARE = 0.50
+EVIDENCE_TEXTS = (
+    "strongly consistent", "moderately consistent", "weakly consistent", "mixed", "inconsistent",
+)
+
+# Outcomes of the importance report and the metrics they are differences of.  Fixed values.
+IMPORTANCE_OUTCOMES = {
+    "delta_utility": "annualized_ex_ante_utility_flow",
+    "delta_net_return": "annualized_net_return",
+    "delta_trading_cost": "annualized_trading_cost",
+    "delta_turnover": "average_turnover",
+    "delta_volatility": "annualized_volatility",
+    "delta_leverage": "average_leverage",
+}
