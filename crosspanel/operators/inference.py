@@ -60,14 +60,14 @@ def block_bootstrap(
     order: str,
     block: int = S.BOOTSTRAP_BLOCK,
     replications: int = S.BOOTSTRAP_REPLICATIONS,
-    seed: int = 0,
+    seed: int | str = 0,
 ) -> DataFrame:
     """Circular block bootstrap of the mean: percentile interval and share of positive means.
 
     Each series becomes one array; replications are rows, dealt in ``PARTS`` shares so that the draws of a single
     series run on many tasks while its array is sent once a share.  Block starts come from a digest of (seed,
     replication, block), so a rerun on another executor draws the same blocks.  Only series that are
-    one value per month belong here.
+    one value per month belong here.  ``seed`` is a number, or one of ``by`` that holds each series' own.
     """
     pair = F.when(F.col(value).isNotNull(), F.struct(F.col(order).alias("o"), F.col(value).alias("v")))
     series = df.groupBy(*by).agg(
@@ -78,7 +78,8 @@ def block_bootstrap(
     blocks = F.ceil(n / width).cast("int")
 
     def start(b: Column) -> Column:
-        text = F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), b.cast("string"))
+        own = F.col(seed).cast("string") if isinstance(seed, str) else F.lit(str(seed))
+        text = F.concat_ws("|", own, F.col("rep").cast("string"), b.cast("string"))
         return F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint"), n)
 
     shares = series.withColumn("part", F.explode(F.sequence(F.lit(1), F.lit(min(PARTS, replications)))))
@@ -123,11 +124,11 @@ def identity_error(differences: DataFrame) -> DataFrame:
 PAIR = ("candidate_method", "benchmark_method")
 
 
-def long_outcomes(differences: DataFrame, fields: Sequence[str] = OUTCOMES) -> DataFrame:
+def long_outcomes(differences: DataFrame, fields: Sequence[str] = OUTCOMES, extra: Sequence[str] = ()) -> DataFrame:
     items = F.array(
         *[F.struct(F.lit(f).alias("outcome"), F.col(f"delta_{f}").alias("delta")) for f in fields]
     )
-    return differences.select("eom", "test_year", *PAIR, F.inline(items))
+    return differences.select("eom", "test_year", *extra, *PAIR, F.inline(items))
 
 
 def annual_delta(differences: DataFrame) -> DataFrame:
@@ -221,6 +222,36 @@ def samples(df: DataFrame, excluded: dict[str, Sequence[int]]) -> DataFrame:
     return rows.where(~F.array_contains("__out", F.col("test_year"))).drop("__out")
 
 
+def sample_inference(
+    differences: DataFrame,
+    excluded: dict[str, Sequence[int]],
+    fields: Sequence[str] = ("utility_flow",),
+    lags: int = S.HAC_LAGS,
+    block: int = S.BOOTSTRAP_BLOCK,
+    replications: int = S.BOOTSTRAP_REPLICATIONS,
+    seed: int = 0,
+) -> DataFrame:
+    """Inference on each sample that leaves years out: mean, robust test, bootstrap, years won.
+
+    The months left are one series, in order: lags and blocks go on over a year that is cut out.  Sample i in the
+    order given draws with ``seed + i``.  A sample that keeps no month of a pair has no row for it.
+    """
+    items = F.create_map(*[F.lit(v) for i, name in enumerate(excluded) for v in (name, seed + i)])
+    rows = samples(differences, excluded).withColumn("seed", F.try_element_at(items, F.col("sample")))
+    keys = ["sample", "seed", *PAIR, "outcome"]
+    long = long_outcomes(rows, fields, ("sample", "seed"))
+    years = long.groupBy(*keys, "test_year").agg(F.sum("delta").alias("year"))
+    won = years.groupBy(*keys).agg(
+        F.percentile("year", F.lit(0.5)).alias("median_annual"), F.count_if(F.col("year") > 0).alias("years_won"),
+        F.count(F.lit(1)).alias("years_total"), F.sum("year").alias("cumulative"),
+    )
+    drawn = block_bootstrap(long, "delta", keys, "eom", block, replications, "seed")
+    out = newey_west(long, "delta", lags, keys, "eom").join(won, keys).join(drawn, keys)
+    return out.withColumns(
+        {"annualized_mean": F.lit(12.0) * F.col("mean"), **{c: F.lit(12.0) * F.col(c) for c in ("ci_lower", "ci_upper")}}
+    )
+
+
 def decomposition(left: DataFrame, right: DataFrame, values: Sequence[str]) -> DataFrame:
     """Year-by-year difference between two result sets and each year's share of the positive part."""
     rows = joins.compare_wide(left, right, ["method", "test_year"], ("a", "b"))

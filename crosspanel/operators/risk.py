@@ -241,12 +241,12 @@ def fallback_counts(returns: DataFrame, by: Sequence[str] = ("method",)) -> Data
     )
 
 
-def calibration_report(returns: DataFrame) -> DataFrame:
+def calibration_report(returns: DataFrame, by: Sequence[str] = ("method",)) -> DataFrame:
     """Year, full and summary rows with the quality gate, from one grouping-sets pass."""
-    method, year = F.col("method"), F.col("test_year")
+    keys, year = [F.col(c) for c in by], F.col("test_year")
     predicted = F.sqrt(F.lit(12.0) * F.avg("ex_ante_monthly_variance"))
     realized = F.sqrt(F.lit(12.0)) * F.stddev_samp("net_return")
-    rows = returns.groupingSets([[method, year], [method]], method, year).agg(
+    rows = returns.groupingSets([[*keys, year], keys], *keys, year).agg(
         F.grouping(year).alias("__full"),
         F.count(F.lit(1)).alias("n_months"),
         predicted.alias("predicted"),
@@ -259,7 +259,7 @@ def calibration_report(returns: DataFrame) -> DataFrame:
     ).withColumn("scope", F.when(F.col("__full") == 1, "full").otherwise("year"))
     years, full = rows.where("scope = 'year'"), rows.where("scope = 'full'")
     ratio = F.col("ratio")
-    spread = years.groupBy("method").agg(
+    spread = years.groupBy(*by).agg(
         F.percentile("ratio", F.lit(0.5)).alias("ratio_median"),
         F.percentile("ratio", F.lit(0.1)).alias("ratio_p10"),
         F.percentile("ratio", F.lit(0.9)).alias("ratio_p90"),
@@ -276,7 +276,7 @@ def calibration_report(returns: DataFrame) -> DataFrame:
         & (F.col("above_two") <= allowed)
         & (F.col("fallbacks") == 0)
     )
-    summary = full.drop("predicted", "realized", "ratio").join(F.broadcast(spread), "method").withColumns(
+    summary = full.drop("predicted", "realized", "ratio").join(F.broadcast(spread), list(by)).withColumns(
         {"scope": F.lit("summary"), "passed": F.coalesce(passed, F.lit(False))}
     ).drop("__years")
     return joins.union_frames(rows, summary).drop("__full")

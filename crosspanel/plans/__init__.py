@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("scans", "sinks", "ranking", "portfolio", "models", "signals", "comparisons", "riskplans", "policies", "factored", "learned", "returnmodels", "evidence", "checks")
+AREAS = ("scans", "sinks", "ranking", "portfolio", "models", "signals", "comparisons", "riskplans", "policies", "factored", "learned", "returnmodels", "evidence", "robustness", "checks")
 
 
 def load():
