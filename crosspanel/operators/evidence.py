@@ -222,7 +222,7 @@ def classify_evidence(
     mixed = ~yes(F.signum(a) == F.signum(b)) | yes(least < S.EVIDENCE_WEAK_SHARE)
     texts = [F.lit(t) for t in S.EVIDENCE_TEXTS]
     return rows.withColumns({
-        "decision": F.when(case, "Case A").otherwise("Case B"),
+        "decision": F.when(case, S.EVIDENCE_CASES[0]).otherwise(S.EVIDENCE_CASES[1]),
         "classification": F.when(case & strong, texts[0]).when(case, texts[1])
         .when(both & yes(least >= S.EVIDENCE_WEAK_SHARE) & F.col("coherence_pass"), texts[2])
         .when(mixed, texts[3]).otherwise(texts[4]),

@@ -124,6 +124,7 @@ EVIDENCE_WEAK_SHARE = 0.50
 EVIDENCE_TEXTS = (
     "strongly consistent", "moderately consistent", "weakly consistent", "mixed", "inconsistent",
 )
+EVIDENCE_CASES = ("Case A", "Case B")
 
 # Outcomes of the importance report and the metrics they are differences of.  Fixed values.
 IMPORTANCE_OUTCOMES = {
