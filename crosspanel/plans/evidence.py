@@ -155,7 +155,7 @@ shaped AS (SELECT p.*, t.target, sign(r.h1) = sign(p.h1) AS h1_agree FROM paths
 coherent AS (SELECT coalesce(max(CASE WHEN feature = '{TREND}' THEN sfm > 0 AND first_reversal = 13 AND target > 0 END), false) AS trend_coherent,
   coalesce(max(CASE WHEN feature = '{REVERSAL}' THEN first_decay = 2 AND NOT recovers AND apr_12 < 0.5 AND h1_agree AND target <= 0 END), false) AS reversal_coherent FROM shaped),
 earlier AS (SELECT round(corr(rx, ry), 10) AS prior FROM (SELECT rank() OVER (ORDER BY round(rho, 10)) + 0e0 AS rx, rank() OVER (ORDER BY target) + 0e0 AS ry FROM table_f JOIN targets t USING (feature) WHERE method = 'rank')),
-gated AS (SELECT *, first_primary >= prior + 0.2 AS improvement_pass, first_primary > 0 AND second_primary > 0 AND least(first_positive_share, second_positive_share) >= 0.6 AS consistency_pass, trend_coherent AND reversal_coherent AS coherence_pass FROM facts, coherent, earlier)"""
+gated AS (SELECT *, coalesce(first_primary >= prior + 0.2, false) AS improvement_pass, coalesce(first_primary > 0 AND second_primary > 0 AND least(first_positive_share, second_positive_share) >= 0.6, false) AS consistency_pass, trend_coherent AND reversal_coherent AS coherence_pass FROM facts, coherent, earlier)"""
 
 
 @register(
@@ -164,7 +164,7 @@ gated AS (SELECT *, first_primary >= prior + 0.2 AS improvement_pass, first_prim
     """SELECT *, CASE WHEN improvement_pass AND consistency_pass AND stability_pass AND coherence_pass THEN 'Case A' ELSE 'Case B' END AS decision,
     CASE WHEN improvement_pass AND consistency_pass AND stability_pass AND coherence_pass THEN CASE WHEN first_primary >= 0.5 AND second_primary >= 0.5 AND least(first_positive_share, second_positive_share) >= 0.8 THEN 'strongly consistent' ELSE 'moderately consistent' END
       WHEN first_primary > 0 AND second_primary > 0 AND least(first_positive_share, second_positive_share) >= 0.5 AND coherence_pass THEN 'weakly consistent'
-      WHEN sign(first_primary) <> sign(second_primary) OR least(first_positive_share, second_positive_share) < 0.5 THEN 'mixed' ELSE 'inconsistent' END AS classification FROM gated""",
+      WHEN NOT coalesce(sign(first_primary) = sign(second_primary), false) OR least(first_positive_share, second_positive_share) < 0.5 THEN 'mixed' ELSE 'inconsistent' END AS classification FROM gated""",
     GATES,
 )
 def evidence_class(spark, sf_dir):
