@@ -36,7 +36,7 @@ def scenario_returns(spark, sf_dir) -> DataFrame:
         )
         return ledger.evaluate(carried, evidence.SCENARIO, base.AUM)
 
-    return base.shared(spark, sf_dir, "scenario_returns", build)
+    return base.shared(spark, sf_dir, "importance_returns", build)
 
 
 def yearly(spark, sf_dir) -> DataFrame:

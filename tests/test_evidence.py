@@ -183,3 +183,14 @@ def test_importance_of_years(spark):
     assert f.top_1_share == pytest.approx(1.0) and f.crisis_share == pytest.approx(1.0) and f.largest_year == 2002
     assert g.top_1_share is None and g.crisis_share is None and g.years_positive == 0 and g.largest_value < 0
     assert table.where(F.col("scope") == "nothing").count() == 0
+
+
+def test_scenario_tables_do_not_share_a_name(spark, sf_dir):
+    """Both scenario tables in one session: each query reads the table of its own."""
+    from crosspanel.plans import evidence as plans, policies
+
+    points = policies.scenario_returns(spark, sf_dir)
+    ledgers = plans.scenario_returns(spark, sf_dir)
+    assert {"axis", "point"} <= set(points.columns) and "penalty" not in points.columns
+    assert {"penalty", "neutralized"} <= set(ledgers.columns)
+    assert plans.yearly(spark, sf_dir).where("scope = 'full'").count() == 4
