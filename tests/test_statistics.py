@@ -93,6 +93,16 @@ def test_bootstrap_agrees_with_theory(spark):
     assert whole["ci_lower"] == pytest.approx(values.mean()) == whole["ci_upper"]
 
 
+def test_rounding_of_a_sum_is_no_difference(spark):
+    rows = [("a", month(i), 2020, 1.0 + (i + 1) * 2.0**-50, 0.5 + i) for i in range(24)] + [("b", month(i), 2020, 1.0, 0.25) for i in range(24)]
+    df = spark.createDataFrame(rows, "method string, eom date, test_year int, leverage double, turnover double")
+    gaps = joins.method_pairs(df, [("a", "b")], ["leverage", "turnover"])
+    assert {r["delta_leverage"] for r in gaps.collect()} == {0.0}
+    assert sorted(r["delta_turnover"] for r in gaps.collect()) == [0.25 + i for i in range(24)]
+    drawn = inference.block_bootstrap(gaps, "delta_leverage", list(inference.PAIR), "eom", replications=20).first()
+    assert drawn["probability_positive"] == 0.0
+
+
 def test_drawdown_starts_at_the_first_wealth(spark):
     df = spark.createDataFrame([("p", month(i), r) for i, r in enumerate([-0.5, 0.2, -0.1])], "method string, eom date, net_return double")
     assert performance.max_drawdown(df, ["method"]).first()["max_drawdown"] == pytest.approx(-0.1)
