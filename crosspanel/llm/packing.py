@@ -3,7 +3,7 @@
 Documents are cut so that only their first piece may be shorter than a sequence.  The pieces are dealt
 evenly into groups of bounded size; a group is packed best fit first, and the bins that are left underfull
 are improved by moving one piece, exchanging one for one or two for one, whenever that raises the sum of
-squared fills, until bins empty or nothing helps.
+squared fills, until no pair of them can be improved or the group needs no fewer bins.
 """
 
 from __future__ import annotations
@@ -24,9 +24,6 @@ CAPACITY = 1024
 END = 2
 #: Pieces that one task packs together, about.
 GROUP_PIECES = 16384
-#: Underfull bins that local search works on at a time; the emptiest come first.
-OPEN_BINS = 256
-ROUNDS = 400
 
 PIECE = "piece int, start long, length long, ids_crc32 long"
 
@@ -119,30 +116,104 @@ def _improve(a: list[int], b: list[int], sizes: list[int], capacity: int) -> boo
     return True
 
 
-def local_search(bins: list[list[int]], sizes: list[int], capacity: int, most_open: int = OPEN_BINS) -> list[list[int]]:
-    """Bins after improving the underfull ones; ends when the lower bound is met or nothing helps."""
-    fill = lambda b: sum(sizes[i] for i in b)
+def _values(members: list[int], sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct sizes of a bin's pieces, and of its pairs of pieces."""
+    one, times = np.unique(np.array([sizes[i] for i in members], np.int64), return_counts=True)
+    rows, columns = np.triu_indices(len(one), 1)
+    return one, np.unique(np.concatenate([one[rows] + one[columns], 2 * one[times > 1]]))
+
+
+class _Offers:
+    """What every underfull bin can give: flat (value, bin) entries, one table for pieces and one for pairs.
+
+    Entries of a bin that has changed are set to zero, which no bin takes, and its new ones appended.
+    """
+
+    def __init__(self) -> None:
+        self.value, self.owner, self.used, self.span = np.zeros(1024, np.int64), np.zeros(1024, np.int64), 0, {}
+
+    def put(self, k: int, values: np.ndarray) -> None:
+        if k in self.span:
+            at, to = self.span.pop(k)
+            self.value[at:to] = 0
+        if not len(values):
+            return
+        if self.used + len(values) > len(self.value):
+            live = np.flatnonzero(self.value[: self.used])
+            value, owner = self.value[live], self.owner[live]
+            room = 2 * (len(live) + len(values)) + 1024
+            self.value, self.owner, self.used = np.zeros(room, np.int64), np.zeros(room, np.int64), len(live)
+            self.value[: len(live)], self.owner[: len(live)] = value, owner
+            cuts = np.flatnonzero(np.diff(owner)) + 1
+            starts = [0, *cuts.tolist()] if len(live) else []
+            self.span = {int(owner[x]): (x, y) for x, y in zip(starts, [*starts[1:], len(live)])}
+        at, to = self.used, self.used + len(values)
+        self.value[at:to], self.owner[at:to], self.used = values, k, to
+        self.span[k] = (at, to)
+
+    def best(self, taken: np.ndarray, room: int, capacity: int, least: np.ndarray, fills: np.ndarray):
+        """(fill of the giver, -shift, giver) of the emptiest bin that can give, or None.
+
+        ``taken`` are the sorted sizes that may go back; the shift is the largest that fits the room.
+        """
+        value = np.arange(capacity + 1)
+        at = np.searchsorted(taken, value - room)
+        back = np.append(taken, capacity + 1)[at]
+        shift = np.maximum(value - back, 0)[self.value[: self.used]]
+        owner = self.owner[: self.used]
+        found = np.flatnonzero(shift > least[owner])
+        if not len(found):
+            return None
+        pick = found[np.argmin(fills[owner[found]] * (capacity + 1) - shift[found])]
+        k = int(owner[pick])
+        return int(fills[k]), -int(shift[pick]), k
+
+
+def local_search(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
+    """Bins after improving the underfull ones; ends when the lower bound is met or no pair of bins can be improved.
+
+    Every ordered pair of underfull bins is looked at: with fills fa and fb, shifting d tokens from b to a changes
+    their squared sum by 2 d (fa - fb + d), so a shift counts that fits the room of a and exceeds max(0, fb - fa).  The
+    squared sum rises with every change, so the search ends; full bins can take no part in a change.
+    """
     least = -(-sum(sizes) // capacity)
-    for _ in range(ROUNDS):
-        bins = [b for b in bins if b]
-        if len(bins) <= least:
-            break
-        order = sorted((k for k in range(len(bins)) if fill(bins[k]) < capacity), key=lambda k: fill(bins[k]))[:most_open]
+    fills = np.array([sum(sizes[i] for i in b) for b in bins], np.int64)
+    count = int((fills > 0).sum())
+    values: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    pieces, pairs = _Offers(), _Offers()
+
+    def offer(k: int) -> None:
+        open_bin = 0 < fills[k] < capacity
+        values[k] = _values(bins[k] if open_bin else [], sizes)
+        pieces.put(k, values[k][0])
+        pairs.put(k, values[k][1])
+
+    for k in np.flatnonzero((fills > 0) & (fills < capacity)).tolist():
+        offer(k)
+    none = np.zeros(1, np.int64)
+    changed = True
+    while changed and count > least:
         changed = False
-        # The fuller of two bins takes from the emptier one.
-        for high in range(len(order) - 1, 0, -1):
-            for low in range(high):
-                a, b = bins[order[high]], bins[order[low]]
-                if not b or not a:
-                    continue
-                if fill(a) < fill(b):
-                    a, b = b, a
-                while b and _improve(a, b, sizes, capacity):
-                    changed = True
-                if fill(a) == capacity:
+        # The fuller bins take first, from the emptiest that can give.
+        for a in sorted((k for k in values if 0 < fills[k] < capacity), key=lambda k: -fills[k]):
+            while count > least and 0 < fills[a] < capacity:
+                room = int(capacity - fills[a])
+                need = np.maximum(fills - fills[a], 0)
+                need[a] = capacity + 1
+                one, two = values[a]
+                whole = np.unique(np.concatenate([none, one, two]))
+                single = pieces.best(whole, room, capacity, need, fills)
+                double = pairs.best(one, room, capacity, need, fills)
+                if single is None and double is None:
                     break
-        if not changed:
-            break
+                b = min(f for f in (single, double) if f is not None)[2]
+                _improve(bins[a], bins[b], sizes, capacity)
+                for k in (a, b):
+                    fills[k] = sum(sizes[i] for i in bins[k])
+                count -= not bins[b]
+                offer(a)
+                offer(b)
+                changed = True
     return [b for b in bins if b]
 
 

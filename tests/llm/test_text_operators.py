@@ -101,6 +101,20 @@ def test_local_search_empties_bins():
     assert packing._improve(moved[0], moved[1], [3, 4, 6], 10) and sorted(map(len, moved)) == [1, 2]
 
 
+def test_local_search_leaves_no_pair_of_bins_that_can_be_improved():
+    """More underfull bins than the 256 that were once looked at; the pieces that help lie in the fuller ones."""
+    rng = np.random.default_rng(8)
+    sizes = [int(n) for n in rng.integers(500, 620, 900)] + [int(n) for n in rng.integers(1, 40, 60)]
+    bins = packing.local_search([[i] for i in range(len(sizes))], sizes, 1024)
+    assert sorted(i for b in bins for i in b) == list(range(len(sizes)))
+    assert max(sum(sizes[i] for i in b) for b in bins) <= 1024
+    least = -(-sum(sizes) // 1024)
+    if len(bins) > least:
+        for a in range(len(bins)):
+            for b in range(len(bins)):
+                assert a == b or not packing._improve(list(bins[a]), list(bins[b]), sizes, 1024)
+
+
 def test_ftrl_learns_sparse_weights():
     rng = np.random.default_rng(0)
     rows = []
