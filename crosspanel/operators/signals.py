@@ -61,16 +61,22 @@ def feature_ic(
     by: Sequence[str] = ("eom",),
     minimum: int = S.MIN_CROSS_SECTION,
     group_rows: int | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """``monthly_ic`` of many features with one label, from wide rows: {feature name: column}.
 
     The features must hold no nulls (filled ranks do not), so every feature has the same valid rows:
-    the label is ranked once for all of them and rows are unpivoted only after the ordering.
+    the label is ranked once for all of them and rows are unpivoted only after the ordering.  ``rows`` is the
+    measured size of ``wide`` (keys eom and at most horizon): its groups are then dealt out evenly.
     """
-    by = list(by)
+    by = keys = list(by)
     valid = wide.where(F.col(y).isNotNull()).select(*by, y, *features.values())
+    if rows is not None and ranks.fits_one_task(group_rows):
+        number = ranks.month_number("eom")
+        number = number * S.HORIZONS + F.col("horizon") if "horizon" in by else number
+        valid, keys = ranks.deal(valid, by, rows, number)
     ranked = ranks.average_ranks(
-        valid, by, {y: "__ry", **{c: f"__r_{c}" for c in features.values()}}, group_rows
+        valid, keys, {y: "__ry", **{c: f"__r_{c}" for c in features.values()}}, group_rows
     )
     items = F.array(
         *[

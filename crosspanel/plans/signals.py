@@ -54,7 +54,7 @@ def monthly_ic(spark, sf_dir) -> DataFrame:
     return base.shared(
         spark, sf_dir, "monthly_ic",
         lambda: signals.feature_ic(
-            base.panel(spark, sf_dir), FILLED, LABEL, group_rows=base.bound(spark, sf_dir)
+            base.panel(spark, sf_dir), FILLED, LABEL, group_rows=base.bound(spark, sf_dir), rows=base.rows(spark, sf_dir)
         ),
     )
 
@@ -65,7 +65,8 @@ def horizon_stats(spark, sf_dir) -> DataFrame:
         wide = rows.select("entity", "eom", "month_index", *RANK_COLUMNS)
         matched = joins.horizon_join(rows, wide, S.HORIZONS)
         return signals.feature_ic(
-            matched, FILLED, LABEL, ["horizon", "eom"], group_rows=base.bound(spark, sf_dir)
+            matched, FILLED, LABEL, ["horizon", "eom"], group_rows=base.bound(spark, sf_dir),
+            rows=S.HORIZONS * base.rows(spark, sf_dir),
         )
 
     return base.shared(spark, sf_dir, "horizon_stats", build)

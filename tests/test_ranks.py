@@ -123,3 +123,16 @@ def test_a_hot_value_is_spread(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_a_task_of_large_months_holds_one(spark, sf_dir, monkeypatch):
+    """Months are dealt out in turn, not hashed or merged by their bytes; ranks and rows stay what they were."""
+    from crosspanel.sources import panel as source
+
+    few = source.build_panel(spark, sf_dir, ("tax",), universe=True)
+    want = {(r["entity"], r["eom"]): (r["rank_tax"], r["universe_rank"]) for r in few.collect()}
+    monkeypatch.setattr(ranks, "TASK_ROWS", 5)
+    many = source.build_panel(spark, sf_dir, ("tax",), universe=True)
+    held = many.groupBy(F.spark_partition_id().alias("task")).agg(F.count_distinct("eom").alias("months")).collect()
+    assert len(held) > 50 and {r["months"] for r in held} == {1}
+    assert {(r["entity"], r["eom"]): (r["rank_tax"], r["universe_rank"]) for r in many.collect()} == want
