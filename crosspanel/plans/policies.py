@@ -107,8 +107,9 @@ terms AS (
 GRID = f"{UNI},{TERMS},{scan_ctes('terms', 'method, candidate')},{pricing_ctes('(SELECT method, candidate, eom, entity, weight, variance FROM positions)', keys='method, candidate')}"
 
 
-def static_terms(rows: DataFrame) -> DataFrame:
-    """Scan terms of every static candidate, from one pass over the universe."""
+def static_terms(rows: DataFrame, size: int) -> DataFrame:
+    """Scan terms of every static candidate, from one pass over the universe (``size`` rows at most)."""
+    rows = ranks.by_entity(rows, size, len(STATIC) + len(STAR))
     mu, var, lam = F.col("mu"), F.col("variance"), F.col("lambda_adv")
     items = []
     for name, phi, s in STATIC:
@@ -124,7 +125,7 @@ def grid_returns(spark, sf_dir) -> DataFrame:
     return base.shared(
         spark, sf_dir, "grid_returns",
         lambda: ledger.grid_ledger(
-            static_terms(base.universe(spark, sf_dir)), base.stats(spark, sf_dir), GRID_KEYS, aum=AUM
+            static_terms(base.universe(spark, sf_dir), base.rows(spark, sf_dir)), base.stats(spark, sf_dir), GRID_KEYS, aum=AUM
         ),
     )
 
@@ -138,7 +139,7 @@ def grid_returns(spark, sf_dir) -> DataFrame:
 def static_policies(spark, sf_dir):
     """Inherited-weight positions of eight candidates, all months, as one scan per candidate and name."""
     return ledger.inherited_weights(
-        static_terms(base.universe(spark, sf_dir)), base.stats(spark, sf_dir), GRID_KEYS
+        static_terms(base.universe(spark, sf_dir), base.rows(spark, sf_dir)), base.stats(spark, sf_dir), GRID_KEYS
     )
 
 
@@ -154,14 +155,14 @@ def ledger_grid(spark, sf_dir):
 def resumed_ledger(spark, sf_dir):
     """The same ledger in two runs: the second starts from the saved state of the first."""
     rows = base.universe(spark, sf_dir)
-    bound = base.bound(spark, sf_dir)
+    bound, size = base.bound(spark, sf_dir), base.rows(spark, sf_dir)
     early, late = rows.where("eom <= date'1998-06-30'"), rows.where("eom > date'1998-06-30'")
     stats = ledger.month_stats(early, bound)
-    held = ledger.inherited_weights(static_terms(early), stats, GRID_KEYS).drop("t")
+    held = ledger.inherited_weights(static_terms(early, size), stats, GRID_KEYS).drop("t")
     state = ledger.last_state(held, stats, GRID_KEYS)
     first = ledger.ledger(held, stats, GRID_KEYS, aum=AUM)
     second = ledger.grid_ledger(
-        static_terms(late), ledger.month_stats(late, bound), GRID_KEYS, aum=AUM, state=state
+        static_terms(late, size), ledger.month_stats(late, bound), GRID_KEYS, aum=AUM, state=state
     )
     return first.unionByName(second)
 
@@ -242,7 +243,8 @@ SCENARIO_KEYS = ["axis", "point", "gamma", "aum", "method"]
 
 def scenario_returns(spark, sf_dir) -> DataFrame:
     def build():
-        rows = selection.scenarios(base.universe(spark, sf_dir), aum=AUM)
+        times = 2 * (len(S.GAMMA_GRID) + len(S.AUM_MULTIPLIERS))
+        rows = selection.scenarios(ranks.by_entity(base.universe(spark, sf_dir), base.rows(spark, sf_dir), times), aum=AUM)
         mu, var, lam = F.col("mu"), F.col("variance"), F.col("lambda_adv")
         a, b = policy.static_terms(mu, var, lam, F.col("gamma"), F.col("aum"), 6.0, 0.5)
         plain = mu / (F.col("gamma") * (var + F.lit(S.COVARIANCE_RIDGE)))

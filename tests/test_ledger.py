@@ -316,3 +316,18 @@ def test_grid_ledger_shuffles_twice(spark):
     plan = ledger.grid_ledger(terms, stats, ["method"], aum=50.0)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_policies_are_shuffled_before_they_multiply_rows(spark, sf_dir, monkeypatch):
+    """Scenarios, candidates and methods are made after the one shuffle by entity."""
+    from crosspanel.operators import ranks
+    from crosspanel.plans import base, policies
+
+    monkeypatch.setattr(ranks, "FOLD_ROWS", 1000)
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    for made in (policies.static_policies(spark, sf_dir), ledger.carry_positions(base.held(spark, sf_dir), base.stats(spark, sf_dir))):
+        text = plan(made)
+        assert "hashpartitioning(entity" in text and "hashpartitioning(method" not in text
