@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from crosspanel import settings as S
-from crosspanel.operators import inference, performance, ranks
+from crosspanel.operators import inference, joins, performance, ranks
 
 
 def correlation(a: str | Column, b: str | Column) -> Column:
@@ -67,16 +69,14 @@ def feature_ic(
 
     The features must hold no nulls (filled ranks do not), so every feature has the same valid rows:
     the label is ranked once for all of them and rows are unpivoted only after the ordering.  ``rows`` is the
-    measured size of ``wide`` (keys eom and at most horizon): its groups are then dealt out evenly.
+    measured size of ``wide`` (by month): its months are then dealt out evenly and nothing is unpivoted.
     """
-    by = keys = list(by)
+    by = list(by)
     valid = wide.where(F.col(y).isNotNull()).select(*by, y, *features.values())
-    if rows is not None and ranks.fits_one_task(group_rows):
-        number = ranks.month_number("eom")
-        number = number * S.HORIZONS + F.col("horizon") if "horizon" in by else number
-        valid, keys = ranks.deal(valid, by, rows, number)
+    if rows is not None and by == ["eom"] and ranks.fits_one_task(group_rows):
+        return _month_statistics(valid, features, [y], minimum, rows).drop("horizon")
     ranked = ranks.average_ranks(
-        valid, keys, {y: "__ry", **{c: f"__r_{c}" for c in features.values()}}, group_rows
+        valid, by, {y: "__ry", **{c: f"__r_{c}" for c in features.values()}}, group_rows
     )
     items = F.array(
         *[
@@ -88,6 +88,103 @@ def feature_ic(
     return _ic_statistics(long, ["feature", *by], "__x", y, minimum)
 
 
+def horizon_ic(
+    df: DataFrame,
+    features: Mapping[str, str],
+    y: str,
+    horizons: int = S.HORIZONS,
+    minimum: int = S.MIN_CROSS_SECTION,
+    group_rows: int | None = None,
+    rows: int | None = None,
+) -> DataFrame:
+    """``feature_ic`` by horizon and month: features at month t with the label at t+h-1, for h = 1..horizons.
+
+    Where the largest month fits a task a row carries its labels of all horizons, so it is shuffled by entity and by
+    month once each, and a feature is ordered once for all horizons.  Larger months are matched and ranked in buckets.
+    """
+    if rows is None or not ranks.fits_one_task(group_rows):
+        matched = joins.horizon_join(df, df.select("entity", "eom", "month_index", *features.values()), horizons, y)
+        return feature_ic(matched, features, y, ["horizon", "eom"], minimum, group_rows)
+    months = W.partitionBy("entity").orderBy("month_index")  # one row per month
+    labels = {f"__y{h}": F.max(y).over(months.rangeBetween(h - 1, h - 1)) for h in range(1, horizons + 1)}
+    wide = df.select("entity", "eom", "month_index", y, *features.values()).withColumns(labels)
+    return _month_statistics(wide.select("eom", *labels, *features.values()), features, list(labels), minimum, rows)
+
+
+def _month_statistics(
+    wide: DataFrame, features: Mapping[str, str], labels: Sequence[str], minimum: int, rows: int
+) -> DataFrame:
+    """The statistics of every feature with the label of each horizon; a horizon's rows are those with its label."""
+    schema = (
+        f"feature string, horizon int, eom {wide.schema['eom'].dataType.simpleString()}, n_valid bigint,"
+        " pearson_ic double, rank_ic double, fmb_intercept double, fmb_slope double"
+    )
+
+    def run(month: pa.Table) -> pa.Table:
+        return _one_month(month, features, labels, minimum)
+
+    dealt, keys = ranks.deal(wide, ["eom"], rows, ranks.month_number("eom"))
+    return dealt.groupBy(*keys).applyInArrow(run, schema)
+
+
+def _centred(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Differences from the mean, exactly zero where all are equal; and the mean."""
+    away = v - v[0]
+    mean = away.mean(axis=0)
+    return away - mean, v[0] + mean
+
+
+def _one_month(month: pa.Table, features: Mapping[str, str], labels: Sequence[str], minimum: int) -> pa.Table:
+    x = np.column_stack([month[c].to_numpy() for c in features.values()])
+    orders = [_runs(x[:, k]) for k in range(x.shape[1])]
+    out = []
+    for horizon, label in enumerate(labels, 1):
+        known = month[label].is_valid().to_numpy()
+        n = int(known.sum())
+        if n == 0:
+            continue
+        if n < minimum:
+            out += [(name, horizon, n, None, None, None, None) for name in features]
+            continue
+        y = month[label].to_numpy()
+        yc, y_mean = _centred(y[known])
+        xc, x_mean = _centred(x[known])
+        sxx, sxy, syy = (xc * xc).sum(axis=0), yc @ xc, float(yc @ yc)
+        # Average ranks around their mean; rows without the label count nothing.
+        ry = np.zeros(len(y))
+        order, starts = _runs(y[known])
+        ends = np.append(starts[1:], n)
+        place = np.empty(n)
+        place[order] = np.repeat((starts + ends - n) / 2.0, ends - starts)
+        ry[known] = place
+        spread = float(place @ place)
+        for k, (name, (order, starts)) in enumerate(zip(features, orders)):
+            held = np.add.reduceat(known[order], starts, dtype=np.int64)
+            upto = np.cumsum(held)
+            rx = (2 * upto - held - n) / 2.0
+            cross, own = float(rx @ np.add.reduceat(ry[order], starts)), float((rx * rx) @ held)
+            slope = sxy[k] / sxx[k] if sxx[k] > 0 else None
+            out.append((
+                name, horizon, n,
+                sxy[k] / np.sqrt(sxx[k] * syy) if sxx[k] * syy > 0 else None,
+                cross / np.sqrt(own * spread) if own * spread > 0 else None,
+                None if slope is None else y_mean - slope * x_mean[k], slope,
+            ))
+    kinds = [pa.string(), pa.int32(), pa.int64(), *[pa.float64()] * 4]
+    columns = [pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)]
+    day = pa.array([month["eom"][0].as_py()] * len(out), month["eom"].type)
+    names = ["feature", "horizon", "eom", "n_valid", "pearson_ic", "rank_ic", "fmb_intercept", "fmb_slope"]
+    return pa.Table.from_arrays([*columns[:2], day, *columns[2:]], names)
+
+
+def _runs(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ascending order of the values and where each run of equal ones begins in it; NaN are last and equal."""
+    order = np.argsort(v, kind="stable")
+    ordered = v[order]
+    new = (ordered[1:] != ordered[:-1]) & ~(np.isnan(ordered[1:]) & np.isnan(ordered[:-1]))
+    return order, np.flatnonzero(np.concatenate([[True], new]))
+
+
 def ic_summary(monthly: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Mean, median, deviation, months and monthly information ratio of a monthly statistic."""
     sd = F.stddev_samp(value)

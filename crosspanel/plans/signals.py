@@ -60,16 +60,12 @@ def monthly_ic(spark, sf_dir) -> DataFrame:
 
 
 def horizon_stats(spark, sf_dir) -> DataFrame:
-    def build():
-        rows = base.panel(spark, sf_dir)
-        wide = rows.select("entity", "eom", "month_index", *RANK_COLUMNS)
-        matched = joins.horizon_join(rows, wide, S.HORIZONS)
-        return signals.feature_ic(
-            matched, FILLED, LABEL, ["horizon", "eom"], group_rows=base.bound(spark, sf_dir),
-            rows=S.HORIZONS * base.rows(spark, sf_dir),
-        )
-
-    return base.shared(spark, sf_dir, "horizon_stats", build)
+    return base.shared(
+        spark, sf_dir, "horizon_stats",
+        lambda: signals.horizon_ic(
+            base.panel(spark, sf_dir), FILLED, LABEL, group_rows=base.bound(spark, sf_dir), rows=base.rows(spark, sf_dir)
+        ),
+    )
 
 
 def pairs(spark, sf_dir) -> DataFrame:
@@ -542,7 +538,8 @@ def feature_diagnostics(spark, sf_dir) -> DataFrame:
     def build():
         rows = long(spark, sf_dir)
         ic = signals.feature_ic(
-            base.panel(spark, sf_dir), FILLED, LABEL, minimum=2, group_rows=base.bound(spark, sf_dir)
+            base.panel(spark, sf_dir), FILLED, LABEL, minimum=2, group_rows=base.bound(spark, sf_dir),
+            rows=base.rows(spark, sf_dir),
         )
         wide = windows.lag_month(base.panel(spark, sf_dir), RANK_COLUMNS)
         items = F.array(

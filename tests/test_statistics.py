@@ -226,3 +226,31 @@ def test_horizons_are_multiplied_after_the_shuffle(spark):
     assert got == want and out.count() == len(want)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plan.index("Generate") < plan.index("Window")
+
+
+def test_horizon_statistics_without_multiplied_rows(spark):
+    """Every horizon from rows that carry their labels: shuffled by name and by month once, and equal to ranks of the matched rows."""
+    rng = np.random.default_rng(8)
+    data = [
+        (i, m, month(m), float(rng.integers(0, 9)) / 7 if (i + m) % 6 else None, float(rng.integers(0, 12)) / 11, 1 / 3, float(rng.random()))
+        for i in range(40) for m in range(14) if (i * m) % 7 != 3 and m != 9 and (m < 12 or i < 12)
+    ]
+    df = spark.createDataFrame(data, "entity long, month_index int, eom date, ret_exc_lead1m double, a double, flat double, c double")
+    features = {"a": "a", "flat": "flat", "c": "c"}
+    out = signals.horizon_ic(df, features, "ret_exc_lead1m", 4, group_rows=40, rows=len(data))
+    matched = joins.horizon_join(df, df.select("entity", "eom", "month_index", *features), 4)
+    key = ["feature", "horizon", "eom"]
+    want = {
+        (f, *r[:2]): r[2:]
+        for f in features
+        for r in signals.monthly_ic(matched, ["horizon", "eom"], f, "ret_exc_lead1m").collect()
+    }
+    got = {tuple(r[k] for k in key): tuple(r[c] for c in r.asDict() if c not in key) for r in out.collect()}
+    assert set(got) == set(want)
+    for k, values in want.items():
+        assert got[k] == pytest.approx(tuple(values), abs=1e-12, nan_ok=True), k
+    assert any(v[1] is None for k, v in got.items() if k[0] == "c") and all(v[1] is None for k, v in got.items() if k[0] == "flat")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and out.select("*")._jdf.queryExecution().executedPlan().toString().count("Exchange") == 2
+    one = {(r["feature"], r["eom"]): tuple(r)[2:] for r in signals.feature_ic(df, features, "ret_exc_lead1m", group_rows=40, rows=len(data)).collect()}
+    assert one == {(f, e): v for (f, h, e), v in got.items() if h == 1}
