@@ -376,10 +376,10 @@ def path_pivot(table: DataFrame, by: Sequence[str], value: str, horizons: int =
     return wide.select(*by, *raw, *signed)
 
 
-def rank_correlation(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
+def rank_correlation(df: DataFrame, by: Sequence[str], x: str, y: str, group_rows: int | None = None) -> DataFrame:
     """Pearson and Spearman correlation across the rows of small feature-level groups."""
     for c, out in ((x, "__rx"), (y, "__ry")):
-        df = ranks.average_rank(df, by, c, out)
+        df = ranks.average_rank(df, by, c, out, group_rows)
     measures = [
         F.count(F.lit(1)).alias("n"),
         correlation(x, y).alias("pearson"),
@@ -388,11 +388,11 @@ def rank_correlation(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFr
     return df.groupBy(*by).agg(*measures) if by else df.agg(*measures)
 
 
-def leave_one_out(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
+def leave_one_out(df: DataFrame, key: str, x: str, y: str, group_rows: int | None = None) -> DataFrame:
     """Spearman correlation with each row of a feature-level table left out in turn."""
     omitted = df.select(F.col(key).alias("omitted"))
     rows = df.join(omitted, F.col(key) != F.col("omitted"))
-    return rank_correlation(rows, ["omitted"], x, y)
+    return rank_correlation(rows, ["omitted"], x, y, group_rows)
 
 
 def median_split(df: DataFrame, by_value: str, values: Sequence[str]) -> DataFrame:

@@ -13,7 +13,7 @@ from crosspanel.plans.policies import POLICY_PENALTIES, SETS, STATISTICS, X2, be
 from crosspanel.plans.portfolio import metrics_sql
 from crosspanel.plans.registry import register
 from crosspanel.plans.signals import CROSS, _paths, feature_table, monthly_ic, path_sql
-from crosspanel.plans.sqltext import pricing_ctes, scan_ctes
+from crosspanel.plans.sqltext import FEATURES, pricing_ctes, scan_ctes
 
 CRISIS = (1997, 1998)
 OUTCOMES = S.IMPORTANCE_OUTCOMES
@@ -176,6 +176,6 @@ def evidence_class(spark, sf_dir):
         "h1_agree", F.signum("__h1") == F.signum("h1")
     )
     rho = feature_table(spark, sf_dir).select("feature", F.round("rho", 10).alias("rho")).join(target, "feature")
-    prior = signals.rank_correlation(rho, [], "rho", "target").select(F.round("spearman", 10).alias("prior"))
+    prior = signals.rank_correlation(rho, [], "rho", "target", len(FEATURES)).select(F.round("spearman", 10).alias("prior"))
     summary = evidence.influence_summary(jackknife(spark, sf_dir), ["method", "metric"], TREND)
     return evidence.classify_evidence(summary, features, prior, METHODS, PRIMARY, TREND, REVERSAL)

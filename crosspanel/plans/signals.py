@@ -445,7 +445,7 @@ def spearman_sql(source: str, by: str, x: str, y: str) -> str:
 
 @register("cross_feature_corr", "n pearson:8 spearman:8", spearman_sql("table_f", "", "rho", "strength"), CROSS)
 def cross_feature_corr(spark, sf_dir):
-    return signals.rank_correlation(feature_table(spark, sf_dir), [], "rho", "strength")
+    return signals.rank_correlation(feature_table(spark, sf_dir), [], "rho", "strength", len(FEATURES))
 
 
 @register(
@@ -455,7 +455,7 @@ def cross_feature_corr(spark, sf_dir):
     CROSS,
 )
 def leave_one_out(spark, sf_dir):
-    return signals.leave_one_out(feature_table(spark, sf_dir), "feature", "rho", "strength")
+    return signals.leave_one_out(feature_table(spark, sf_dir), "feature", "rho", "strength", len(FEATURES))
 
 
 @register(
@@ -489,7 +489,7 @@ def evidence_gate(spark, sf_dir):
     table = feature_table(spark, sf_dir)
     tests = [("strength", "rho", "strength"), ("sfm", "rho", "sfm"), ("strength", "sfm", "strength")]
     rows = [
-        signals.rank_correlation(table, [], x, y).select(F.lit(o).alias("outcome"), "spearman") for o, x, y in tests
+        signals.rank_correlation(table, [], x, y, len(FEATURES)).select(F.lit(o).alias("outcome"), "spearman") for o, x, y in tests
     ]
     return signals.evidence_gate(reduce(DataFrame.unionByName, rows))
 

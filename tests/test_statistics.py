@@ -254,3 +254,12 @@ def test_horizon_statistics_without_multiplied_rows(spark):
     assert "Generate" not in plan and out.select("*")._jdf.queryExecution().executedPlan().toString().count("Exchange") == 2
     one = {(r["feature"], r["eom"]): tuple(r)[2:] for r in signals.feature_ic(df, features, "ret_exc_lead1m", group_rows=40, rows=len(data)).collect()}
     assert one == {(f, e): v for (f, h, e), v in got.items() if h == 1}
+
+
+def test_feature_level_ranks_in_windows(spark):
+    """A table of a few features is ranked in windows, without buckets."""
+    df = spark.createDataFrame([(f, float(i % 4), float(i * i % 5)) for i, f in enumerate("abcdef")], "f string, x double, y double")
+    out = signals.leave_one_out(df, "f", "x", "y", group_rows=6)
+    want = {r["omitted"]: tuple(r)[1:] for r in signals.leave_one_out(df, "f", "x", "y").collect()}
+    assert {r["omitted"]: pytest.approx(tuple(r)[1:], abs=1e-12) for r in out.collect()} == want
+    assert "xxhash64" not in out._jdf.queryExecution().optimizedPlan().toString()
