@@ -9,7 +9,7 @@ from crosspanel.plans import base
 from crosspanel.plans.models import monthly_covariance
 from crosspanel.plans.policies import AUM, GRID_KEYS, GRID_OUT, STAR, STATIC, STATIC_METHODS
 from crosspanel.plans.registry import register
-from crosspanel.plans.riskplans import EXPOSE, TWO, exposures, idio
+from crosspanel.plans.riskplans import EXPOSE, TWO, factored_universe
 from crosspanel.plans.sqltext import growth_ctes, pricing_ctes
 
 CANDIDATES = [factored.Candidate(STATIC_METHODS[0], name, s, 1.0 / phi) for name, phi, s in STATIC] + [
@@ -52,10 +52,7 @@ def risk_rows(spark, sf_dir) -> DataFrame:
     """The universe with two loadings, the idiosyncratic and the total variance."""
 
     def build():
-        rows = risk.factor_risk(
-            base.universe(spark, sf_dir), exposures(spark, sf_dir), idio(spark, sf_dir), TWO,
-            group_rows=base.bound(spark, sf_dir),
-        )
+        rows = factored_universe(spark, sf_dir, TWO)
         return risk.entity_variance(rows, small_matrices(spark, sf_dir))
 
     return base.shared(spark, sf_dir, "two_factor_rows", build)

@@ -331,3 +331,16 @@ def test_policies_are_shuffled_before_they_multiply_rows(spark, sf_dir, monkeypa
     for made in (policies.static_policies(spark, sf_dir), ledger.carry_positions(base.held(spark, sf_dir), base.stats(spark, sf_dir))):
         text = plan(made)
         assert "hashpartitioning(entity" in text and "hashpartitioning(method" not in text
+
+
+def test_own_factor_risk_joins_nothing(spark):
+    """A panel that holds its exposures and variances gives the rows of the joined tables, without a shuffle of its names."""
+    rows = [(i, month(m), float(i * m) / 3, 1e-4 * (i + 1) if (i + m) % 4 else None) for i in range(12) for m in range(3)]
+    panel = spark.createDataFrame(rows, "entity long, eom date, f double, v double")
+    loads = panel.select("eom", "entity", (F.col("f") - 1).alias("x"))
+    want = risk.factor_risk(panel, loads, panel.select("eom", "entity", F.col("v").alias("idio_var")), ["x"], group_rows=12)
+    got = risk.own_factor_risk(panel, {"x": F.col("f") - 1}, F.col("v"), ["x"], group_rows=12)
+    order = ["entity", "eom"]
+    assert got.select(*want.columns).orderBy(*order).collect() == want.orderBy(*order).collect()
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Join") == 1  # the medians of the months
