@@ -226,6 +226,19 @@ def positions(
     ``years`` maps month numbers to test years; ``fitted`` holds the rows of ``fits`` (grid x years).  In a year
     without a fit a candidate holds nothing, and the next one starts from zero.
     """
+    rows = priced_positions(names, months, years, inputs, maps, moment, fitted).where("not dropped")
+    return rows.select("method", "candidate", "entity", "t", "aim_weight", "weight", "inherited")
+
+
+def priced_positions(
+    names: DataFrame, months: int, years: dict[int, int], inputs: int, maps: Sequence[FeatureMap], moment: list, fitted: Sequence,
+) -> DataFrame:
+    """``positions`` with what prices them (label, lambda_adv, variance), as the path of a name holds that.
+
+    A name that is not held in the next month has a ``dropped`` row there, with a null weight and the impact it is
+    left at.  So a ledger is a month sum: rows are neither joined nor shuffled by name once they are multiplied by the
+    candidates.
+    """
     plans: list[list[tuple[str, str, np.ndarray, dict[int, np.ndarray]]]] = []
     for m in maps:
         own = []
@@ -257,15 +270,38 @@ def positions(
                 for c, (method, name, *_) in enumerate(own):
                     used = ~np.isnan(aims[c, row, at])
                     r, t = row[used], at[used]
+                    here = np.zeros(block.held.shape, bool)
+                    here[r, t] = True
+                    gone, last = np.nonzero(here[:, :-1] & ~here[:, 1:])
+                    no = np.full(len(gone), np.nan)
+                    out = (
+                        np.append(aims[c, r, t], no), np.append(weights[c, r, t], no),
+                        np.append(priors[c, r, t], weights[c, gone, last] * block["lift"][gone, last]),
+                        np.append(block["label"][r, t], no),
+                        np.append(block["lambda_adv"][r, t], block["lambda_adv"][gone, last]),
+                        np.append(block["variance"][r, t], no),
+                    )
+                    many = len(r) + len(gone)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array([method] * len(r)), pa.array([name] * len(r)), block.entity.take(pa.array(r)),
-                            pa.array(t + 1, pa.int32()), *[pa.array(v[c, r, t]) for v in (aims, weights, priors)],
+                            pa.array([method] * many), pa.array([name] * many),
+                            block.entity.take(pa.array(np.append(r, gone))), pa.array(np.append(t + 1, last + 2), pa.int32()),
+                            *[pa.array(v, from_pandas=True) for v in out], pa.array(np.arange(many) >= len(r)),
                         ],
-                        ["method", "candidate", "entity", "t", "aim_weight", "weight", "inherited"],
+                        ["method", "candidate", "entity", "t", *values, "dropped"],
                     )
 
+    values = ("aim_weight", "weight", "inherited", "label", "lambda_adv", "variance")
     kind = names.schema["entity"].dataType.simpleString()
-    return names.mapInArrow(
-        run, f"method string, candidate string, entity {kind}, t int, aim_weight double, weight double, inherited double"
-    )
+    numbers = ", ".join(f"{v} double" for v in values)
+    return names.mapInArrow(run, f"method string, candidate string, entity {kind}, t int, {numbers}, dropped boolean")
+
+
+def carried(positions: DataFrame, stats: DataFrame) -> DataFrame:
+    """Positions with the columns that ``ledger.evaluate`` reads."""
+    timed = positions.join(F.broadcast(stats.select("eom", "t", "wealth_growth")), "t")
+    return timed.withColumns({
+        "ret_exc_lead1m": F.col("label"), "trade": F.col("weight") - F.col("inherited"),
+        "exit_lambda": F.when(F.col("dropped"), F.col("lambda_adv")),
+        "lambda_adv": F.when(~F.col("dropped"), F.col("lambda_adv")),
+    })

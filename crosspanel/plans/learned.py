@@ -64,26 +64,23 @@ def fitted(spark, sf_dir) -> DataFrame:
     )
 
 
-def held(spark, sf_dir) -> DataFrame:
-    def build():
-        years = months(spark, sf_dir)
-        rows = learned.positions(
-            names(spark, sf_dir), len(years), years, len(INPUTS), MAPS, moments(spark, sf_dir), fitted(spark, sf_dir).collect()
-        )
-        return rows.join(F.broadcast(base.stats(spark, sf_dir).select("eom", "t")), "t").drop("t")
+def carried(spark, sf_dir) -> DataFrame:
+    years = months(spark, sf_dir)
+    rows = learned.priced_positions(
+        names(spark, sf_dir), len(years), years, len(INPUTS), MAPS, moments(spark, sf_dir), fitted(spark, sf_dir).collect()
+    )
+    return learned.carried(rows, base.stats(spark, sf_dir))
 
-    return base.shared(spark, sf_dir, "learned_positions", build)
+
+def held(spark, sf_dir) -> DataFrame:
+    return carried(spark, sf_dir).where("not dropped")
 
 
 def returns(spark, sf_dir) -> DataFrame:
     """Monthly returns of all learned candidates."""
-
-    def build():
-        labels = base.universe(spark, sf_dir).select("eom", "entity", "ret_exc_lead1m", "lambda_adv", "variance")
-        rows = held(spark, sf_dir).select(*GRID_KEYS, "eom", "entity", "weight").join(labels, ["eom", "entity"])
-        return ledger.ledger(rows, base.stats(spark, sf_dir), GRID_KEYS, aum=AUM)
-
-    return base.shared(spark, sf_dir, "learned_returns", build)
+    return base.shared(
+        spark, sf_dir, "learned_returns", lambda: ledger.evaluate(carried(spark, sf_dir), GRID_KEYS, AUM)
+    )
 
 
 # The features of all maps, by place in their bank; frequencies are literals, as in the operator.

@@ -172,3 +172,30 @@ def test_learned_methods_are_chosen_by_utility_flow(spark):
     assert all(np.isclose(r.score, 0.03) and not r.future_information_used for r in chosen)
     static = selection.select_cumulative(table, ["portfolio_ml_rf"]).where("selected").collect()
     assert {r.candidate for r in static} == {"a"}
+
+
+def test_ledger_of_priced_positions_needs_no_shuffle_by_name(spark, made):
+    """Month sums of the rows as they come equal the ledger that joins and carries the positions."""
+    from crosspanel.operators import ledger
+
+    rows, growth, names, moment, fitted = made
+    stats = spark.createDataFrame(
+        [(month(t), t, growth[t], growth[t - 1] if t > 1 else 1.0, month(t + 1) if t < MONTHS else None, 1e-7, 1e-7) for t in range(1, MONTHS + 1)],
+        "eom date, t int, growth double, wealth_growth double, next_eom date, median_lambda double, next_median_lambda double",
+    )
+    args, keys = (names, MONTHS, years_of(), 3, MAPS, moment, fitted), ["method", "candidate"]
+    out = ledger.evaluate(learned.carried(learned.priced_positions(*args), stats), keys, AUM)
+    prices = spark.createDataFrame(
+        [(month(t), r[0], r[6], r[2], r[3]) for t, rs in rows.items() for r in rs],
+        "eom date, entity long, ret_exc_lead1m double, lambda_adv double, variance double",
+    )
+    held = learned.positions(*args).join(stats.select("eom", "t"), "t").select(*keys, "eom", "entity", "weight")
+    want = {(r.candidate, r.eom): r for r in ledger.ledger(held.join(prices, ["eom", "entity"]), stats, keys, aum=AUM).collect()}
+    got = {(r.candidate, r.eom): r for r in out.collect()}
+    assert set(got) == set(want) and sum(r.dropped_names for r in want.values()) > 0
+    for k, r in want.items():
+        for name in ("gross_return", "trading_cost", "exit_cost", "turnover", "leverage", "ex_ante_monthly_variance", "utility_flow", "n_names", "dropped_names", "wealth_growth"):
+            assert np.isclose(got[k][name], r[name], rtol=1e-10, atol=1e-14), (k, name)
+    above = out.select("*")._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+    shuffles = [line for line in above.splitlines() if "Exchange hashpartitioning" in line]
+    assert "Window" not in above and shuffles and not [line for line in shuffles if "entity" in line], shuffles
