@@ -5,12 +5,12 @@ similarity t share a word among the first ``n - ceil(t n) + 1`` of the longer an
 ``n - ceil(2 t / (1 + t) n) + 1`` of the shorter; the places of that word and the lengths bound the
 overlap, and 128 parity bits of each set bound the difference.  What passes is verified on the full sets.
 
-Lines with equal sets are one class, at the place of the first.  Prefix entries are shuffled once by word and
-swept there; a class leaves the sweep of a word with its earliest candidate only, however many there are, so
-no rows grow with the square of a group.  A sweep holds all entries of a word in one task; each is compared with
-those before it until it has two candidates, so lines that all match their first one cost two comparisons each,
-and lines of one word that don't match one another cost the square.  Only a class whose earliest candidates all
-fail on the full sets, and that has more, is joined with all of them.
+Lines with equal sets are one class, at the place of the first.  Prefix entries are shuffled once by word, packed
+in buckets of words, and swept there; a class leaves the sweep of a word with its earliest candidate, or where that
+one is in doubt with the next ones too, ``MOST`` in all, so no rows grow with the square of a group.  A sweep holds all entries of a word in one task; each is compared with
+those before it until it has one candidate more than it gives, so lines that all match their first one cost two
+comparisons each, and lines of one word that don't match one another cost the square.  Only a class whose earliest
+candidates all fail on the full sets, and that has more, is joined with all of them.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from crosspanel.llm import words as W
 from crosspanel.llm.base import released, written
-from crosspanel.llm.membership import bloom, hits, maybe_in
+from crosspanel.llm.membership import bloom, hits
 
 PERCENT = 80
 #: Lines with fewer distinct words are never compared, and stay; the SQL of op7 sets this bound.  One compares all.
@@ -31,9 +31,12 @@ MIN_WORDS = 1
 #: The table of word counts: 2 ** 24 hashed counters, one byte each (the logarithm) where it is broadcast.
 COUNTER_BITS, BLOCK_BITS = 24, 14
 LINES = "row long, doc_id long, line_no int, class long, size int, even long, odd long, prefix array<struct<word: long, pos: int>>"
-#: Entries that a sweep holds at least, and classes that an extracting task remembers.
+#: Entries of a bucket of words, about, and classes that an extracting task remembers.
 SWEEP_ROWS = 100_000
 SEEN = 50_000
+#: Candidates that a sweep gives for an entry at most, where the earlier ones are in doubt.
+MOST = 16
+ENTRY = {"doc_id": "i8", "line_no": "i4", "class": "i8", "size": "i4", "even": "i8", "odd": "i8", "word": "i8", "pos": "i4"}
 FIRST = -(1 << 63)  # stands for a null id, which sorts first
 
 
@@ -54,7 +57,7 @@ def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             hashes, _ = W.words(data, offsets)
             held.append((hashes >> np.uint64(64 - COUNTER_BITS)).astype(np.uint32))
             size += len(hashes)
-            if size > 400_000:
+            if size > 2_000_000:
                 totals, held, size = merged(), [], 0
     keys, counts = merged()
     if len(keys):
@@ -198,73 +201,177 @@ def _candidate(a, b, percent: int) -> np.ndarray:
     return good
 
 
-def sweep(rows: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(class, its earliest earlier candidate under the word, 1 or 2 for more) of whole words, in any order of rows."""
-    order = np.lexsort((rows["class"], rows["line_no"], rows["doc_id"]))
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    order = np.lexsort((place, rows["class"], rows["word"]))
-    first = np.ones(len(order), bool)
-    first[1:] = (rows["word"][order[1:]] != rows["word"][order[:-1]]) | (rows["class"][order[1:]] != rows["class"][order[:-1]])
-    order = order[first]
-    order = order[np.lexsort((place[order], rows["word"][order]))]
+def _doubtful(a, b, percent: int) -> np.ndarray:
+    """Whether a candidate may well fail: its bits leave little room for the words that flip one bit back."""
+    total = a["size"] + b["size"]
+    differ = sum(np.bitwise_count((a[k] ^ b[k]).view(np.uint64)).astype(np.int64) for k in ("even", "odd"))
+    return differ + differ * differ // 128 + 2 > total - 2 * (-(-percent * total // (100 + percent)))
+
+
+def _ordered(rows: dict[str, np.ndarray]) -> np.ndarray:
+    """Places of the rows by word, then doc_id, line and class; of a word's rows of one class the first only."""
+    doc, line, word = rows["doc_id"], rows["line_no"], rows["word"]
+    low = int(doc.min()) if len(doc) else 0
+    if len(doc) and int(doc.max()) - low < 1 << 31 and 0 <= int(line.min()) and int(line.max()) < 1 << 31:
+        place = (doc - low) << 31 | line
+        order = np.argsort(place)
+        kind = rows["class"][order]
+        clear = not ((place[order[1:]] == place[order[:-1]]) & (kind[1:] != kind[:-1])).any()
+    else:
+        clear = False
+    if not clear:
+        order = np.lexsort((rows["class"], line, doc))
+    order = order[np.argsort(word[order], kind="stable")]
+    # Rows of one class under a word are side by side after a sort by both, the earliest first.
+    both = W.mix(W.mix(word[order].view(np.uint64)) + rows["class"][order].view(np.uint64))
+    by = np.argsort(both, kind="stable")
+    same = np.zeros(len(order), bool)
+    same[by[1:]] = (both[by[1:]] == both[by[:-1]]) & (rows["class"][order[by[1:]]] == rows["class"][order[by[:-1]]])
+    return order[~same]
+
+
+def _swept(rows: dict[str, np.ndarray], percent: int, most: int):
+    """(rows in order, y, x, count, given) of whole words, in any order of rows.
+
+    ``y`` and ``x`` are places in the ordered rows: an entry and an earlier candidate under its word, the earliest
+    first, up to one that is not in doubt or to ``most``.  ``given`` is how many an entry has there, ``count`` is
+    larger by one if it has more.
+    """
+    order = _ordered(rows)
     r = {k: v[order] for k, v in rows.items()}
     n = len(order)
     start = np.maximum.accumulate(np.where(np.r_[True, r["word"][1:] != r["word"][:-1]], np.arange(n), 0)) if n else np.arange(0)
-    best, count = np.full(n, -1), np.zeros(n, np.int64)
-    names = ("size", "pos", "even", "odd")
-    # Every entry meets those before it, the earliest first, until it has two candidates.
-    left, k = np.arange(n), 0
-    while len(left := left[(start[left] + k < left) & (count[left] < 2)]):
-        x = start[left] + k
-        good = _candidate({c: r[c][x] for c in names}, {c: r[c][left] for c in names}, percent)
-        found, x = left[good], x[good]
-        best[found] = np.where(count[found], best[found], x)
-        count[found] += 1
+    count, given = np.zeros(n, np.int64), np.full(n, most)
+    names, size = ("size", "pos", "even", "odd"), np.append(r["size"], np.zeros(8, np.int64))
+    found_y, found_x = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    # Every entry meets those before it, the earliest first, until it has one candidate more than it gives.
+    # Those still left, sorted out every few rounds, stand beside the first of their word and the sizes they may match.
+    left = np.flatnonzero(start < np.arange(n))
+    base, least, largest = start[left], -(-percent * size[left] // 100), 100 * size[left] // percent
+    k = 0
+    while len(left):
+        x = base + k
+        other = size[x]
+        near = np.flatnonzero((other >= least) & (other <= largest) & (x < left))
+        y, x = left[near], x[near]
+        good = _candidate({c: r[c][x] for c in names}, {c: r[c][y] for c in names}, percent)
+        near, y, x = near[good], y[good], x[good]
+        new = count[y] < given[y]
+        count[y] += 1
+        largest[near[count[y] > given[y]]] = -1
+        near, y, x = near[new], y[new], x[new]
+        found_y.append(y)
+        found_x.append(x)
+        sure = ~_doubtful({c: r[c][x] for c in names}, {c: r[c][y] for c in names}, percent)
+        given[y[sure]] = count[y[sure]]
         k += 1
-    found = np.flatnonzero(count)
-    return r["class"][found], r["class"][best[found]], count[found]
+        if k < 8 or k % 8 == 0:
+            still = np.flatnonzero((base + k < left) & (largest >= 0))
+            left, base, least, largest = left[still], base[still], least[still], largest[still]
+    return r, np.concatenate(found_y), np.concatenate(found_x), count, given
 
 
-def sweep_batches(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """(y, x, n) from entries sorted by word."""
-    names = ("word", "doc_id", "line_no", "class", "size", "pos", "even", "odd")
+def sweep(rows: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(class, its earliest earlier candidate under the word, 1 or 2 for more) of whole words, in any order of rows."""
+    r, y, x, count, _ = _swept(rows, percent, 1)
+    return r["class"][y], r["class"][x], count[y]
+
+
+def place_keys(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """A number for the place of a line."""
+    return W.mix(W.mix(doc.astype(np.int64).view(np.uint64)) + line.astype(np.uint64)).view(np.int64)
+
+
+def entry_columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    """The prefix entries of lines as columns."""
+    prefix = batch.column("prefix")
+    entry, line = prefix.flatten(), np.repeat(np.arange(len(prefix)), np.asarray(prefix.value_lengths()))
+    columns = {k: np.asarray(batch.column(k))[line] for k in ENTRY if k not in ("word", "pos")}
+    return columns | {k: np.asarray(entry.field(k)) for k in ("word", "pos")}
+
+
+def bucket_batches(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """(bucket, entries): the prefix entries of lines by the bucket of their word, packed column after column."""
     held: list[dict[str, np.ndarray]] = []
 
-    def joined() -> dict[str, np.ndarray]:
-        return {k: np.concatenate([h[k] for h in held]) for k in names}
+    def packed() -> pa.RecordBatch:
+        rows = {k: np.concatenate([h[k] for h in held]) for k in ENTRY}
+        bucket = (rows["word"].view(np.uint64) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        bucket, rows = bucket[order], {k: rows[k][order].astype(t) for k, t in ENTRY.items()}
+        cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(bucket) else np.zeros(1, int)
+        data = [b"".join(rows[k][a:b].tobytes() for k in ENTRY) for a, b in zip(cuts, cuts[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), pa.array(data, pa.binary())], ["bucket", "entries"])
 
-    def given(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in sweep(rows, percent)], ["y", "x", "n"])
+    for batch in released(batches):
+        held.append(entry_columns(batch))
+        if sum(len(h["word"]) for h in held) >= 2 * SWEEP_ROWS:
+            yield packed()
+            held.clear()
+    if held:
+        yield packed()
 
+
+def unpacked(data: list[bytes]) -> dict[str, np.ndarray]:
+    """The entries of a bucket as columns."""
+    width = sum(np.dtype(t).itemsize for t in ENTRY.values())
+    out, at = {}, 0
+    for k, t in ENTRY.items():
+        parts = [np.frombuffer(d, t, len(d) // width, at * (len(d) // width)) for d in data]
+        out[k] = np.concatenate(parts).astype(np.int64)
+        at += np.dtype(t).itemsize
+    return out
+
+
+def sweep_batches(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """(y, its place, x, its place, whether y has more candidates under the word) from packed entries sorted by bucket."""
+    def given(data: list[bytes]) -> pa.RecordBatch:
+        r, y, x, count, most = _swept(unpacked(data), percent, MOST)
+        keys = place_keys(r["doc_id"], r["line_no"])
+        columns = r["class"][y], keys[y], r["class"][x], keys[x], (count > most)[y]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["y", "y_at", "x", "x_at", "more"])
+
+    held: list[bytes] = []
+    last = None
     for batch in released(batches):
-        if batch.num_rows:
-            held.append({k: np.asarray(batch.column(k)).astype(np.int64) for k in names})
-        if sum(len(h["word"]) for h in held) >= SWEEP_ROWS:
-            rows = joined()
-            cut = int(np.searchsorted(rows["word"], rows["word"][-1]))
-            if cut:
-                yield given({k: v[:cut] for k, v in rows.items()})
-            held = [{k: v[cut:] for k, v in rows.items()}]
+        for bucket, data in zip(batch.column("bucket").to_pylist(), batch.column("entries").to_pylist()):
+            if held and bucket != last:
+                yield given(held)
+                held = []
+            held.append(data)
+            last = bucket
     if held:
-        yield given(joined())
+        yield given(held)
+
+
+def wanted_lines(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the lines whose place may be wanted, and their offsets; ``ids`` are the rows' doc_ids."""
+    breaks = np.flatnonzero(data == 0x0A)
+    counts = np.bincount(np.searchsorted(offsets, breaks, "right") - 1, minlength=len(ids)) + 1
+    row = np.repeat(np.arange(len(ids)), counts)
+    number = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+    at = np.flatnonzero(hits(wanted, place_keys(ids[row], number)))
+    starts = np.sort(np.concatenate([offsets[:-1], breaks + 1]))[at]
+    lengths = np.sort(np.concatenate([offsets[1:], breaks]))[at] - starts
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    return data[np.arange(ends[-1]) + np.repeat(starts - ends[:-1], lengths)], ends
 
 
 def set_batches(batches: Iterator[pa.RecordBatch], wanted: np.ndarray, least: int) -> Iterator[pa.RecordBatch]:
-    """(class, words) of the lines whose class may be wanted, once for each class a task remembers."""
+    """(class, words) of the lines whose place may be wanted, once for each class a task remembers."""
     seen: set[int] = set()
     for batch in released(batches):
-        for _, _, data, offsets in W.text_slices(batch.column("text")):
-            hashes, cuts, _, _ = line_sets(data, offsets, None)
+        ids = np.asarray(batch.column("doc_id").fill_null(FIRST))
+        for first, end, data, offsets in W.text_slices(batch.column("text")):
+            hashes, cuts, _, _ = line_sets(*wanted_lines(data, offsets, ids[first:end], wanted), None)
             sizes = np.diff(np.append(cuts, len(hashes)))
             if not len(cuts):
                 continue
             one = np.add.reduceat(W.mix(hashes + np.uint64(0x77)), cuts).view(np.int64)
-            maybe = np.flatnonzero(hits(wanted, one) & (sizes >= least))
             if len(seen) > SEEN:
                 seen.clear()
             own = []
-            for i, key in zip(maybe.tolist(), one[maybe].tolist()):
+            for i, key in zip(np.flatnonzero(sizes >= least).tolist(), one[sizes >= least].tolist()):
                 if key not in seen:
                     seen.add(key)
                     own.append(i)
@@ -275,6 +382,22 @@ def set_batches(batches: Iterator[pa.RecordBatch], wanted: np.ndarray, least: in
             yield pa.RecordBatch.from_arrays([pa.array(one[own]), sets], ["class", "words"])
 
 
+def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(y, its place, x, its place) from places as structs."""
+    for batch in batches:
+        at = [place_keys(*[np.asarray(f) for f in batch.column(c).flatten()]) for c in ("yp", "xp")]
+        columns = batch.column("y"), pa.array(at[0]), batch.column("x"), pa.array(at[1])
+        yield pa.RecordBatch.from_arrays(list(columns), ["y", "y_at", "x", "x_at"])
+
+
+def entry_batches(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The prefix entries of lines whose word may be wanted."""
+    for batch in released(batches):
+        rows = entry_columns(batch)
+        hit = hits(wanted, rows["word"])
+        yield pa.RecordBatch.from_arrays([pa.array(rows[k][hit]) for k in ENTRY], list(ENTRY))
+
+
 def _passes(y: dict[str, Column], x: dict[str, Column], percent: int) -> Column:
     """The filters of ``_candidate`` as a join condition, for ``x`` earlier than ``y``."""
     total = x["size"] + y["size"]
@@ -301,13 +424,16 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, least: int = MIN_WORD
     lines = written(docs.select("row", "doc_id", "text").mapInArrow(
         lambda b: line_batches(b, codes, percent, least), LINES
     ), "lines")
-    entries = lines.where(F.size("prefix") > 0).select(
-        "doc_id", "line_no", "class", "size", "even", "odd", F.inline("prefix")
-    )
-    found = entries.repartition("word").sortWithinPartitions("word").mapInArrow(
-        lambda b: sweep_batches(b, percent), "y long, x long, n long"
-    )
-    pairs = written(found.groupBy("y", "x").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")), "pairs")
+    of_line = [k for k in ENTRY if k not in ("word", "pos")]
+    listed = lines.where(F.size("prefix") > 0).select(*of_line, "prefix")
+    n, total = lines.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    buckets = (n + total * (100 - percent) // 100) // SWEEP_ROWS + 1
+    found = listed.mapInArrow(lambda b: bucket_batches(b, buckets), "bucket int, entries binary").repartition(
+        "bucket"
+    ).sortWithinPartitions("bucket").mapInArrow(
+        lambda b: sweep_batches(b, percent), "y long, y_at long, x long, x_at long, more boolean"
+    )
+    pairs = written(found.groupBy("y", "y_at", "x", "x_at").agg(F.max("more").alias("more")), "pairs")
     places = lines.groupBy("class").agg(
         F.min(F.struct("doc_id", "line_no")).alias("place"), F.count(F.lit(1)).alias("n")
     )
@@ -315,8 +441,8 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, least: int = MIN_WORD
 
     def verified(tried: DataFrame) -> DataFrame:
         """Classes ``y`` of pairs that the full sets confirm."""
-        needed = bloom(tried.select(F.col("y").alias("class")).union(tried.select(F.col("x"))), "class")
-        sets = written(docs.select("text").mapInArrow(
+        needed = bloom(tried.select(F.col("y_at").alias("at")).union(tried.select("x_at")), "at")
+        sets = written(docs.select("doc_id", "text").mapInArrow(
             lambda b: set_batches(b, needed, least), "class long, words array<long>"
         ).dropDuplicates(["class"]), "sets")
         both = tried.join(sets.select(F.col("class").alias("y"), F.col("words").alias("yw")), "y").join(
@@ -326,20 +452,24 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, least: int = MIN_WORD
         return both.where(100 * shared >= percent * (F.size("yw") + F.size("xw") - shared)).select("y").distinct()
 
     matched = written(verified(pairs), "matched")
-    more = pairs.groupBy("y").agg(F.sum(F.col("n") - F.col("words")).alias("more")).where("more > 0")
-    open_ = written(more.join(matched, "y", "left_anti").select(F.col("y").alias("class")), "open")
+    more = pairs.where("more").select(F.col("y").alias("class")).distinct()
+    open_ = written(more.join(matched.select(F.col("y").alias("class")), "class", "left_anti"), "open")
     if open_.head(1):
         names = ("doc_id", "line_no", "class", "size", "pos", "even", "odd")
         # Tasks give a class's entries at the place where each met it; its own place is the first.
-        one = entries.join(open_, "class", "left_semi").groupBy("word", "class", "size", "pos", "even", "odd")
-        ys = one.agg(F.min(F.struct("doc_id", "line_no")).alias("p")).select("*", "p.*").drop("p")
-        ys = written(ys, "entries")
-        xs = maybe_in(entries, "word", bloom(ys, "word"))
+        one = listed.join(open_, "class", "left_semi").select(*of_line, F.inline("prefix"))
+        ys = one.groupBy("word", "class", "size", "pos", "even", "odd").agg(F.min(F.struct("doc_id", "line_no")).alias("p"))
+        ys = written(ys.select("*", "p.*").drop("p"), "entries")
+        words = bloom(ys, "word")
+        xs = listed.mapInArrow(lambda b: entry_batches(b, words), listed.select(*of_line, F.inline("prefix")).schema)
         sides = [e.select("word", F.struct(*names).alias(side)) for e, side in ((ys, "y"), (xs, "x"))]
         y, x = ({k: F.col(f"{side}.{k}") for k in names} for side in "yx")
-        rest = sides[0].join(sides[1], "word").where(_passes(y, x, percent))
-        rest = rest.select(F.col("y.class").alias("y"), F.col("x.class").alias("x")).distinct()
-        matched = matched.union(verified(written(rest.join(pairs, ["y", "x"], "left_anti"), "rest"))).distinct()
+        place = lambda side: F.min(F.struct(side["doc_id"], side["line_no"]))
+        rest = sides[0].join(sides[1], "word").where(_passes(y, x, percent)).groupBy(
+            F.col("y.class").alias("y"), F.col("x.class").alias("x")
+        ).agg(place(y).alias("yp"), place(x).alias("xp"))
+        rest = rest.join(pairs, ["y", "x"], "left_anti").mapInArrow(keyed, "y long, y_at long, x long, x_at long")
+        matched = matched.union(verified(written(rest, "rest"))).distinct()
     flags = matched.select(F.col("y").alias("class")).withColumn("matched", F.lit(True))
     gone = classes.join(flags, "class", "left").where("n > 1 OR matched").select("class", "place", "matched")
     later = (F.col("doc_id") != F.col("place.doc_id")) | (F.col("line_no") != F.col("place.line_no"))

@@ -270,6 +270,28 @@ def test_sweep_finds_the_earliest():
         assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()} and (n < 300 or want)
 
 
+def test_lines_in_doubt_are_settled_by_the_sweep(spark, monkeypatch):
+    """Two earlier candidates that fail, then one that holds: the line isn't joined with all entries of its words."""
+    tags, real = [], linededup.written
+    monkeypatch.setattr(linededup, "written", lambda df, tag: tags.append(tag) or real(df, tag))
+    rare = [f"r{i}" for i in range(5)]
+    one, two, three = ([f"{k}{i}" for i in range(395)] for k in "abc")
+    texts = [" ".join(rare + w) for w in (one, two, three, three[:380] + [f"y{i}" for i in range(15)])]
+    texts.append("\n".join(w for w in one + two + three + texts[3].split()[-15:] for _ in range(10)))
+    got = {r.doc.doc_id: r.text for r in linededup.dedup_lines(documents(spark, texts)).collect()}
+    assert got == dict(enumerate(brute_lines(texts, 80, 1))) and got[3] == "" and got[2] == texts[2]
+    assert "pairs" in tags and "entries" not in tags
+
+
+def test_wanted_lines():
+    texts = pa.array(["a b\nc\n\nd e", None, "", "\n", "f\ng"])
+    ids, every = np.array([5, 6, 7, 8, -9]), np.full(1 << 12, 255, np.uint8)
+    data, offsets = linededup.W.utf8(texts)
+    lines = lambda table: [bytes(d[a:b]) for d, o in [linededup.wanted_lines(data, offsets, ids, table)] for a, b in zip(o, o[1:])]
+    assert lines(every) == [b"a b", b"c", b"", b"d e", b"", b"", b"", b"", b"f", b"g"]
+    assert lines(every * 0) == []
+
+
 def test_prefix_lengths():
     for n in range(1, 200):
         assert linededup.probe_length(n, 80) == n - -(-80 * n // 100) + 1
