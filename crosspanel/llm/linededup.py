@@ -282,12 +282,15 @@ def place_keys(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
     return W.mix(W.mix(doc.astype(np.int64).view(np.uint64)) + line.astype(np.uint64)).view(np.int64)
 
 
-def entry_columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
-    """The prefix entries of lines as columns."""
+def entry_columns(batch: pa.RecordBatch, wanted: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """The prefix entries of lines as columns; with ``wanted`` those whose word may be there."""
     prefix = batch.column("prefix")
     entry, line = prefix.flatten(), np.repeat(np.arange(len(prefix)), np.asarray(prefix.value_lengths()))
-    columns = {k: np.asarray(batch.column(k))[line] for k in ENTRY if k not in ("word", "pos")}
-    return columns | {k: np.asarray(entry.field(k)) for k in ("word", "pos")}
+    columns = {k: np.asarray(entry.field(k)) for k in ("word", "pos")}
+    if wanted is not None:
+        hit = np.flatnonzero(hits(wanted, columns["word"]))
+        line, columns = line[hit], {k: v[hit] for k, v in columns.items()}
+    return {k: np.asarray(batch.column(k))[line] for k in ENTRY if k not in columns} | columns
 
 
 def bucket_batches(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -393,9 +396,8 @@ def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def entry_batches(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The prefix entries of lines whose word may be wanted."""
     for batch in released(batches):
-        rows = entry_columns(batch)
-        hit = hits(wanted, rows["word"])
-        yield pa.RecordBatch.from_arrays([pa.array(rows[k][hit]) for k in ENTRY], list(ENTRY))
+        rows = entry_columns(batch, wanted)
+        yield pa.RecordBatch.from_arrays([pa.array(rows[k]) for k in ENTRY], list(ENTRY))
 
 
 def _passes(y: dict[str, Column], x: dict[str, Column], percent: int) -> Column:
@@ -434,11 +436,6 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, least: int = MIN_WORD
         lambda b: sweep_batches(b, percent), "y long, y_at long, x long, x_at long, more boolean"
     )
     pairs = written(found.groupBy("y", "y_at", "x", "x_at").agg(F.max("more").alias("more")), "pairs")
-    places = lines.groupBy("class").agg(
-        F.min(F.struct("doc_id", "line_no")).alias("place"), F.count(F.lit(1)).alias("n")
-    )
-    classes = written(places, "classes")
-
     def verified(tried: DataFrame) -> DataFrame:
         """Classes ``y`` of pairs that the full sets confirm."""
         needed = bloom(tried.select(F.col("y_at").alias("at")).union(tried.select("x_at")), "at")
@@ -471,6 +468,9 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, least: int = MIN_WORD
         rest = rest.join(pairs, ["y", "x"], "left_anti").mapInArrow(keyed, "y long, y_at long, x long, x_at long")
         matched = matched.union(verified(written(rest, "rest"))).distinct()
     flags = matched.select(F.col("y").alias("class")).withColumn("matched", F.lit(True))
+    classes = lines.groupBy("class").agg(
+        F.min(F.struct("doc_id", "line_no")).alias("place"), F.count(F.lit(1)).alias("n")
+    )
     gone = classes.join(flags, "class", "left").where("n > 1 OR matched").select("class", "place", "matched")
     later = (F.col("doc_id") != F.col("place.doc_id")) | (F.col("line_no") != F.col("place.line_no"))
     return lines.drop("prefix").join(gone, "class").where(F.coalesce("matched", F.lit(False)) | later).select("row", "line_no")
@@ -485,7 +485,7 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT, least: int = MIN_WORDS)
     """
     row = F.xxhash64("doc_id", "text").alias("row")
     inner = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row)
-    gone = removed_lines(inner, percent, least).distinct().groupBy("row").agg(F.collect_list("line_no").alias("gone"))
+    gone = removed_lines(inner, percent, least).groupBy("row").agg(F.collect_set("line_no").alias("gone"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), row)
     kept = F.filter(F.split("doc.text", "\n", -1), lambda _, i: ~F.array_contains("gone", i))
     text = F.when(F.col("gone").isNull(), F.col("doc.text")).otherwise(F.array_join(kept, "\n"))
