@@ -107,9 +107,9 @@ def block_bootstrap(
 def method_differences(
     returns: DataFrame, pairs: Sequence[tuple[str, str]], gamma: float = S.GAMMA, fields: Sequence[str] = OUTCOMES
 ) -> DataFrame:
-    """Monthly candidate minus benchmark for each outcome."""
+    """Monthly candidate minus benchmark for each outcome, as it is: small differences are not rounded to zero."""
     penalty = F.lit(0.5 * gamma) * F.col("ex_ante_monthly_variance")
-    return joins.method_pairs(returns.withColumn("risk_penalty", penalty), pairs, fields)
+    return joins.method_pairs(returns.withColumn("risk_penalty", penalty), pairs, fields, rounding=0.0)
 
 
 def identity_error(differences: DataFrame) -> DataFrame:

@@ -267,7 +267,7 @@ def pivot_year(spark, sf_dir):
     DIFFS,
 )
 def method_pairs(spark, sf_dir):
-    return joins.method_pairs(base.returns(spark, sf_dir), PAIRS, ["net_return"])
+    return joins.method_pairs(base.returns(spark, sf_dir), PAIRS, ["net_return"], rounding=0.0)
 
 
 @register(

@@ -103,6 +103,20 @@ def test_rounding_of_a_sum_is_no_difference(spark):
     assert drawn["probability_positive"] == 0.0
 
 
+def test_outcome_differences_are_taken_as_they_are(spark):
+    """The queries' SQL subtracts and compares with zero: a difference of few units in the last place counts there."""
+    flows = ["gross_return", "trading_cost", "net_return", "utility_flow", "turnover", "ex_ante_monthly_variance"]
+    rows = [(m, month(i), 2020, lev, *[0.1] * 6) for i in range(24) for m, lev in (("a", 1.0 + (i % 3 - 1) * 2.0**-50), ("b", 1.0))]
+    df = spark.createDataFrame(rows, "method string, eom date, test_year int, leverage double, " + ", ".join(f"{f} double" for f in flows))
+    diffs = inference.method_differences(df, [("a", "b")])
+    assert sorted({r["delta_leverage"] for r in diffs.collect()}) == [-(2.0**-50), 0.0, 2.0**-50]
+    shares = inference.period_attribution(diffs, F.lit("all"))
+    assert shares.where("outcome = 'leverage'").first()["positive_month_share"] == pytest.approx(1 / 3)
+    assert inference.block_bootstrap(
+        diffs.where("delta_leverage <> 0"), "delta_leverage", list(inference.PAIR), "eom", block=1, replications=200
+    ).first()["probability_positive"] > 0.2
+
+
 def test_drawdown_starts_at_the_first_wealth(spark):
     df = spark.createDataFrame([("p", month(i), r) for i, r in enumerate([-0.5, 0.2, -0.1])], "method string, eom date, net_return double")
     assert performance.max_drawdown(df, ["method"]).first()["max_drawdown"] == pytest.approx(-0.1)
