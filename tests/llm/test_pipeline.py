@@ -107,6 +107,30 @@ def test_edited_copies_go_after_line_dedup(spark, tmp_path):
     assert kept == [i for i in range(30) if i != 7] + [37, 100, 101]
 
 
+def test_near_dedup_takes_every_row_and_text(spark, tmp_path):
+    """Rows without an id, different texts under one id, and near copies only in the texts as they come take part."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    plain = [[word() for _ in range(60)] for _ in range(9)]
+    text = lambda i, at=12: "\n".join(" ".join(plain[i][k : k + at]) for k in range(0, 60, at))
+    near = lambda i: text(i).replace(plain[i][30], "edited")
+    common = [" ".join(word() for _ in range(150)) for _ in range(2)]
+    # Ids 1 and 2 are near copies without their other lines only; 4 stands for two texts, one a near copy of 3.
+    table = [(0, text(0)), (1, common[0] + "\n" + text(1)), (2, common[1] + "\n" + text(1, 20)), (3, text(3)), (4, near(3)), (4, text(4))]
+    table += [(None, near(0)), (None, text(5)), (None, near(5)), (None, text(6)), (None, ""), (None, "")]
+    schema = "doc_id long, text string"
+    spark.createDataFrame(table, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    came = [(i, {1: text(1), 2: text(1, 20)}.get(i, t)) for i, t in table] + [(4, text(4)), (-7, near(4)), (9, text(6))]
+    out = pipeline.drop_near_duplicates(spark, spark.createDataFrame(came, schema), str(tmp_path))
+    kept = sorted(((r.doc_id is None, r.doc_id or 0, r.text) for r in out.collect()))
+    left = [t for none, _, t in kept if none]
+    assert [(i, t) for none, i, t in kept if not none] == [(-7, near(4)), (0, text(0)), (1, text(1)), (3, text(3)), (9, text(6))]
+    assert left[:2] == ["", ""] and len(left) == 3 and left[2] in (text(5), near(5))
+    # Different texts under one id that are no copies stay, each once.
+    out = pipeline.drop_near_duplicates(spark, spark.createDataFrame([(4, text(7)), (4, text(8)), (4, text(8))], schema), str(tmp_path))
+    assert sorted(r.text for r in out.collect()) == sorted([text(7), text(8)])
+
+
 def test_empty(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in pipeline.STAGES:
